@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, percentiles, sampling
+from . import mixing, packing, percentiles, sampling, spam
 from .common import cut, table as T
 
 # fmt: off
@@ -19,6 +19,7 @@ def queries() -> dict:
         "p7_found": lambda s, d: mixing.short_sources(cut(mixing.source_sizes(T(s, d, "documents"))), T(s, d, "mix_targets")),
         "p7_mix": lambda s, d: mixing.mix(T(s, d, "documents"), T(s, d, "mix_targets")),
         "p7_report": lambda s, d: mixing.mix_report(cut(mixing.source_sizes(T(s, d, "documents"))), T(s, d, "mix_targets")),
+        "p8_found": lambda s, d: spam.stuffed_pages(T(s, d, "documents")),
     }
 # fmt: on
 

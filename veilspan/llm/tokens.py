@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -75,7 +76,7 @@ def counter(vocabulary: str = VOCABULARY) -> TokenCounter:
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Tokens of a text as BIGINT; null and empty texts have 0."""
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(LongType())
     def tokens(s: pd.Series) -> pd.Series:
         count = counter(vocabulary).count
         return pd.Series([count(t) for t in s], dtype="int64")
