@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, percentiles, sampling, spam
+from . import mixing, neardup, packing, percentiles, pii, sampling, secrets, spam
 from .common import cut, table as T
 
 # fmt: off
@@ -13,8 +13,12 @@ def queries() -> dict:
         "p2_found": lambda s, d: sampling.shortfalls(T(s, d, "annotations"), T(s, d, "leak_results"), T(s, d, "sample_targets")),
         "p2_report": lambda s, d: sampling.draw_report(sampling.quota_table(T(s, d, "annotations"), T(s, d, "leak_results"), T(s, d, "sample_targets"))).select("draw_id", "category", "wanted", "available", "taken"),
         "p2_sample": lambda s, d: sampling.draw_sample(T(s, d, "annotations"), T(s, d, "leak_results"), T(s, d, "sample_targets")),
+        "p3_found": lambda s, d: pii.found(T(s, d, "samples"), T(s, d, "annotations")),
+        "p3_redacted": lambda s, d: pii.redacted_samples(T(s, d, "samples"), pii.fitted_names(T(s, d, "samples"), T(s, d, "annotations"))),
         "p4_found": lambda s, d: neardup.similar_pairs(T(s, d, "samples"), width=3, similarity=0.6),
         "p4_groups": lambda s, d: neardup.similar_groups(T(s, d, "samples"), width=3, similarity=0.6),
+        "p5_found": lambda s, d: secrets.found(T(s, d, "samples")),
+        "p5_redacted": lambda s, d: secrets.redacted_samples(T(s, d, "samples")),
         "p6_found": lambda s, d: packing.split_documents(packing.pack(T(s, d, "documents"), T(s, d, "pack_plans"))),
         "p6_containers": lambda s, d: packing.pack(T(s, d, "documents"), T(s, d, "pack_plans")),
         "p6_summary": lambda s, d: packing.packing_summary(packing.pack(T(s, d, "documents"), T(s, d, "pack_plans"))),
