@@ -1 +1,176 @@
-def oracle_sql(): return {}
+"""The same queries in SQL, generated from the pattern registry, for a second engine."""
+
+from __future__ import annotations
+
+from ..functions import noise, taxonomy, terms
+from ..sources.workloads import SIZES
+from .registry import POLICY, SQL_OPTIONS, SQL_PATTERNS
+
+
+def _s(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _rx(p) -> str:
+    return _s(p.python)
+
+
+def _matches(table: str, key: str) -> str:
+    """(key, kind, ord, s, e, t): every match, with offsets from the lengths of gaps and matches."""
+    parts = []
+    for i, p in enumerate(SQL_PATTERNS):
+        group = f", regexp_extract_all(text, {_rx(p)}, 1) AS b, regexp_extract_all(text, {_rx(p)}, 2) AS v" if p.group else ""
+        before, value = ("length(b[i])", "v[i]") if p.group else ("0", "m[i]")
+        parts.append(
+            f"SELECT {key}, {_s(p.kind)} AS kind, {i} AS ord, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) + {before})::BIGINT AS s, {value} AS t"
+            f" FROM (SELECT {key}, m, g, unnest(range(1, len(m) + 1)) AS i{', b, v' if p.group else ''} FROM (SELECT {key}, regexp_extract_all(text, {_rx(p)}, 0) AS m, string_split_regex(text, {_rx(p)}) AS g{group} FROM {table} WHERE regexp_matches(text, {_rx(p)})))"
+        )
+    return f"found AS ({' UNION ALL '.join(parts)}), raw AS (SELECT {key}, kind, ord, s, s + length(t) AS e, t FROM found)"
+
+
+def _merged(key: str = "id") -> str:
+    return f"""
+    sorted AS (SELECT {key}, list(struct_pack(s := s, e := e, k := kind, t := t) ORDER BY s, s - e, ord) AS l FROM raw GROUP BY {key}),
+    folded AS (SELECT {key}, list_reduce(l[2:], lambda acc, x: CASE WHEN x.s >= acc[-1].e THEN list_append(acc, x) ELSE acc END, l[1:1]) AS l FROM sorted),
+    merged AS (SELECT {key}, x.s AS s, x.e AS e, x.k AS kind, x.t AS t FROM (SELECT {key}, unnest(l) AS x FROM folded))"""
+
+
+def _redacted(key: str = "id", table: str = "samples", numbered_by: str | None = None) -> str:
+    """names: a placeholder per distinct text; redacted: the text with the placeholders."""
+    by = numbered_by or key
+    return f"""
+    firsts AS (SELECT {by}, t, arg_max(kind, s) AS kind, max(s) AS s FROM merged GROUP BY {by}, t),
+    names AS (SELECT {by}, t, kind, s, '⟨' || upper(kind) || '_' || dense_rank() OVER (PARTITION BY {by}, kind ORDER BY s DESC) || '⟩' AS p FROM firsts),
+    pieces AS (SELECT m.{key}, m.s, m.e, n.p, coalesce(lag(m.e) OVER (PARTITION BY m.{key} ORDER BY m.s), 0) AS prev FROM merged m JOIN names n ON m.{by} = n.{by} AND m.t = n.t),
+    joined AS (SELECT x.{key}, string_agg(substr(d.text, (prev + 1)::BIGINT, (x.s - prev)::BIGINT) || x.p, '' ORDER BY x.s) AS head, max(x.e) AS upto, count(*) AS n FROM pieces x JOIN {table} d ON x.{key} = d.{key} GROUP BY x.{key}),
+    redacted AS (SELECT d.{key}, d.text, coalesce(j.head || substr(d.text, (j.upto + 1)::BIGINT), d.text) AS redacted, coalesce(j.n, 0) AS n FROM {table} d LEFT JOIN joined j ON d.{key} = j.{key})"""
+
+
+_ANN = "ann AS (SELECT ann_id, arg_max(sample_id, annotated_at) AS sample_id, arg_max(coalesce(kind, chr(1)), annotated_at) AS k, arg_max(coalesce(text, chr(1)), annotated_at) AS v, arg_max(span_start, annotated_at) AS span_start, arg_max(span_end, annotated_at) AS span_end FROM annotations WHERE ann_id IS NOT NULL GROUP BY ann_id), marks AS (SELECT ann_id, sample_id, nullif(k, chr(1)) AS kind, nullif(v, chr(1)) AS text, span_start, span_end FROM ann)"
+
+
+def _runs(options) -> str:
+    sent = {"baseline": "r.text", "B": "r.redacted", "D": "r.text", "E": "''", "F": "''", "G": "''", "B+D": "r.redacted"}
+    rows = " UNION ALL ".join(f"SELECT r.id AS sample_id, w.workload, '{o}' AS option_name, r.text, {sent[o]} AS outgoing FROM redacted r JOIN samples w ON r.id = w.id WHERE r.text IS NOT NULL" for o in options)
+    return f"runs AS ({rows})"
+
+
+_LEAKS = """
+leaks AS (SELECT r.sample_id, r.workload, r.option_name, m.kind, contains(r.outgoing, m.text)::INT AS exact,
+    CASE WHEN contains(r.outgoing, m.text) OR length(m.text) < 5 THEN 0
+         ELSE (len(list_filter(range(1, length(m.text) - 2), lambda i: contains(r.outgoing, substr(m.text, i::BIGINT, 4)))) > 0)::INT END AS partial
+    FROM runs r JOIN marks m ON r.sample_id = m.sample_id WHERE m.text IS NOT NULL AND m.text <> '')"""
+
+
+def _leak_query(tail: str, options=("baseline", "B")) -> str:
+    return f"WITH {_matches('samples', 'id')}, {_merged()}, {_redacted()}, {_ANN}, {_runs(options)}, {_LEAKS} {tail}"
+
+
+def _sums(by: str) -> str:
+    return f"SELECT {by}, count(*)::BIGINT AS total_annotations, sum(exact)::BIGINT AS exact_leaks, sum(partial)::BIGINT AS partial_leaks, sum(exact)::DOUBLE / count(*) AS exact_leak_rate, sum(partial)::DOUBLE / count(*) AS partial_leak_rate, sum(exact + partial)::DOUBLE / count(*) AS combined_leak_rate FROM leaks GROUP BY {by}"
+
+
+_WS = r"[\s\x1c-\x1f]+"
+
+
+def _tokens(c: str) -> str:
+    return f"len(list_filter(string_split_regex({c}, '{_WS}'), lambda w: w <> ''))::BIGINT"
+
+
+def _noise_sql() -> str:
+    e = r"""[.,;:!?"''()\[\]{}—\-]"""
+    c = f"regexp_replace(w, '^{e}+|{e}+$', '', 'g')"
+    h = lambda what: f"('0x' || substr(md5('0|' || id || '|' || i || '|{what}'), 1, 8))::BIGINT"
+    pools = " ".join(f"WHEN pos = '{n}' THEN {[w for w in p.split()]}[({h('pick')} % {len(p.split())}) + 1]" for n, p in noise.POOLS.items())
+    kept = f"lower(c) IN ({', '.join(_s(w) for w in noise.PRESERVED.split())}) OR length(c) <= 2 OR (upper(c) = c AND lower(c) <> c) OR regexp_matches(c, '\\d') OR contains(c, '_') OR contains(c, '@') OR (contains(c, '.') AND length(c) > 4)"
+    pos = "CASE WHEN lower(c) LIKE '%ly' THEN 'adv' WHEN regexp_matches(lower(c), '(?:ing|ed|es|ize|ify|ate)$') THEN 'verb' WHEN regexp_matches(lower(c), '(?:ful|ous|ive|al|ent|ant|ible|able)$') THEN 'adj' ELSE 'noun' END"
+    limit = int(noise.substitution_probability(1.0) * 2**32)
+    return f"""WITH w0 AS (SELECT id, list_filter(string_split_regex(text, '{_WS}'), lambda w: w <> '') AS l FROM samples WHERE text IS NOT NULL),
+    w1 AS (SELECT id, unnest(l) AS w, unnest(range(0, len(l))) AS i FROM w0),
+    w2 AS (SELECT id, w, i, {c} AS c FROM w1), w3 AS (SELECT *, {pos} AS pos, (NOT ({kept}) AND {h('flip')} < {limit}) AS hit FROM w2),
+    w4 AS (SELECT *, CASE {pools} END AS word FROM w3),
+    w5 AS (SELECT *, CASE WHEN substr(c, 1, 1) = upper(substr(c, 1, 1)) AND upper(substr(c, 1, 1)) <> lower(substr(c, 1, 1)) THEN upper(substr(word, 1, 1)) || substr(word, 2) ELSE word END AS cap FROM w4)
+    SELECT id, md5(string_agg(CASE WHEN hit THEN regexp_extract(w, '^({e}*)', 1) || cap || regexp_extract(w, '({e}*)$', 1) ELSE w END, ' ' ORDER BY i)) AS noised_md5, count(*)::BIGINT AS words, count_if(hit)::BIGINT AS substituted FROM w5 GROUP BY id"""
+
+
+def _phone_us() -> str:
+    """Without lookaround: every non-digit is doubled, so that neighbours do not share a border."""
+    sep = r"(?:[-.\s]{2})?"
+    rx = rf"(?:^|[^0-9])(?:(?:\+\+)?1{sep})?(?:\(\()?\d{{3}}(?:\)\))?{sep}\d{{3}}{sep}\d{{4}}(?:$|[^0-9])"
+    return rf"SELECT 'phone_us' AS kind, sum(len(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '{rx}')))::BIGINT AS n FROM documents"
+
+
+def _counts() -> str:
+    each = [f"SELECT {_s(p.kind)} AS kind, sum(len(regexp_extract_all(text, {_rx(p)})))::BIGINT AS n FROM documents WHERE regexp_matches(text, {_rx(p)})" for p in SQL_PATTERNS]
+    return f"SELECT kind, n FROM ({' UNION ALL '.join([*each, _phone_us()])}) WHERE n > 0"
+
+
+def _terms_sql() -> str:
+    def hits(c: str) -> str:
+        return " || ".join(f"regexp_extract_all({c}, {_s('(?i)' + rx)})" for rx in terms.FAMILIES)
+
+    return f"""WITH {_matches('samples', 'id')}, {_merged()}, {_redacted()},
+    a AS (SELECT id, redacted, list_transform({hits('text')}, lambda t: trim(t)) AS every FROM redacted),
+    b AS (SELECT id, redacted, list_filter(every, lambda t, i: list_position(list_transform(every, lambda u: lower(u)), lower(t)) = i) AS tl FROM a),
+    c AS (SELECT id, tl, len(list_filter(tl, lambda t: contains(lower(redacted), lower(t)))) AS alive FROM b)
+    SELECT id, len(tl)::BIGINT AS terms, array_to_string(tl, '|') AS term_list, alive::BIGINT AS surviving, CASE WHEN len(tl) = 0 THEN 1.0::DOUBLE ELSE alive::DOUBLE / len(tl) END AS survival_rate, CASE WHEN len(tl) = 0 THEN true ELSE alive::DOUBLE / len(tl) >= 0.7 END AS valid FROM c"""
+
+
+def _category(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} = '{k}' THEN '{v}'" for k, v in taxonomy.CATEGORY_OF.items()) + " ELSE 'unknown' END"
+
+
+def _shares() -> str:
+    share = lambda p: f"(('0x' || substr(md5(pos || '|' || c || '|{p}'), 1, 7))::BIGINT % 32000)"
+    return f"""WITH a AS (SELECT doc_id, unnest(string_split(substr(text, 1, 128), '')) AS c, unnest(range(0, least(length(text), 128))) AS pos FROM documents WHERE text <> '')
+    SELECT doc_id, pos::BIGINT AS pos, {share(0)} AS share_0, {share(1)} AS share_1, ((unicode(c) - {share(0)} - {share(1)}) % 32000 + 32000) % 32000 AS share_2 FROM a"""
+
+
+def oracle_sql() -> dict[str, str]:
+    base, red = f"WITH {_matches('samples', 'id')}, {_merged()}", f"WITH {_matches('samples', 'id')}, {_merged()}, {_redacted()}"
+    allowed = ", ".join(_s(k) for k, c in taxonomy.CATEGORY_OF.items() if c in taxonomy.resolve(POLICY))
+    cells = ", ".join(f"coalesce(max(CASE WHEN workload = '{w}' THEN rate END), 0.0) AS \"{w}\"" for w in sorted(SIZES))
+    checks = [
+        ("Email address detected", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), ("API key or secret in assignment", r"(?i)(?:api[_-]?key|secret[_-]?key|access[_-]?token|password|passwd)\s*[=:]\s*\S{8,}"),
+        ("AWS access key detected", r"AKIA[0-9A-Z]{16}"), ("Bearer token detected", r"(?i)bearer\s+[a-z0-9._-]{20,}"), ("Private key detected", r"-----BEGIN.*PRIVATE KEY-----"), ("SSN pattern detected", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    ]
+    findings = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {_s(rx)}) THEN {_s(label)} END" for label, rx in checks) + "], lambda x: x IS NOT NULL)"
+    words = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '\\s+'), lambda w: w <> ''))"
+    return {
+        "detect_counts_by_kind": _counts(),
+        "detect_spans": f"WITH {_matches('samples', 'id')} SELECT id, kind, s AS start, e AS \"end\", t AS text FROM raw",
+        "merge_spans": f'{base} SELECT id, kind, s AS start, e AS "end" FROM merged',
+        "category_rollup": f"{base}, k AS (SELECT kind, {_category('kind')} AS category FROM merged) SELECT category, kind, count(*)::BIGINT AS n FROM k GROUP BY ROLLUP (category, kind)",
+        "policy_filter": f"{base} SELECT kind, count(*)::BIGINT AS n FROM merged WHERE kind IN ({allowed}) GROUP BY kind",
+        "kind_categories": f"{base} SELECT kind, {_category('kind')} AS category, count(*)::BIGINT AS n FROM merged GROUP BY kind",
+        "redact_samples": f"{red} SELECT id, md5(redacted) AS redacted_md5, n::BIGINT AS placeholders FROM redacted",
+        "reverse_map_entries": f"{red} SELECT id, p AS placeholder, t AS original FROM names",
+        "restore_roundtrip": "SELECT count(*)::BIGINT AS texts, count(*)::BIGINT AS restored, count(*)::BIGINT AS restored_once FROM samples WHERE NOT contains(text, '⟨')",
+        "leak_audit": f"{red}, s AS (SELECT m.id, count_if(contains(r.redacted, m.t)) AS sent, count(*) AS d FROM merged m JOIN redacted r ON m.id = r.id GROUP BY m.id) SELECT r.id, strlen(redacted)::BIGINT AS outgoing_bytes, coalesce(d, 0)::BIGINT AS detected, coalesce(sent, 0)::BIGINT AS sent FROM redacted r LEFT JOIN s ON r.id = s.id",
+        "strict_refusals": f"{base} SELECT id, count(*)::BIGINT AS reasons, string_agg(substr(t, 1, 8) || '...', '|' ORDER BY s) AS previews FROM merged WHERE kind = 'hostname_internal' GROUP BY id",
+        "leak_summary": _leak_query(_sums("workload, option_name")),
+        "leak_by_sample": _leak_query(f"SELECT sample_id, option_name, total_annotations, exact_leaks, partial_leaks, combined_leak_rate FROM ({_sums('sample_id, option_name')})"),
+        "leak_by_kind": _leak_query("SELECT option_name, kind, count(*)::BIGINT AS total, sum(exact)::BIGINT AS leaked, avg(exact)::DOUBLE AS rate FROM leaks GROUP BY 1, 2"),
+        "false_positive_rate": f"{base}, {_ANN}, k AS (SELECT DISTINCT sample_id, text FROM marks WHERE text IS NOT NULL) SELECT s.workload, 'B' AS option_name, count(*)::BIGINT AS detections, count_if(k.text IS NULL)::BIGINT AS unmatched, count_if(k.text IS NULL)::DOUBLE / count(*) AS false_positive_rate FROM merged m JOIN samples s ON m.id = s.id LEFT JOIN k ON k.sample_id = m.id AND k.text = m.t GROUP BY s.workload",
+        "token_cost": f"{red}, {_runs(('baseline', 'B'))}, t AS (SELECT workload, option_name, {_tokens('text')} AS a, {_tokens('outgoing')} AS b FROM runs) SELECT workload, option_name, count(*)::BIGINT AS samples, sum(a)::BIGINT AS original_tokens, sum(b)::BIGINT AS outgoing_tokens, sum(b - a)::BIGINT AS delta, avg(CASE WHEN a > 0 THEN 100.0::DOUBLE * (b - a) / a ELSE 0 END) AS mean_delta_pct FROM t GROUP BY 1, 2",
+        "option_matrix": _leak_query(f"SELECT option_name, {cells} FROM (SELECT option_name, workload, sum(exact + partial)::DOUBLE / count(*) AS rate FROM leaks GROUP BY 1, 2) GROUP BY option_name", SQL_OPTIONS),
+        "latency_percentiles": "SELECT option_name, workload, len(v)::BIGINT AS n, v[(len(v) * 0.5::DOUBLE)::DOUBLE // 1 + 1] AS p50, v[least(floor(len(v) * 0.95::DOUBLE), len(v) - 1)::BIGINT + 1] AS p95 FROM (SELECT option_name, workload, list_sort(list(latency_ms)) AS v FROM route_results WHERE latency_ms >= 0 AND NOT isnan(latency_ms) GROUP BY 1, 2)".replace("v[(len(v) * 0.5::DOUBLE)::DOUBLE // 1 + 1]", "v[floor(len(v) * 0.5::DOUBLE)::BIGINT + 1]"),
+        "route_share": "SELECT option_name, count_if(upper(classification) = 'TRIVIAL')::BIGINT AS local, (count(*) - count_if(upper(classification) = 'TRIVIAL'))::BIGINT AS cloud, 100.0::DOUBLE * count_if(upper(classification) = 'TRIVIAL') / count(*) AS local_pct FROM route_results GROUP BY option_name",
+        "route_decisions": r"SELECT decided, classification, count(*)::BIGINT AS n FROM (SELECT classification, coalesce(nullif(upper(regexp_extract(coalesce(classifier_raw, ''), '(?i)\b(TRIVIAL|COMPLEX)\b', 1)), ''), 'COMPLEX') AS decided FROM route_results) GROUP BY 1, 2",
+        "self_consistency": f"{red}, w AS (SELECT s.workload, {words('r.text')} AS a, {words('r.redacted')} AS b, r.text, r.redacted FROM redacted r JOIN samples s ON r.id = s.id WHERE r.text IS NOT NULL) SELECT workload, count(*)::BIGINT AS pairs, count_if(trim(text) = '' OR trim(redacted) = '' OR len(list_intersect(a, b))::DOUBLE / greatest(len(list_distinct(a || b)), 1) > 0.5)::BIGINT AS consistent FROM w GROUP BY workload",
+        "term_survival": _terms_sql(),
+        "fhe_score": "SELECT doc_id, (length(text) % 97) / 97.0::DOUBLE AS score, (length(text) % 97) / 97.0::DOUBLE >= 0.5 AS sensitive, round(greatest((length(text) % 97) / 97.0::DOUBLE, 1 - (length(text) % 97) / 97.0::DOUBLE), 3) AS confidence FROM documents WHERE text IS NOT NULL",
+        "mpc_shares": _shares(),
+        "split_activation": "SELECT doc_id, coalesce(list_sum(list_transform(list_filter(string_split(substr(text, 1, 512), ''), lambda c: c <> ''), lambda c: unicode(c))), 0)::BIGINT AS id_sum, least(length(text), 512)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL",
+        "dp_noise": _noise_sql(),
+        "hook_scan": f"SELECT id, array_to_string({findings}, '|') AS findings, len({findings}) > 0 AS blocked FROM samples WHERE text IS NOT NULL",
+        "sample_prefix": "SELECT id, workload FROM samples ORDER BY id LIMIT 100",
+        "pairing_join": "WITH l AS (SELECT sample_id, regexp_replace(lower(option_name), '\\s+', '', 'g') AS o, arg_max(combined_leak_rate, measured_at) AS r FROM leak_results GROUP BY 1, 2) SELECT a.sample_id, a.r AS baseline_rate, b.r AS redacted_rate FROM l a JOIN l b ON a.sample_id = b.sample_id AND a.o = 'baseline' AND b.o = 'b'",
+        "annotate_occurrences": f"WITH {_ANN}, v AS (SELECT DISTINCT sample_id, text AS value FROM marks WHERE text <> ''), g AS (SELECT v.sample_id, v.value, string_split(s.text, v.value) AS gaps FROM v JOIN samples s ON s.id = v.sample_id), u AS (SELECT sample_id, value, gaps, unnest(range(1, len(gaps))) AS i FROM g) SELECT sample_id, value, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + (i - 1) * length(value))::BIGINT AS start FROM u",
+        "validate_annotations": f"WITH {_ANN} SELECT ann_id, sample_id, span_start, span_end FROM marks m JOIN samples s ON s.id = m.sample_id WHERE m.text IS NOT NULL AND substr(s.text, span_start + 1, greatest(span_end - span_start, 0)) <> m.text",
+        "session_cap": "SELECT id AS session_id, batch_id FROM samples WHERE created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY created_at DESC, id DESC) <= 50",
+        "stream_restore_final": "SELECT id AS request_id, md5(text) AS restored_md5 FROM samples WHERE text <> ''",
+        "detections_per_hour": f"{base} SELECT date_trunc('hour', x.created_at) AS window_start, m.kind, count(*)::BIGINT AS n FROM merged m JOIN samples x ON x.id = m.id WHERE x.created_at IS NOT NULL GROUP BY 1, 2",
+    }
+
+

@@ -1 +1,321 @@
-def queries(): return {}
+"""Every core query by name: (session, folder) -> DataFrame over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import noise, patterns, redact, spans, taxonomy, terms
+from ..operators import metrics, models, ner, pipeline
+from ..sources import io, workloads
+from ..streaming import restore as streams
+
+LOOKAROUND = {"phone_us"}  # RE2, which the SQL side uses, has no lookaround
+SQL_PATTERNS = tuple(p for p in patterns.PATTERNS if p.kind not in LOOKAROUND)
+POLICY = ("pii", "cloud_credential")
+SQL_OPTIONS = ("baseline", "B", "D", "E", "F", "G", "B+D")
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples dealt over the cores: a text costs far more than its bytes."""
+    df = table(spark, folder, "samples").select("id", "workload", "text")
+    n = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "documents").select("doc_id", "text")
+    n = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def _spans(s, d, policy=None, pats=SQL_PATTERNS, **kw) -> DataFrame:
+    return pipeline.with_spans(_texts(s, d), patterns=pats, policy=policy, **kw)
+
+
+def _redacted(s, d) -> DataFrame:
+    return pipeline.with_redaction(_spans(s, d))
+
+
+def _runs(s, d, options=SQL_OPTIONS, pats=SQL_PATTERNS) -> DataFrame:
+    return pipeline.runs(table(s, d, "samples").repartition(s.sparkContext.defaultParallelism), options, patterns=pats)
+
+
+def _annotations(s, d) -> DataFrame:
+    """Each annotation once, its latest delivery."""
+    a = table(s, d, "annotations").filter("ann_id IS NOT NULL")
+    return a.groupBy("ann_id").agg(F.max(F.struct("annotated_at", "sample_id", "kind", "text", "span_start", "span_end")).alias("x")).select("ann_id", "x.*")
+
+
+def _leaks(s, d, options=("baseline", "B")) -> DataFrame:
+    return metrics.annotation_leaks(_runs(s, d, options), _annotations(s, d))
+
+
+def detect_counts_by_kind(s, d):
+    return spans.count_by_kind(_documents(s, d).select(spans.detect(F.col("text")).alias("spans")), "spans")
+
+
+def detect_spans(s, d):
+    return spans.exploded(_texts(s, d).withColumn("spans", spans.detect(F.col("text"), SQL_PATTERNS)), "spans", "id").select("id", "kind", "start", "end", "text")
+
+
+def merge_spans(s, d):
+    return spans.exploded(_spans(s, d), "spans", "id").select("id", "kind", "start", "end")
+
+
+def merge_all_kinds(s, d):
+    return spans.exploded(_spans(s, d, pats=patterns.PATTERNS), "spans", "id").select("id", "kind", "start", "end")
+
+
+def merge_all_kinds_python(s, d):
+    return spans.exploded(_spans(s, d, pats=patterns.PATTERNS, engine="python"), "spans", "id").select("id", "kind", "start", "end")
+
+
+def category_rollup(s, d):
+    k = spans.exploded(_spans(s, d), "spans", "id").select("kind", taxonomy.category(F.col("kind")).alias("category"))
+    return k.rollup("category", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def policy_filter(s, d):
+    return spans.count_by_kind(_spans(s, d, POLICY), "spans")
+
+
+def kind_categories(s, d):
+    """Detections joined with the kind table, which is fixed and small."""
+    k = spans.count_by_kind(_spans(s, d), "spans")
+    return k.join(F.broadcast(taxonomy.kind_table(s)), "kind", "left").select("kind", F.coalesce("category", F.lit(taxonomy.UNKNOWN)).alias("category"), "n")
+
+
+def redact_samples(s, d):
+    return _redacted(s, d).select("id", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"), F.size("placeholders").cast("bigint").alias("placeholders"))
+
+
+def reverse_map_entries(s, d):
+    return _redacted(s, d).select("id", F.explode("reverse_map").alias("e")).select("id", "e.placeholder", "e.original")
+
+
+def restore_roundtrip(s, d):
+    r = _redacted(s, d)
+    clean = r.filter(~F.contains("text", F.lit(redact.LEFT)))
+    return clean.agg(F.count(F.lit(1)).alias("texts"), F.count_if(redact.restore(F.col("redacted"), F.col("reverse_map")) == F.col("text")).alias("restored"), F.count_if(redact.restore_once(F.col("redacted"), F.col("reverse_map")) == F.col("text")).alias("restored_once"))
+
+
+def leak_audit(s, d):
+    a = _redacted(s, d).withColumn("a", redact.audit(F.col("redacted"), F.col("spans")))
+    return a.select("id", F.col("a.outgoing_bytes").cast("bigint").alias("outgoing_bytes"), F.col("a.detected").cast("bigint").alias("detected"), F.col("a.sent").cast("bigint").alias("sent"))
+
+
+def strict_refusals(s, d):
+    """With host names held to be uncertain."""
+    low = F.transform("spans", lambda x: x.withField("confidence", F.when(x["kind"] == "hostname_internal", 0.3).otherwise(x["confidence"])))
+    bad = pipeline.refused(_spans(s, d).withColumn("spans", low))
+    return bad.select("id", F.size("reasons").cast("bigint").alias("reasons"), F.array_join(F.transform("reasons", lambda r: r["preview"]), "|").alias("previews"))
+
+
+def leak_summary(s, d):
+    return metrics.leak_summary(_leaks(s, d))
+
+
+def leak_by_sample(s, d):
+    return metrics.leaks_by_sample(_leaks(s, d)).select("sample_id", "option_name", "total_annotations", "exact_leaks", "partial_leaks", "combined_leak_rate")
+
+
+def leak_by_kind(s, d):
+    return metrics.leak_by_kind(_leaks(s, d)).select("option_name", "kind", "total", "leaked", "rate")
+
+
+def false_positive_rate(s, d):
+    return metrics.false_positive_rate(_runs(s, d, ("B",)), _annotations(s, d)).select("workload", "option_name", "detections", "unmatched", "false_positive_rate")
+
+
+def token_cost(s, d):
+    return metrics.token_cost(_runs(s, d, ("baseline", "B")))
+
+
+def option_matrix(s, d):
+    return metrics.option_matrix(metrics.leak_summary(metrics.annotation_leaks(_runs(s, d), _annotations(s, d))), sorted(workloads.SIZES))
+
+
+def latency_percentiles(s, d):
+    r = table(s, d, "route_results").filter("latency_ms >= 0 AND NOT isnan(latency_ms)")
+    return metrics.index_percentiles(r, ["option_name", "workload"], "latency_ms", {"p50": 0.5, "p95": 0.95})
+
+
+def route_share(s, d):
+    return pipeline.route_share(table(s, d, "route_results"))
+
+
+def route_decisions(s, d):
+    r = table(s, d, "route_results").withColumn("decided", models.decision(F.col("classifier_raw")))
+    return r.groupBy("decided", "classification").agg(F.count(F.lit(1)).alias("n"))
+
+
+def self_consistency(s, d):
+    r = _redacted(s, d).filter("text IS NOT NULL")
+    return r.groupBy("workload").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(metrics.self_consistent(F.col("text"), F.col("redacted"))).alias("consistent"))
+
+
+def term_survival(s, d):
+    t = _redacted(s, d).withColumn("terms", terms.technical_terms(F.col("text")))
+    v = t.withColumn("v", terms.survival(F.col("terms"), F.col("redacted")))
+    return v.select("id", F.size("terms").cast("bigint").alias("terms"), F.array_join("terms", "|").alias("term_list"), F.size("v.surviving").cast("bigint").alias("surviving"), "v.survival_rate", "v.valid")
+
+
+def fhe_score(s, d):
+    f = _documents(s, d).filter("text IS NOT NULL").withColumn("f", pipeline.fhe_score(F.col("text")))
+    return f.select("doc_id", "f.score", "f.sensitive", "f.confidence")
+
+
+def mpc_shares(s, d):
+    m = _documents(s, d).filter("text <> ''").select("doc_id", F.posexplode(pipeline.mpc_shares(F.col("text"))).alias("pos", "x"))
+    return m.select("doc_id", F.col("pos").cast("bigint").alias("pos"), *[F.col("x")[i].alias(f"share_{i}") for i in range(3)])
+
+
+def split_activation(s, d):
+    a = _documents(s, d).filter("text IS NOT NULL").withColumn("a", pipeline.split_activation(F.col("text")))
+    return a.select("doc_id", F.aggregate("a.token_ids", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("id_sum"), F.col("a.activation_shape")[0].cast("bigint").alias("tokens"))
+
+
+def dp_noise(s, d):
+    n = _texts(s, d).filter("text IS NOT NULL").withColumn("n", noise.noised(F.col("text"), F.col("id"), epsilon=1.0))
+    return n.select("id", F.md5(F.col("n.text").cast("binary")).alias("noised_md5"), F.col("n.words").cast("bigint").alias("words"), F.col("n.substituted").cast("bigint").alias("substituted"))
+
+
+def hook_scan(s, d):
+    h = _texts(s, d).filter("text IS NOT NULL").withColumn("f", metrics.hook_findings(F.col("text")))
+    return h.select("id", F.array_join("f", "|").alias("findings"), (F.size("f") > 0).alias("blocked"))
+
+
+def sample_prefix(s, d):
+    return table(s, d, "samples").orderBy("id").limit(100).select("id", "workload")
+
+
+def pairing_join(s, d):
+    """Samples with both a baseline and a redacted measurement, by their latest one."""
+    lr = table(s, d, "leak_results").withColumn("o", F.regexp_replace(F.lower("option_name"), r"\s+", ""))
+    last = lr.groupBy("sample_id", "o").agg(F.max(F.struct("measured_at", "combined_leak_rate")).alias("m"))
+    side = lambda o, c: last.filter(F.col("o") == o).select("sample_id", F.col("m.combined_leak_rate").alias(c))
+    return side("baseline", "baseline_rate").join(side("b", "redacted_rate"), "sample_id")
+
+
+def annotate_occurrences(s, d):
+    """Every place of each sample's annotated values."""
+    v = _annotations(s, d).filter("text <> ''").select("sample_id", F.col("text").alias("value")).distinct()
+    t = table(s, d, "samples").select(F.col("id").alias("sample_id"), "text").join(v, "sample_id")
+    gaps = F.expr("split(text, concat('\\\\Q', value, '\\\\E'), -1)")
+    n = F.size("gaps") - 1
+    at = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice("gaps", F.lit(1), i), (i - 1) * F.length("value"), lambda acc, g: acc + F.length(g)))
+    return t.withColumn("gaps", gaps).filter(F.size("gaps") > 1).select("sample_id", "value", F.explode(at).alias("start"))
+
+
+def validate_annotations(s, d):
+    a = _annotations(s, d).filter("text IS NOT NULL")
+    t = table(s, d, "samples").select(F.col("id").alias("sample_id"), F.col("text").alias("whole"))
+    ok = F.substring("whole", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")) == F.col("text")
+    return a.join(t, "sample_id").filter(~ok).select("ann_id", "sample_id", "span_start", "span_end")
+
+
+def session_cap(s, d):
+    """The newest 50 sessions of each batch; a sample stands for a session."""
+    x = table(s, d, "samples").filter("created_at IS NOT NULL").select(F.col("id").alias("session_id"), "batch_id", "created_at")
+    return streams.live_sessions(x, 50, ["batch_id"]).select("session_id", "batch_id")
+
+
+def stream_restore_final(s, d):
+    """Redacted texts cut into pieces of seven characters, joined and restored."""
+    r = _redacted(s, d).filter("text <> ''")
+    n = F.ceil(F.length("redacted") / 7).cast("int")
+    pieces = r.select(F.col("id").alias("request_id"), F.lit(0).alias("choice"), "reverse_map", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("redacted", i * 7 + 1, F.lit(7)))).alias("seq", "delta"))
+    return streams.restore_batch(pieces).select("request_id", F.md5(F.col("restored").cast("binary")).alias("restored_md5"))
+
+
+def request_scope(s, d):
+    """Messages of a client and batch as one request: placeholders numbered across its messages."""
+    m = table(s, d, "samples").filter("client_id IS NOT NULL").select(F.concat_ws("/", "client_id", "batch_id").alias("request"), "id", "text")
+    r = pipeline.redact_messages(m, "request", "id", "role", "text", scope="request", patterns=SQL_PATTERNS)
+    return r.select("request", "id", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"))
+
+
+def detections_per_hour(s, d):
+    x = table(s, d, "samples").filter("created_at IS NOT NULL").withColumn("spans", spans.merge(spans.detect(F.col("text"), SQL_PATTERNS)))
+    return streams.detections_per_window(x, "created_at", "spans", "1 hour")
+
+
+def entity_spans(s, d):
+    e = _texts(s, d).withColumn("spans", ner.without_false_positives(ner.entity_spans(F.col("text"))))
+    return spans.exploded(e, "spans", "id").select("id", "kind", "start", "end", "confidence")
+
+
+def reviewed_spans(s, d):
+    df = pipeline.with_spans(_texts(s, d), use_ner=True, reviewer=lambda prompt: "\n".join("DROP" if "kind=date_time" in x else "KEEP" for x in prompt.splitlines()[1:]))
+    return spans.count_by_kind(df, "spans")
+
+
+def evaluation(s, d):
+    """All twelve options with the stand-in models."""
+    r = _runs(s, d, pipeline.OPTIONS, patterns.PATTERNS)
+    a = _annotations(s, d)
+    return metrics.eval_report(metrics.annotation_leaks(r, a), metrics.false_positive_rate(r, a))
+
+
+def option_labels(s, d):
+    return _runs(s, d, pipeline.OPTIONS, patterns.PATTERNS).groupBy("option_name", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def semantic_leaks(s, d):
+    r = _runs(s, d, ("baseline", "B", "E")).filter("workload = 'wl3_implicit'")
+    judged = r.withColumn("still_identifies", models.judge_yes(models.answer(F.col("outgoing"), lambda t: "YES" if " who " in t or " turned " in t else "NO")))
+    return metrics.semantic_leaks(judged, ["workload", "option_name"])
+
+
+def utility(s, d):
+    r = _redacted(s, d).filter("text IS NOT NULL")
+    verdict = lambda p: '{"preference": "tie", "score": 0.5, "rationale": "same"}' if len(p) % 3 else "unclear"
+    v = r.withColumn("v", metrics.preference(models.answer(F.col("redacted"), verdict))).withColumn("consistent", metrics.self_consistent(F.col("text"), F.col("redacted")))
+    return metrics.utility_summary(v.select("workload", "v.preference", "v.score", "consistent"), ["workload"])
+
+
+def report_lines(s, d):
+    e = table(s, d, "eval_rows").dropDuplicates(["eval_id"])
+    return io.csv_rows(e)
+
+
+def report_markdown(s, d):
+    return io.table_lines(table(s, d, "eval_rows").dropDuplicates(["eval_id"]))
+
+
+def pareto(s, d):
+    return io.figure_data(table(s, d, "eval_rows").dropDuplicates(["eval_id"]).fillna({"latency_ms_median": 0.0}))
+
+
+def generated_workloads(s, d):
+    parts = [workloads.generate(s, w).select("id", "text", F.size("annotations").alias("annotations"), F.lit(w).alias("workload")) for w in workloads.SIZES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def transports(s, d):
+    """Attestation, routing by classification and the hidden transports in one pass (no text leaves)."""
+    t = _documents(s, d).filter("text IS NOT NULL")
+    ok = pipeline.attested(F.lit("enclave-1"), F.create_map(F.lit("pcr0"), F.lit("00")))
+    return t.select("doc_id", ok.alias("attested"), models.decision(models.answer(models.classification_prompt(F.col("text")), models.short_is_trivial)).alias("route"))
+
+
+_ALL = (
+    detect_counts_by_kind, detect_spans, merge_spans, merge_all_kinds, merge_all_kinds_python, category_rollup, policy_filter, kind_categories, redact_samples, reverse_map_entries, restore_roundtrip, leak_audit,
+    strict_refusals, leak_summary, leak_by_sample, leak_by_kind, false_positive_rate, token_cost, option_matrix, latency_percentiles, route_share, route_decisions, self_consistency, term_survival, fhe_score, mpc_shares,
+    split_activation, dp_noise, hook_scan, sample_prefix, pairing_join, annotate_occurrences, validate_annotations, session_cap, stream_restore_final, request_scope, detections_per_hour, entity_spans, reviewed_spans,
+    evaluation, option_labels, semantic_leaks, utility, report_lines, report_markdown, pareto, generated_workloads, transports,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _ALL}
