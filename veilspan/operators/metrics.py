@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import each
 from ..functions.terms import whitespace_tokens
 
 
@@ -51,7 +52,7 @@ def leak_by_kind(leaks: DataFrame) -> DataFrame:
 
 def false_positive_rate(runs: DataFrame, annotations: DataFrame) -> DataFrame:
     """Detections whose text no annotation of the sample has, over all detections."""
-    d = runs.select("sample_id", "workload", "option_name", F.explode("detections").alias("d")).select("sample_id", "workload", "option_name", F.col("d.text").alias("value"))
+    d = runs.select("sample_id", "workload", "option_name", F.explode(each("detections")).alias("d")).select("sample_id", "workload", "option_name", F.col("d.text").alias("value"))
     known = annotations.filter("text IS NOT NULL").select("sample_id", F.col("text").alias("value"), F.lit(1).alias("hit")).distinct()
     s = d.join(known, ["sample_id", "value"], "left").groupBy("workload", "option_name").agg(F.count(F.lit(1)).alias("detections"), F.count_if(F.col("hit").isNull()).alias("unmatched"))
     return s.withColumn("false_positive_rate", rate(F.col("unmatched"), F.col("detections")))

@@ -35,7 +35,7 @@ def answer(prompt: Column, model: Model) -> Column:
 
         return s.map(one, na_action=None)
 
-    return run(prompt)
+    return run.asNondeterministic()(prompt)  # never called twice for a row because of a plan rewrite
 
 
 def http_model(url: str, name: str, style: str = "openai", timeout: float = 120.0, headers: dict | None = None) -> Model:

@@ -22,7 +22,7 @@ STRICT_BELOW = 0.5
 SPLIT_CHARS, SPLIT_DIM, MPC_CHARS, MPC_VOCABULARY, FHE_MODULUS = 512, 4096, 128, 32000, 97
 
 
-def with_spans(df: DataFrame, text: str = "text", patterns=PATTERNS, policy=None, use_ner: bool = False, recogniser=ner.gazetteer, reviewer=None, engine: str = "native") -> DataFrame:
+def with_spans(df: DataFrame, text: str = "text", patterns=PATTERNS, policy=None, use_ner: bool = False, recogniser=ner.gazetteer, reviewer=None, engine: str = "auto") -> DataFrame:
     """Adds ``spans``: detected, merged, and filtered by policy (None keeps every span)."""
     every = spans.detect(F.col(text), patterns, engine)
     if use_ner:
@@ -71,7 +71,7 @@ def redact_messages(df: DataFrame, request: str, turn: str, role: str, text: str
     df = with_spans(df, text, policy=policy, **kw).withColumn("spans", F.coalesce("spans", spans.no_spans()))
     if scope == "message":
         return with_redaction(df, text)
-    tagged = df.select(request, F.col(turn).alias("__t"), F.posexplode("spans").alias("__p", "__s"))
+    tagged = df.select(request, F.col(turn).alias("__t"), F.posexplode(spans.each("spans")).alias("__p", "__s"))
     last = tagged.groupBy(request, F.col("__s.text").alias("original")).agg(F.max_by(F.col("__s.kind"), F.struct("__t", "__p")).alias("kind"), F.max(F.struct("__t", "__p")).alias("at"))
     from pyspark.sql import Window
 
@@ -85,7 +85,7 @@ def redact_messages(df: DataFrame, request: str, turn: str, role: str, text: str
 
 def request_maps(messages: DataFrame, request: str, turn: str) -> DataFrame:
     """One reverse map per request; where messages use one placeholder twice, the last message wins."""
-    e = messages.select(request, F.col(turn).alias("__t"), F.explode("reverse_map").alias("e"))
+    e = messages.select(request, F.col(turn).alias("__t"), F.explode(spans.each("reverse_map")).alias("e"))
     return e.groupBy(request, F.col("e.placeholder").alias("placeholder")).agg(F.max_by("e.original", "__t").alias("original"))
 
 

@@ -70,7 +70,7 @@ def _sums(by: str) -> str:
     return f"SELECT {by}, count(*)::BIGINT AS total_annotations, sum(exact)::BIGINT AS exact_leaks, sum(partial)::BIGINT AS partial_leaks, sum(exact)::DOUBLE / count(*) AS exact_leak_rate, sum(partial)::DOUBLE / count(*) AS partial_leak_rate, sum(exact + partial)::DOUBLE / count(*) AS combined_leak_rate FROM leaks GROUP BY {by}"
 
 
-_WS = r"[\s\x1c-\x1f]+"
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"  # Unicode blanks
 
 
 def _tokens(c: str) -> str:
@@ -135,7 +135,7 @@ def oracle_sql() -> dict[str, str]:
         ("AWS access key detected", r"AKIA[0-9A-Z]{16}"), ("Bearer token detected", r"(?i)bearer\s+[a-z0-9._-]{20,}"), ("Private key detected", r"-----BEGIN.*PRIVATE KEY-----"), ("SSN pattern detected", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ]
     findings = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {_s(rx)}) THEN {_s(label)} END" for label, rx in checks) + "], lambda x: x IS NOT NULL)"
-    words = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '\\s+'), lambda w: w <> ''))"
+    words = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '{_WS}'), lambda w: w <> ''))"
     return {
         "detect_counts_by_kind": _counts(),
         "detect_spans": f"WITH {_matches('samples', 'id')} SELECT id, kind, s AS start, e AS \"end\", t AS text FROM raw",
@@ -170,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
         "validate_annotations": f"WITH {_ANN} SELECT ann_id, sample_id, span_start, span_end FROM marks m JOIN samples s ON s.id = m.sample_id WHERE m.text IS NOT NULL AND substr(s.text, span_start + 1, greatest(span_end - span_start, 0)) <> m.text",
         "session_cap": "SELECT id AS session_id, batch_id FROM samples WHERE created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY created_at DESC, id DESC) <= 50",
         "stream_restore_final": "SELECT id AS request_id, md5(text) AS restored_md5 FROM samples WHERE text <> ''",
-        "detections_per_hour": f"{base} SELECT date_trunc('hour', x.created_at) AS window_start, m.kind, count(*)::BIGINT AS n FROM merged m JOIN samples x ON x.id = m.id WHERE x.created_at IS NOT NULL GROUP BY 1, 2",
+        "detections_per_hour": f"{base} SELECT (floor(epoch(x.created_at) / 3600) * 3600)::BIGINT AS window_start, m.kind, count(*)::BIGINT AS n FROM merged m JOIN samples x ON x.id = m.id WHERE x.created_at IS NOT NULL GROUP BY 1, 2",
     }
 
 

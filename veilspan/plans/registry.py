@@ -66,15 +66,15 @@ def detect_spans(s, d):
 
 
 def merge_spans(s, d):
-    return spans.exploded(_spans(s, d), "spans", "id").select("id", "kind", "start", "end")
+    return spans.exploded(_spans(s, d, engine="native"), "spans", "id").select("id", "kind", "start", "end")
 
 
 def merge_all_kinds(s, d):
     return spans.exploded(_spans(s, d, pats=patterns.PATTERNS), "spans", "id").select("id", "kind", "start", "end")
 
 
-def merge_all_kinds_python(s, d):
-    return spans.exploded(_spans(s, d, pats=patterns.PATTERNS, engine="python"), "spans", "id").select("id", "kind", "start", "end")
+def merge_all_kinds_native(s, d):
+    return spans.exploded(_spans(s, d, pats=patterns.PATTERNS, engine="native"), "spans", "id").select("id", "kind", "start", "end")
 
 
 def category_rollup(s, d):
@@ -97,7 +97,7 @@ def redact_samples(s, d):
 
 
 def reverse_map_entries(s, d):
-    return _redacted(s, d).select("id", F.explode("reverse_map").alias("e")).select("id", "e.placeholder", "e.original")
+    return _redacted(s, d).select("id", F.explode(spans.each("reverse_map")).alias("e")).select("id", "e.placeholder", "e.original")
 
 
 def restore_roundtrip(s, d):
@@ -228,8 +228,9 @@ def session_cap(s, d):
 
 
 def stream_restore_final(s, d):
-    """Redacted texts cut into pieces of seven characters, joined and restored."""
-    r = _redacted(s, d).filter("text <> ''")
+    """Redacted texts cut into pieces of seven characters, joined and restored.  Placeholders carry
+    a tag of the request, so that those a text already held are left alone."""
+    r = pipeline.with_redaction(_spans(s, d).filter("text <> ''"), tag=redact.request_tag(F.col("id")))
     n = F.ceil(F.length("redacted") / 7).cast("int")
     pieces = r.select(F.col("id").alias("request_id"), F.lit(0).alias("choice"), "reverse_map", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("redacted", i * 7 + 1, F.lit(7)))).alias("seq", "delta"))
     return streams.restore_batch(pieces).select("request_id", F.md5(F.col("restored").cast("binary")).alias("restored_md5"))
@@ -244,7 +245,8 @@ def request_scope(s, d):
 
 def detections_per_hour(s, d):
     x = table(s, d, "samples").filter("created_at IS NOT NULL").withColumn("spans", spans.merge(spans.detect(F.col("text"), SQL_PATTERNS)))
-    return streams.detections_per_window(x, "created_at", "spans", "1 hour")
+    w = streams.detections_per_window(x, "created_at", "spans", "1 hour")
+    return w.select(F.unix_timestamp("window_start").alias("window_start"), "kind", "n")
 
 
 def entity_spans(s, d):
@@ -310,7 +312,7 @@ def transports(s, d):
 
 
 _ALL = (
-    detect_counts_by_kind, detect_spans, merge_spans, merge_all_kinds, merge_all_kinds_python, category_rollup, policy_filter, kind_categories, redact_samples, reverse_map_entries, restore_roundtrip, leak_audit,
+    detect_counts_by_kind, detect_spans, merge_spans, merge_all_kinds, merge_all_kinds_native, category_rollup, policy_filter, kind_categories, redact_samples, reverse_map_entries, restore_roundtrip, leak_audit,
     strict_refusals, leak_summary, leak_by_sample, leak_by_kind, false_positive_rate, token_cost, option_matrix, latency_percentiles, route_share, route_decisions, self_consistency, term_survival, fhe_score, mpc_shares,
     split_activation, dp_noise, hook_scan, sample_prefix, pairing_join, annotate_occurrences, validate_annotations, session_cap, stream_restore_final, request_scope, detections_per_hour, entity_spans, reviewed_spans,
     evaluation, option_labels, semantic_leaks, utility, report_lines, report_markdown, pareto, generated_workloads, transports,
