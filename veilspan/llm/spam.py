@@ -104,12 +104,16 @@ def measured(documents: DataFrame) -> DataFrame:
 
 
 def usual_ratios(documents: DataFrame) -> DataFrame:
-    """(lang, step, usual): the average of the class, but no less than that of all languages, so
-    that spam which fills a small language does not become usual there."""
+    """(lang, step, usual): the average of the class, but no less than that of all languages and of
+    any longer step (a shorter text compresses no better), so that spam which fills a small class
+    does not become usual there."""
     sums = measured(documents).groupBy("lang", "step").agg(F.sum("ratio").alias("total"), F.count("ratio").alias("n"))
     step = Window.partitionBy("step")
     everywhere = F.sum("total").over(step) / F.sum("n").over(step)
-    return sums.select("lang", "step", F.greatest(F.col("total") / F.col("n"), everywhere).alias("usual"))
+    usual = sums.select("lang", "step", F.col("total").alias("t"), F.col("n"), everywhere.alias("all"))
+    # a few dozen rows: languages times steps
+    longer = F.max("all").over(Window.orderBy(F.desc("step")))
+    return usual.select("lang", "step", F.greatest(F.col("t") / F.col("n"), longer).alias("usual"))
 
 
 def redundant_pages(documents: DataFrame, flag: float = FLAG) -> DataFrame:
