@@ -112,7 +112,7 @@ def usual_ratios(documents: DataFrame) -> DataFrame:
     everywhere = F.sum("total").over(step) / F.sum("n").over(step)
     usual = sums.select("lang", "step", F.col("total").alias("t"), F.col("n"), everywhere.alias("all"))
     # a few dozen rows: languages times steps
-    longer = F.max("all").over(Window.orderBy(F.desc("step")))
+    longer = F.max("all").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("step")))
     return usual.select("lang", "step", F.greatest(F.col("t") / F.col("n"), longer).alias("usual"))
 
 
