@@ -210,3 +210,33 @@ def test_events_and_sessions(spark):
     m = s.withColumn("reverse_map", F.array(F.struct(F.lit("⟨P_1⟩").alias("placeholder"), F.lit("x").alias("original"))))
     back = {r.session_id: r for r in streams.restore_session(spark.createDataFrame([("a", "⟨P_1⟩"), ("z", "⟨P_1⟩")], "session_id string, text string"), m).collect()}
     assert back["a"].text == "x" and back["z"].text == "⟨P_1⟩" and back["z"].error
+
+
+def test_routing_counters_and_choices(spark):
+    df = spark.createDataFrame([("1", "short a@x.example"), ("2", "two\nlines"), ("3", None)], "id string, text string")
+    done, rest = pipeline.routed(df, "text", models.short_is_trivial, lambda t: t.upper())
+    assert [(r.id, r.response) for r in done.collect()] == [("1", "SHORT A@X.EXAMPLE")] and {r.id for r in rest.collect()} == {"2", "3"}
+    seen, o = pipeline.counted(pipeline.with_spans(df))
+    seen.collect()
+    assert o.get == {"texts": 3, "spans": 1, "uncertain": 0}
+    sent, refused = pipeline.redact_pipeline(df, model=lambda t: "re: " + t)
+    r = {x.id: x for x in sent.collect()}
+    assert r["1"].redacted == "short ⟨EMAIL_1⟩" and r["1"].response == "re: short ⟨EMAIL_1⟩" and r["1"].restored == "re: short a@x.example" and refused.count() == 0
+    plain = spark.createDataFrame([([(0, r["1"].response), (1, "no")], r["1"].reverse_map)], "c array<struct<index:int,content:string>>, m array<struct<placeholder:string,original:string,kind:string>>")
+    back = plain.select(pipeline.restore_choices(F.col("c"), F.col("m")).alias("c")).first().c
+    assert [x.content for x in back] == ["re: short a@x.example", "no"]
+
+
+def test_pareto(spark):
+    rows = [("a", 0.1, 5.0), ("b", 0.2, 5.0), ("c", 0.05, 9.0), ("d", 0.1, 9.0), ("e", 0.1, 5.0)]
+    d = io.figure_data(spark.createDataFrame(rows, "option_name string, combined_leak_rate double, latency_ms_median double"))
+    assert {r.option_name: r.dominated for r in d.collect()} == {"a": False, "b": True, "c": False, "d": True, "e": False}
+
+
+def test_entry_sends_the_package_where_workers_lack_it(spark, monkeypatch, tmp_path):
+    import __spark_entry__ as entry
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("PYTHONPATH", "")
+    run = entry._with_package(lambda s, d: s.range(1))
+    assert run(spark, "").count() == 1 and spark.conf.get("spark.veilspan.sent") == "yes"

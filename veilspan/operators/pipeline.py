@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import redact, spans, terms
@@ -57,6 +57,27 @@ def redact_pipeline(df: DataFrame, text: str = "text", policy=DEFAULT_POLICY, st
     return sent, df.filter(stop).withColumn("reasons", spans.refusal_reasons(F.col("spans"), STRICT_BELOW))
 
 
+def counted(df: DataFrame, name: str = "veilspan") -> tuple[DataFrame, Observation]:
+    """The same rows with counters that are filled in when they are computed: rows, spans found and
+    rows that a strict pipeline would refuse.  No text is kept."""
+    o = Observation(name)
+    return df.observe(o, F.count(F.lit(1)).alias("texts"), F.sum(F.size("spans")).alias("spans"), F.count_if(spans.unsure(F.col("spans"))).alias("uncertain")), o
+
+
+def routed(df: DataFrame, text: str, router: models.Model, local: models.Model) -> tuple[DataFrame, DataFrame]:
+    """(answered locally with ``response``, to be sent on).  Split before the local model is called,
+    so that it sees trivial texts only."""
+    df = df.withColumn("classifier_raw", models.answer(models.classification_prompt(F.col(text)), router))
+    df = df.withColumn("classification", models.decision(F.col("classifier_raw")))
+    trivial = df.filter("classification = 'TRIVIAL'").withColumn("response", models.answer(F.col(text), local))
+    return trivial, df.filter("classification = 'COMPLEX'")
+
+
+def restore_choices(choices: Column, reverse_map: Column) -> Column:
+    """All choices of an answer (ARRAY<STRUCT<index, content>>) with their placeholders restored."""
+    return F.transform(choices, lambda c: c.withField("content", redact.restore(c["content"], reverse_map)))
+
+
 def tool_gate(df: DataFrame, tools: str = "tools", policy: str = "bypass") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(to process, bypassed unchanged, refused): requests with tools are not redacted."""
     has = F.col(tools).isNotNull() & (F.trim(F.col(tools).cast("string")) != "") & (F.trim(F.col(tools).cast("string")) != "[]")

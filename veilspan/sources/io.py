@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE = "id string, text string, annotations array<struct<start:int,end:int,kind:string,text:string>>"
@@ -118,8 +118,9 @@ def write_report(report: DataFrame, by_kind: DataFrame, folder: str) -> None:
 def figure_data(report: DataFrame) -> DataFrame:
     """Leak against latency per option, and whether no other option is better in both."""
     p = report.groupBy("option_name").agg(F.avg("combined_leak_rate").alias("leak"), F.avg("latency_ms_median").alias("latency"))
-    # a row per option; every option is compared with every other one
-    q = p.select(F.col("leak").alias("l2"), F.col("latency").alias("t2"))
-    better = (F.col("l2") <= F.col("leak")) & (F.col("t2") <= F.col("latency")) & ((F.col("l2") < F.col("leak")) | (F.col("t2") < F.col("latency")))
-    dominated = p.join(F.broadcast(q), better, "left_semi").select("option_name").withColumn("dominated", F.lit(True))
-    return p.join(dominated, "option_name", "left").select("option_name", "leak", "latency", F.coalesce("dominated", F.lit(False)).alias("dominated"))
+    # best leak at each latency, and at any smaller one: a row per option, no join of all with all
+    best = p.groupBy("latency").agg(F.min("leak").alias("here"))
+    before = Window.partitionBy(F.lit(1)).orderBy("latency").rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("before", F.min("here").over(before))
+    worse = (F.col("here") < F.col("leak")) | F.coalesce(F.col("before") <= F.col("leak"), F.lit(False))
+    return p.join(best, "latency").select("option_name", "leak", "latency", worse.alias("dominated"))
