@@ -35,15 +35,15 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-def _spans(s, d, policy=None, pats=SQL_PATTERNS, **kw) -> DataFrame:
+def _spans(s, d, policy=None, pats=patterns.PATTERNS, **kw) -> DataFrame:
     return pipeline.with_spans(_texts(s, d), patterns=pats, policy=policy, **kw)
 
 
-def _redacted(s, d) -> DataFrame:
-    return pipeline.with_redaction(_spans(s, d))
+def _redacted(s, d, pats=patterns.PATTERNS) -> DataFrame:
+    return pipeline.with_redaction(_spans(s, d, pats=pats))
 
 
-def _runs(s, d, options=SQL_OPTIONS, pats=SQL_PATTERNS) -> DataFrame:
+def _runs(s, d, options=pipeline.OPTIONS, pats=patterns.PATTERNS) -> DataFrame:
     return pipeline.runs(table(s, d, "samples").repartition(s.sparkContext.defaultParallelism), options, patterns=pats)
 
 
@@ -53,20 +53,20 @@ def _annotations(s, d) -> DataFrame:
     return a.groupBy("ann_id").agg(F.max(F.struct("annotated_at", "sample_id", "kind", "text", "span_start", "span_end")).alias("x")).select("ann_id", "x.*")
 
 
-def _leaks(s, d, options=("baseline", "B")) -> DataFrame:
-    return metrics.annotation_leaks(_runs(s, d, options), _annotations(s, d))
+def _leaks(s, d, options=("baseline", "B"), pats=patterns.PATTERNS) -> DataFrame:
+    return metrics.annotation_leaks(_runs(s, d, options, pats), _annotations(s, d))
 
 
 def detect_counts_by_kind(s, d):
     return spans.count_by_kind(_documents(s, d).select(spans.detect(F.col("text")).alias("spans")), "spans")
 
 
-def detect_spans(s, d):
-    return spans.exploded(_texts(s, d).withColumn("spans", spans.detect(F.col("text"), SQL_PATTERNS)), "spans", "id").select("id", "kind", "start", "end", "text")
+def detect_spans(s, d, pats=SQL_PATTERNS):
+    return spans.exploded(_texts(s, d).withColumn("spans", spans.detect(F.col("text"), pats)), "spans", "id").select("id", "kind", "start", "end", "text")
 
 
-def merge_spans(s, d):
-    return spans.exploded(_spans(s, d, engine="native"), "spans", "id").select("id", "kind", "start", "end")
+def merge_spans(s, d, pats=SQL_PATTERNS):
+    return spans.exploded(_spans(s, d, pats=pats, engine="native"), "spans", "id").select("id", "kind", "start", "end")
 
 
 def merge_all_kinds(s, d):
@@ -77,27 +77,27 @@ def merge_all_kinds_native(s, d):
     return spans.exploded(_spans(s, d, pats=patterns.PATTERNS, engine="native"), "spans", "id").select("id", "kind", "start", "end")
 
 
-def category_rollup(s, d):
-    k = spans.exploded(_spans(s, d), "spans", "id").select("kind", taxonomy.category(F.col("kind")).alias("category"))
+def category_rollup(s, d, pats=SQL_PATTERNS):
+    k = spans.exploded(_spans(s, d, pats=pats), "spans", "id").select("kind", taxonomy.category(F.col("kind")).alias("category"))
     return k.rollup("category", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def policy_filter(s, d):
-    return spans.count_by_kind(_spans(s, d, POLICY), "spans")
+def policy_filter(s, d, pats=SQL_PATTERNS):
+    return spans.count_by_kind(_spans(s, d, POLICY, pats), "spans")
 
 
-def kind_categories(s, d):
+def kind_categories(s, d, pats=SQL_PATTERNS):
     """Detections joined with the kind table, which is fixed and small."""
-    k = spans.count_by_kind(_spans(s, d), "spans")
+    k = spans.count_by_kind(_spans(s, d, pats=pats), "spans")
     return k.join(F.broadcast(taxonomy.kind_table(s)), "kind", "left").select("kind", F.coalesce("category", F.lit(taxonomy.UNKNOWN)).alias("category"), "n")
 
 
-def redact_samples(s, d):
-    return _redacted(s, d).select("id", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"), F.size("placeholders").cast("bigint").alias("placeholders"))
+def redact_samples(s, d, pats=SQL_PATTERNS):
+    return _redacted(s, d, pats).select("id", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"), F.size("placeholders").cast("bigint").alias("placeholders"))
 
 
-def reverse_map_entries(s, d):
-    return _redacted(s, d).select("id", F.explode(spans.each("reverse_map")).alias("e")).select("id", "e.placeholder", "e.original")
+def reverse_map_entries(s, d, pats=SQL_PATTERNS):
+    return _redacted(s, d, pats).select("id", F.explode(spans.each("reverse_map")).alias("e")).select("id", "e.placeholder", "e.original")
 
 
 def restore_roundtrip(s, d):
@@ -106,40 +106,40 @@ def restore_roundtrip(s, d):
     return clean.agg(F.count(F.lit(1)).alias("texts"), F.count_if(redact.restore(F.col("redacted"), F.col("reverse_map")) == F.col("text")).alias("restored"), F.count_if(redact.restore_once(F.col("redacted"), F.col("reverse_map")) == F.col("text")).alias("restored_once"))
 
 
-def leak_audit(s, d):
-    a = _redacted(s, d).withColumn("a", redact.audit(F.col("redacted"), F.col("spans")))
+def leak_audit(s, d, pats=SQL_PATTERNS):
+    a = _redacted(s, d, pats).withColumn("a", redact.audit(F.col("redacted"), F.col("spans")))
     return a.select("id", F.col("a.outgoing_bytes").cast("bigint").alias("outgoing_bytes"), F.col("a.detected").cast("bigint").alias("detected"), F.col("a.sent").cast("bigint").alias("sent"))
 
 
-def strict_refusals(s, d):
+def strict_refusals(s, d, pats=SQL_PATTERNS):
     """With host names held to be uncertain."""
     low = F.transform("spans", lambda x: x.withField("confidence", F.when(x["kind"] == "hostname_internal", 0.3).otherwise(x["confidence"])))
-    bad = pipeline.refused(_spans(s, d).withColumn("spans", low))
+    bad = pipeline.refused(_spans(s, d, pats=pats).withColumn("spans", low))
     return bad.select("id", F.size("reasons").cast("bigint").alias("reasons"), F.array_join(F.transform("reasons", lambda r: r["preview"]), "|").alias("previews"))
 
 
-def leak_summary(s, d):
-    return metrics.leak_summary(_leaks(s, d))
+def leak_summary(s, d, pats=SQL_PATTERNS):
+    return metrics.leak_summary(_leaks(s, d, pats=pats))
 
 
-def leak_by_sample(s, d):
-    return metrics.leaks_by_sample(_leaks(s, d)).select("sample_id", "option_name", "total_annotations", "exact_leaks", "partial_leaks", "combined_leak_rate")
+def leak_by_sample(s, d, pats=SQL_PATTERNS):
+    return metrics.leaks_by_sample(_leaks(s, d, pats=pats)).select("sample_id", "option_name", "total_annotations", "exact_leaks", "partial_leaks", "combined_leak_rate")
 
 
-def leak_by_kind(s, d):
-    return metrics.leak_by_kind(_leaks(s, d)).select("option_name", "kind", "total", "leaked", "rate")
+def leak_by_kind(s, d, pats=SQL_PATTERNS):
+    return metrics.leak_by_kind(_leaks(s, d, pats=pats)).select("option_name", "kind", "total", "leaked", "rate")
 
 
-def false_positive_rate(s, d):
-    return metrics.false_positive_rate(_runs(s, d, ("B",)), _annotations(s, d)).select("workload", "option_name", "detections", "unmatched", "false_positive_rate")
+def false_positive_rate(s, d, pats=SQL_PATTERNS):
+    return metrics.false_positive_rate(_runs(s, d, ("B",), pats), _annotations(s, d)).select("workload", "option_name", "detections", "unmatched", "false_positive_rate")
 
 
-def token_cost(s, d):
-    return metrics.token_cost(_runs(s, d, ("baseline", "B")))
+def token_cost(s, d, pats=SQL_PATTERNS):
+    return metrics.token_cost(_runs(s, d, ("baseline", "B"), pats))
 
 
-def option_matrix(s, d):
-    return metrics.option_matrix(metrics.leak_summary(metrics.annotation_leaks(_runs(s, d), _annotations(s, d))), sorted(workloads.SIZES))
+def option_matrix(s, d, pats=SQL_PATTERNS):
+    return metrics.option_matrix(metrics.leak_summary(_leaks(s, d, SQL_OPTIONS, pats)), sorted(workloads.SIZES))
 
 
 def latency_percentiles(s, d):
@@ -156,13 +156,13 @@ def route_decisions(s, d):
     return r.groupBy("decided", "classification").agg(F.count(F.lit(1)).alias("n"))
 
 
-def self_consistency(s, d):
-    r = _redacted(s, d).filter("text IS NOT NULL")
+def self_consistency(s, d, pats=SQL_PATTERNS):
+    r = _redacted(s, d, pats).filter("text IS NOT NULL")
     return r.groupBy("workload").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(metrics.self_consistent(F.col("text"), F.col("redacted"))).alias("consistent"))
 
 
-def term_survival(s, d):
-    t = _redacted(s, d).withColumn("terms", terms.technical_terms(F.col("text")))
+def term_survival(s, d, pats=SQL_PATTERNS):
+    t = _redacted(s, d, pats).withColumn("terms", terms.technical_terms(F.col("text")))
     v = t.withColumn("v", terms.survival(F.col("terms"), F.col("redacted")))
     return v.select("id", F.size("terms").cast("bigint").alias("terms"), F.array_join("terms", "|").alias("term_list"), F.size("v.surviving").cast("bigint").alias("surviving"), "v.survival_rate", "v.valid")
 
@@ -239,12 +239,12 @@ def stream_restore_final(s, d):
 def request_scope(s, d):
     """Messages of a client and batch as one request: placeholders numbered across its messages."""
     m = table(s, d, "samples").filter("client_id IS NOT NULL").select(F.concat_ws("/", "client_id", "batch_id").alias("request"), "id", "text")
-    r = pipeline.redact_messages(m, "request", "id", "role", "text", scope="request", patterns=SQL_PATTERNS)
+    r = pipeline.redact_messages(m, "request", "id", "role", "text", scope="request")
     return r.select("request", "id", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"))
 
 
-def detections_per_hour(s, d):
-    x = table(s, d, "samples").filter("created_at IS NOT NULL").withColumn("spans", spans.merge(spans.detect(F.col("text"), SQL_PATTERNS)))
+def detections_per_hour(s, d, pats=SQL_PATTERNS):
+    x = table(s, d, "samples").filter("created_at IS NOT NULL").withColumn("spans", spans.merge(spans.detect(F.col("text"), pats)))
     w = streams.detections_per_window(x, "created_at", "spans", "1 hour")
     return w.select(F.unix_timestamp("window_start").alias("window_start"), "kind", "n")
 
@@ -261,13 +261,13 @@ def reviewed_spans(s, d):
 
 def evaluation(s, d):
     """All twelve options with the stand-in models."""
-    r = _runs(s, d, pipeline.OPTIONS, patterns.PATTERNS)
+    r = _runs(s, d)
     a = _annotations(s, d)
     return metrics.eval_report(metrics.annotation_leaks(r, a), metrics.false_positive_rate(r, a))
 
 
 def option_labels(s, d):
-    return _runs(s, d, pipeline.OPTIONS, patterns.PATTERNS).groupBy("option_name", "label").agg(F.count(F.lit(1)).alias("n"))
+    return _runs(s, d).groupBy("option_name", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def semantic_leaks(s, d):
@@ -311,11 +311,27 @@ def transports(s, d):
     return t.select("doc_id", ok.alias("attested"), models.decision(models.answer(models.classification_prompt(F.col("text")), models.short_is_trivial)).alias("route"))
 
 
+def _all_kinds(query: Callable) -> Callable:
+    """The query with every kind, those included that SQL cannot express."""
+
+    def run(s, d):
+        return query(s, d, pats=patterns.PATTERNS)
+
+    run.__name__ = f"{query.__name__}_all_kinds"
+    return run
+
+
+# merge_spans has its own: merge_all_kinds
+_OF_SQL_KINDS = (
+    detect_spans, category_rollup, policy_filter, kind_categories, redact_samples, reverse_map_entries, leak_audit, strict_refusals, leak_summary, leak_by_sample, leak_by_kind, false_positive_rate, token_cost,
+    option_matrix, self_consistency, term_survival, detections_per_hour,
+)
+
 _ALL = (
     detect_counts_by_kind, detect_spans, merge_spans, merge_all_kinds, merge_all_kinds_native, category_rollup, policy_filter, kind_categories, redact_samples, reverse_map_entries, restore_roundtrip, leak_audit,
     strict_refusals, leak_summary, leak_by_sample, leak_by_kind, false_positive_rate, token_cost, option_matrix, latency_percentiles, route_share, route_decisions, self_consistency, term_survival, fhe_score, mpc_shares,
     split_activation, dp_noise, hook_scan, sample_prefix, pairing_join, annotate_occurrences, validate_annotations, session_cap, stream_restore_final, request_scope, detections_per_hour, entity_spans, reviewed_spans,
-    evaluation, option_labels, semantic_leaks, utility, report_lines, report_markdown, pareto, generated_workloads, transports,
+    evaluation, option_labels, semantic_leaks, utility, report_lines, report_markdown, pareto, generated_workloads, transports, *map(_all_kinds, _OF_SQL_KINDS),
 )
 
 
