@@ -236,6 +236,19 @@ def test_find_secrets(text, want):
     assert red == text[at:]
 
 
+ALONE = [
+    ("mysql -h h -u audit -p'U_CMk5 pjrmj $x' db", "U_CMk5 pjrmj $x"), ("curl -u me:tree2001 https.example", "tree2001"), ("sid=" + "x1" * 12, "x1" * 12), ("session_id: " + "x1" * 12, "x1" * 12), ('pat = "' + "x1" * 12 + '"', "x1" * 12),
+    ("Basic\t" + base64.b64encode(b"me:tree2001").decode(), base64.b64encode(b"me:tree2001").decode()),
+    *[(f"see {v} here", v) for v in ("ghp_" + "a1" * 18, "gho_" + "a1" * 18, "glpat-" + "a1" * 10, "npm_" + "a1" * 18, "pypi-" + "a1" * 18, "xoxb-" + "1" * 8 + "a2", "AIza" + "x1" * 18, "sk_live_" + "a1" * 12, "sk-" + "a1" * 12, "SG." + "a1" * 10 + "." + "b2" * 10, "SK" + "0a" * 16)],
+    *[(f"see {v} here", v) for v in ("eyJ" + "a1" * 6 + ".eyJ" + "b2" * 6 + "." + "c3" * 8, *(p + "B2" * 8 for p in ("AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA")))],
+]
+
+
+@pytest.mark.parametrize("text,value", ALONE)
+def test_a_secret_needs_no_other_word(text, value):
+    assert [text[a:b] for a, b, _ in secrets.find_secrets(text)] == [value]
+
+
 def test_secret_tables(spark):
     s = spark.createDataFrame([("1", "blind", "passwd: tree2001"), ("1", "blind", "passwd: tree2001"), (None, "blind", None), ("2", "blind", ""), ("3", "labelled", "passwd: tree2001"), ("4", "blind", "key " * 40_000)], "id string, split string, text string").withColumn("kind", F.lit(0))
     assert [tuple(r) for r in secrets.found(s).collect()] == [("1", 8, 16, "password")]
