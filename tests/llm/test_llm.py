@@ -206,6 +206,17 @@ def test_hot_copies_get_a_representative(spark, monkeypatch):
     assert neardup.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_large_groups_list_all_pairs_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FULL_PAIRS", 9)
+    monkeypatch.setattr(neardup, "BLOCK", 3, raising=False)
+    base = "one two three four five six seven eight nine ten eleven"
+    texts = [(f"p{i:02d}", base.replace(" ", " " * (i + 1))) for i in range(12)] + [(f"q{i:02d}", base + " twelve" + "." * i) for i in range(11)]
+    texts += [(f"r{i}", base.upper()) for i in range(7)]  # exact copies of one more
+    want = {p for p in brute(texts, 3, 0.6) if not (p[0][0] == p[1][0] == "r" and p[0] != "r0")}
+    got = [tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(texts, "id string, text string"), width=3, similarity=0.6).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 400
+
+
 # ---------------------------------------------------------------- 5 credentials
 SECRETS = [
     ('db_password = "tree2001 $x"  # note', [("password", "tree2001 $x")]),

@@ -31,7 +31,8 @@ from .common import cut, spread
 
 WIDTH, SIMILARITY = 5, 0.8
 LONG = 400  # shingles beyond which a set emits single shingles
-FULL_PAIRS = 1_000  # members of two classes, multiplied, beyond which only pairs with a representative are listed
+FULL_PAIRS = 1_000  # square of the copies of one text beyond which each is paired with a representative only
+BLOCK = 256  # members of a class that are paired at a time
 MAP_WORDS = 4
 
 
@@ -43,16 +44,17 @@ def shingles(text: Column, width: int) -> tuple[Column, Column]:
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """members (id, cls) and representatives (cls, toks); cls is the least id of a class."""
+    """members (id, cls, txt) and representatives (cls, toks); cls is the least id of a class, txt a
+    hash of the whole text."""
     words, made = shingles(F.col("text"), width)
     base = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL"))
     # no filter before the cut: pushed down, it would split the text again for every shingle
-    base = cut(base.withColumn("__w", words).select("id", made.alias("toks"))).filter("toks IS NOT NULL")
+    base = cut(base.withColumn("__w", words).select("id", F.xxhash64(F.lit(2), "text").alias("txt"), made.alias("toks"))).filter("toks IS NOT NULL")
     base = base.withColumn("__a", F.xxhash64("toks")).withColumn("__b", F.xxhash64(F.lit(1), "toks"))
     digest = ["__a", "__b"]
     reps = base.groupBy(*digest).agg(F.min("id").alias("cls"), F.first("toks").alias("toks"))
     reps = cut(reps)
-    members = base.select("id", *digest).join(reps.select("cls", *digest), digest).select("id", "cls").distinct()
+    members = base.select("id", "txt", *digest).join(reps.select("cls", *digest), digest).select("id", "cls", "txt").distinct()
     return cut(members), reps.select("cls", "toks")
 
 
@@ -132,18 +134,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(id_a, id_b), id_a < id_b as strings.  Where the members of two linked classes, or of one
-    class, make more than FULL_PAIRS pairs, each member is paired with the other class's (or its
-    own) representative only; ``similar_groups`` has the membership."""
+    """(id_a, id_b), id_a < id_b as strings: all pairs of different texts.  Where the exact copies of
+    one text would make more than FULL_PAIRS pairs, each is paired with the least id of them only;
+    ``similar_groups`` has the membership."""
     members, reps = classes(docs, id_col, text_col, width)
-    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("k"))
-    links = similar_classes(reps, similarity).unionByName(sizes.filter("k > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-    size = lambda c: sizes.select(F.col("cls").alias(c), F.col("k").alias(f"{c}_k"))
-    links = cut(links.join(size("a"), "a").join(size("b"), "b").withColumn("full", F.col("a_k") * F.col("b_k") <= FULL_PAIRS).select("a", "b", "full"))
-    side = lambda c: members.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}"))
-    full = links.filter("full").join(side("a"), "a").join(side("b"), "b").select("id_a", "id_b")
-    hot = links.filter("NOT full")
-    star = hot.join(side("a"), "a").select("id_a", F.col("b").alias("id_b")).unionByName(hot.join(side("b"), "b").select(F.col("a").alias("id_a"), "id_b"))
+    copies = members.groupBy("cls", "txt").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("rep")).withColumn("hot", F.col("k") * F.col("k") > FULL_PAIRS)
+    # a block holds members of one class: of one hot text, or of any others
+    own = F.when(F.col("hot"), F.col("txt"))
+    sizes = copies.groupBy("cls", own.alias("own")).agg(F.sum("k").alias("k"), F.max("hot").alias("hot"), F.max(F.when(F.col("hot"), F.col("rep"))).alias("rep"))
+    sizes = cut(sizes.withColumn("parts", F.ceil(F.col("k") / BLOCK).cast("int")))
+    dealt = members.join(sizes.select("cls", F.col("own").alias("txt"), F.col("parts").alias("hot_parts")).filter("txt IS NOT NULL"), ["cls", "txt"], "left")
+    dealt = dealt.join(sizes.filter("own IS NULL").select("cls", F.col("parts").alias("rest_parts")), "cls", "left")
+    parts = F.coalesce("hot_parts", "rest_parts")
+    dealt = cut(dealt.select("id", "cls", F.xxhash64(F.when(F.col("hot_parts").isNotNull(), F.col("txt")), F.pmod(F.xxhash64(F.lit(3), "id"), parts).cast("int")).alias("blk")))
+    blocks = sizes.select("cls", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("n")).select("cls", "own", F.xxhash64("own", "n").alias("blk"))
+    links = similar_classes(reps, similarity).unionByName(sizes.groupBy("cls").agg(F.sum("k").alias("k")).filter("k > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    block = lambda c: blocks.select(F.col("cls").alias(c), F.col("own").alias(f"own_{c}"), F.col("blk").alias(f"blk_{c}"))
+    side = lambda c: dealt.select(F.col("cls").alias(c), F.col("blk").alias(f"blk_{c}"), F.col("id").alias(f"id_{c}"))
+    met = links.join(block("a"), "a").join(block("b"), "b").filter("a <> b OR (blk_a <= blk_b AND NOT coalesce(own_a = own_b, false))")
+    full = met.join(side("a"), ["a", "blk_a"]).join(side("b"), ["b", "blk_b"]).filter("a <> b OR blk_a <> blk_b OR id_a < id_b").select("id_a", "id_b")
+    hot = sizes.filter("hot").select("cls", F.col("own").alias("txt"), F.col("rep").alias("id_a"))
+    star = hot.join(members, ["cls", "txt"]).select("id_a", F.col("id").alias("id_b"))
     every = full.unionByName(star).filter("id_a <> id_b")
     return every.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
@@ -152,6 +163,7 @@ def similar_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     """One row per id: (id, class_id, group_id, copies, linked_classes).  class_id joins texts of
     equal shingles, group_id those connected by links."""
     members, reps = classes(docs, id_col, text_col, width)
+    members = members.select("id", "cls").distinct()
     links = cut(similar_classes(reps, similarity))
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("linked_classes"))
