@@ -197,6 +197,20 @@ def test_frequent_combinations_lose_nothing(spark):
     assert members.count() == 80
 
 
+@pytest.mark.parametrize("sim", [0.6, 0.4])
+def test_small_sets_of_frequent_shingles_are_met(spark, sim):
+    rng = random.Random(8)
+    texts = [("a", "w1 w2 w3 w4"), ("b", "w1 w2 w3 w4 w5"), ("c", "w1 w2 w3")] + [(f"t{i:02d}", " ".join(f"w{1 + (s + k) % 5}" for k in range(rng.randint(3, 8)))) for i, s in enumerate(rng.choices(range(4), k=40))]
+    members, reps = neardup.classes(spark.createDataFrame(texts, "id string, text string"), "id", "text", 3)
+    sets, kept = neardup.ordered(reps, sim).cache(), {r.cls for r in reps.collect()}
+    want = {p for p in brute(texts, 3, sim) if set(p) <= kept}
+    assert ("a", "b") in want
+    for f, v in ((0, 0), (0, 10**9), (2, 4), (10**9, 10**9)):
+        x = neardup.signatures(sets, sim, f, v).select("sig", "cls")
+        met = {tuple(r) for r in x.join(x.withColumnRenamed("cls", "o"), "sig").filter("cls < o").select("cls", "o").distinct().collect()}
+        assert want <= met, (f, v, want - met)
+
+
 def test_hot_copies_get_a_representative(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FULL_PAIRS", 9)
     df = spark.createDataFrame([(f"c{i}", "one two three four five six") for i in range(6)], "id string, text string")

@@ -10,8 +10,9 @@ frequent.  If two sets share at least o shingles, the first k shared ones lie wi
 * pairs from its 2-prefix that begin with a frequent shingle, triples from its 3-prefix that begin
   with a very frequent one.
 
-The first shared shingle of two similar sets decides which of the three they meet in, so no pair is
-lost.  Sets with many shingles emit single shingles only (their prefixes would give too many
+The first shared shingle of two similar sets decides which of the three they meet in.  A small set
+may share only one or two shingles with a similar one: it emits frequent shingles too if its least
+overlap is 1, and pairs that begin with a very frequent one if it is 2 or less.  So no pair is lost.  Sets with many shingles emit single shingles only (their prefixes would give too many
 combinations), and sets near that border do both.  Sets that meet are compared by size and by a
 256-bit parity map (the maps' Hamming distance is a lower bound of the symmetric difference), then
 exactly.  All of it is joins and JVM expressions; no group is collected, and a hot signature is a
@@ -83,12 +84,13 @@ def ordered(reps: DataFrame, similarity: float) -> DataFrame:
 
 def signatures(sets: DataFrame, similarity: float, frequent: int, very_frequent: int) -> DataFrame:
     """(sig, cls, n, m, m0..m3), see the module's text."""
-    room = F.col("m") - _least_overlap(F.col("n"), similarity)
+    least = _least_overlap(F.col("n"), similarity)
+    room = F.col("m") - least
     p = [F.slice("pre", 1, F.least(F.size("pre"), room + k)) for k in (1, 2, 3)]
-    rare = F.transform(F.filter("p1", lambda x: x["df"] <= frequent), lambda x: F.xxhash64(F.lit(1), x["t"]))
+    rare = F.transform(F.filter("p1", lambda x: (x["df"] <= frequent) | (least <= 1)), lambda x: F.xxhash64(F.lit(1), x["t"]))
     after = lambda a, i: F.slice(a, i + 2, F.size(a))
     none = F.array().cast("array<bigint>")
-    pairs = F.flatten(F.transform("p2", lambda x, i: F.when((x["df"] > frequent) & (x["df"] <= very_frequent), F.transform(after(F.col("p2"), i), lambda y: F.xxhash64(F.lit(2), x["t"], y["t"]))).otherwise(none)))
+    pairs = F.flatten(F.transform("p2", lambda x, i: F.when((x["df"] > frequent) & ((x["df"] <= very_frequent) | (least <= 2)), F.transform(after(F.col("p2"), i), lambda y: F.xxhash64(F.lit(2), x["t"], y["t"]))).otherwise(none)))
     triples = F.flatten(F.transform("p3", lambda x, i: F.when(x["df"] > very_frequent, F.flatten(F.transform(after(F.col("p3"), i), lambda y, j: F.transform(F.slice("p3", i + j + 3, F.size("p3")), lambda z: F.xxhash64(F.lit(3), x["t"], y["t"], z["t"]))))).otherwise(none)))
     single = F.transform("p1", lambda x: F.xxhash64(F.lit(4), x["t"]))
     short, border = F.col("n") <= LONG, F.col("n") * similarity <= LONG
