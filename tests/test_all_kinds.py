@@ -74,3 +74,26 @@ def test_us_phone_numbers_are_counted(spark, folder):
 def test_requests_hold_no_us_phone_number(spark, folder):
     got = {r.id: r.redacted_md5 for r in rows(spark, folder, "request_scope")}
     assert got["s2"] == hashlib.md5("ring ⟨PHONE_US_1⟩, then ⟨PHONE_US_1⟩ again".encode()).hexdigest()
+
+
+def test_round_trip_of_all_texts(spark, tmp_path):
+    tag = hashlib.md5(b"h3").hexdigest()[:8]
+    texts = [("h1", "⟨EMAIL_1⟩ wrote to a@x.example"), ("h2", "⟨EMAIL_1⟩ and ⟨X"), ("h3", f"⟨EMAIL_1·{tag}⟩ is a@x.example"), ("h4", "call 212-555-0100"), ("h5", None), ("h6", "")]
+    spark.createDataFrame([(i, "wl1_pii", t) for i, t in texts], "id string, workload string, text string").write.parquet(f"{tmp_path}/samples.parquet")
+
+    def restored(i, text):
+        t = hashlib.md5(i.encode()).hexdigest()[:8]
+        names, count, at, out = {}, {}, 0, ""
+        for _, _, kind, value in reversed(found(text)):
+            if value not in names:
+                count[kind] = count.get(kind, 0) + 1
+                names[value] = f"⟨{kind.upper()}_{count[kind]}·{t}⟩"
+        for a, b, _, value in found(text):
+            out, at = out + text[at:a] + names[value], b
+        out += text[at:]
+        for value, name in names.items():
+            out = out.replace(name, value)
+        return out == text
+
+    ok = [restored(i, t) for i, t in texts if t is not None]
+    assert [tuple(r) for r in rows(spark, str(tmp_path), "restore_roundtrip_all_texts")] == [(5, sum(ok), len(ok) - sum(ok), sum(ok))] and sum(ok) == 4

@@ -106,6 +106,13 @@ def restore_roundtrip(s, d):
     return clean.agg(F.count(F.lit(1)).alias("texts"), F.count_if(redact.restore(F.col("redacted"), F.col("reverse_map")) == F.col("text")).alias("restored"), F.count_if(redact.restore_once(F.col("redacted"), F.col("reverse_map")) == F.col("text")).alias("restored_once"))
 
 
+def restore_roundtrip_all_texts(s, d):
+    """Texts that hold placeholders of their own included: a tag of the request keeps the two apart."""
+    r = pipeline.with_redaction(_spans(s, d).filter("text IS NOT NULL"), tag=redact.request_tag(F.col("id")))
+    back = lambda f: f(F.col("redacted"), F.col("reverse_map")) == F.col("text")
+    return r.agg(F.count(F.lit(1)).alias("texts"), F.count_if(back(redact.restore)).alias("restored"), F.count_if(~back(redact.restore)).alias("not_restored"), F.count_if(back(redact.restore_once)).alias("restored_once"))
+
+
 def leak_audit(s, d, pats=SQL_PATTERNS):
     a = _redacted(s, d, pats).withColumn("a", redact.audit(F.col("redacted"), F.col("spans")))
     return a.select("id", F.col("a.outgoing_bytes").cast("bigint").alias("outgoing_bytes"), F.col("a.detected").cast("bigint").alias("detected"), F.col("a.sent").cast("bigint").alias("sent"))
@@ -331,7 +338,7 @@ _ALL = (
     detect_counts_by_kind, detect_spans, merge_spans, merge_all_kinds, merge_all_kinds_native, category_rollup, policy_filter, kind_categories, redact_samples, reverse_map_entries, restore_roundtrip, leak_audit,
     strict_refusals, leak_summary, leak_by_sample, leak_by_kind, false_positive_rate, token_cost, option_matrix, latency_percentiles, route_share, route_decisions, self_consistency, term_survival, fhe_score, mpc_shares,
     split_activation, dp_noise, hook_scan, sample_prefix, pairing_join, annotate_occurrences, validate_annotations, session_cap, stream_restore_final, request_scope, detections_per_hour, entity_spans, reviewed_spans,
-    evaluation, option_labels, semantic_leaks, utility, report_lines, report_markdown, pareto, generated_workloads, transports, *map(_all_kinds, _OF_SQL_KINDS),
+    evaluation, option_labels, semantic_leaks, utility, report_lines, report_markdown, pareto, generated_workloads, transports, restore_roundtrip_all_texts, *map(_all_kinds, _OF_SQL_KINDS),
 )
 
 
