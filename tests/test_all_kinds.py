@@ -97,3 +97,9 @@ def test_round_trip_of_all_texts(spark, tmp_path):
 
     ok = [restored(i, t) for i, t in texts if t is not None]
     assert [tuple(r) for r in rows(spark, str(tmp_path), "restore_roundtrip_all_texts")] == [(5, sum(ok), len(ok) - sum(ok), sum(ok))] and sum(ok) == 4
+
+
+def test_messages_without_client_are_requests(spark, folder):
+    got = {r.id: (r.request, r.redacted_md5) for r in rows(spark, folder, "request_scope")}
+    assert set(got) == {i for i, _, _ in TEXTS} and got["s1"][0] == got["s2"][0] == "c1/b1"
+    assert got["s3"] == ("/s3", hashlib.md5(redacted(TEXTS[2][2]).encode()).hexdigest()) and got["s5"] == ("/s5", None)

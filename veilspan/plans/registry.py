@@ -244,8 +244,10 @@ def stream_restore_final(s, d):
 
 
 def request_scope(s, d):
-    """Messages of a client and batch as one request: placeholders numbered across its messages."""
-    m = table(s, d, "samples").filter("client_id IS NOT NULL").select(F.concat_ws("/", "client_id", "batch_id").alias("request"), "id", "text")
+    """Messages of a client and batch as one request: placeholders numbered across its messages.  A
+    message without client is a request of its own."""
+    request = F.when(F.col("client_id").isNotNull(), F.concat_ws("/", "client_id", "batch_id")).otherwise(F.concat(F.lit("/"), "id"))
+    m = table(s, d, "samples").select(request.alias("request"), "id", "text")
     r = pipeline.redact_messages(m, "request", "id", "role", "text", scope="request")
     return r.select("request", "id", F.md5(F.col("redacted").cast("binary")).alias("redacted_md5"))
 
