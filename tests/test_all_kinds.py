@@ -6,6 +6,7 @@ import re
 import pytest
 
 from veilspan.functions import patterns
+from veilspan.operators import pipeline
 from veilspan.plans import registry
 
 TEXTS = [
@@ -103,3 +104,18 @@ def test_messages_without_client_are_requests(spark, folder):
     got = {r.id: (r.request, r.redacted_md5) for r in rows(spark, folder, "request_scope")}
     assert set(got) == {i for i, _, _ in TEXTS} and got["s1"][0] == got["s2"][0] == "c1/b1"
     assert got["s3"] == ("/s3", hashlib.md5(redacted(TEXTS[2][2]).encode()).hexdigest()) and got["s5"] == ("/s5", None)
+
+
+def test_all_options_are_measured(spark, folder):
+    values = {"s1": ["(212) 555-0100", "a@x.example"], "s2": ["212-555-0101"]}
+    sent = {(r.sample_id, r.option_name): r.outgoing for r in registry._runs(spark, folder).select("sample_id", "option_name", "outgoing").collect()}
+    assert {sent[("s1", o)] for o in ("baseline", "D")} == {TEXTS[0][2]} and {sent[("s1", o)] for o in ("B", "B+D")} == {redacted(TEXTS[0][2])} and {sent[("s1", o)] for o in "EFG"} == {""}
+    want = {(i, o): sum(v in sent[(i, o)] for v in vs) for i, vs in values.items() for o in pipeline.OPTIONS}
+    assert {(r.sample_id, r.option_name): r.exact_leaks for r in rows(spark, folder, "leak_by_sample_all_options")} == want
+    total = {o: sum(want[(i, o)] for i in values) for o in pipeline.OPTIONS}
+    assert {r.option_name: r.exact_leaks for r in rows(spark, folder, "leak_summary_all_options")} == total
+    phones = {o: want[("s2", o)] + (values["s1"][0] in sent[("s1", o)]) for o in pipeline.OPTIONS}
+    assert {r.option_name: r.leaked for r in rows(spark, folder, "leak_by_kind_all_options") if r.kind == "phone"} == phones
+    assert {r.option_name: r.outgoing_tokens for r in rows(spark, folder, "token_cost_all_options")} == {o: sum(len(t.split()) for (_, x), t in sent.items() if x == o) for o in pipeline.OPTIONS}
+    assert {r.option_name for r in rows(spark, folder, "option_matrix_all_options")} == set(pipeline.OPTIONS)
+    assert {r.option_name for r in rows(spark, folder, "false_positive_rate_all_options")} == {o for o in pipeline.OPTIONS if "B" in o}

@@ -125,28 +125,28 @@ def strict_refusals(s, d, pats=SQL_PATTERNS):
     return bad.select("id", F.size("reasons").cast("bigint").alias("reasons"), F.array_join(F.transform("reasons", lambda r: r["preview"]), "|").alias("previews"))
 
 
-def leak_summary(s, d, pats=SQL_PATTERNS):
-    return metrics.leak_summary(_leaks(s, d, pats=pats))
+def leak_summary(s, d, pats=SQL_PATTERNS, options=("baseline", "B")):
+    return metrics.leak_summary(_leaks(s, d, options, pats))
 
 
-def leak_by_sample(s, d, pats=SQL_PATTERNS):
-    return metrics.leaks_by_sample(_leaks(s, d, pats=pats)).select("sample_id", "option_name", "total_annotations", "exact_leaks", "partial_leaks", "combined_leak_rate")
+def leak_by_sample(s, d, pats=SQL_PATTERNS, options=("baseline", "B")):
+    return metrics.leaks_by_sample(_leaks(s, d, options, pats)).select("sample_id", "option_name", "total_annotations", "exact_leaks", "partial_leaks", "combined_leak_rate")
 
 
-def leak_by_kind(s, d, pats=SQL_PATTERNS):
-    return metrics.leak_by_kind(_leaks(s, d, pats=pats)).select("option_name", "kind", "total", "leaked", "rate")
+def leak_by_kind(s, d, pats=SQL_PATTERNS, options=("baseline", "B")):
+    return metrics.leak_by_kind(_leaks(s, d, options, pats)).select("option_name", "kind", "total", "leaked", "rate")
 
 
-def false_positive_rate(s, d, pats=SQL_PATTERNS):
-    return metrics.false_positive_rate(_runs(s, d, ("B",), pats), _annotations(s, d)).select("workload", "option_name", "detections", "unmatched", "false_positive_rate")
+def false_positive_rate(s, d, pats=SQL_PATTERNS, options=("B",)):
+    return metrics.false_positive_rate(_runs(s, d, options, pats), _annotations(s, d)).select("workload", "option_name", "detections", "unmatched", "false_positive_rate")
 
 
-def token_cost(s, d, pats=SQL_PATTERNS):
-    return metrics.token_cost(_runs(s, d, ("baseline", "B"), pats))
+def token_cost(s, d, pats=SQL_PATTERNS, options=("baseline", "B")):
+    return metrics.token_cost(_runs(s, d, options, pats))
 
 
-def option_matrix(s, d, pats=SQL_PATTERNS):
-    return metrics.option_matrix(metrics.leak_summary(_leaks(s, d, SQL_OPTIONS, pats)), sorted(workloads.SIZES))
+def option_matrix(s, d, pats=SQL_PATTERNS, options=SQL_OPTIONS):
+    return metrics.option_matrix(metrics.leak_summary(_leaks(s, d, options, pats)), sorted(workloads.SIZES))
 
 
 def latency_percentiles(s, d):
@@ -330,17 +330,29 @@ def _all_kinds(query: Callable) -> Callable:
     return run
 
 
+def _all_options(query: Callable) -> Callable:
+    """The query with every kind and all twelve options, with the stand-in models."""
+
+    def run(s, d):
+        return query(s, d, pats=patterns.PATTERNS, options=pipeline.OPTIONS)
+
+    run.__name__ = f"{query.__name__}_all_options"
+    return run
+
+
 # merge_spans has its own: merge_all_kinds
 _OF_SQL_KINDS = (
     detect_spans, category_rollup, policy_filter, kind_categories, redact_samples, reverse_map_entries, leak_audit, strict_refusals, leak_summary, leak_by_sample, leak_by_kind, false_positive_rate, token_cost,
     option_matrix, self_consistency, term_survival, detections_per_hour,
 )
 
+_OF_SOME_OPTIONS = (leak_summary, leak_by_sample, leak_by_kind, false_positive_rate, token_cost, option_matrix)
+
 _ALL = (
     detect_counts_by_kind, detect_spans, merge_spans, merge_all_kinds, merge_all_kinds_native, category_rollup, policy_filter, kind_categories, redact_samples, reverse_map_entries, restore_roundtrip, leak_audit,
     strict_refusals, leak_summary, leak_by_sample, leak_by_kind, false_positive_rate, token_cost, option_matrix, latency_percentiles, route_share, route_decisions, self_consistency, term_survival, fhe_score, mpc_shares,
     split_activation, dp_noise, hook_scan, sample_prefix, pairing_join, annotate_occurrences, validate_annotations, session_cap, stream_restore_final, request_scope, detections_per_hour, entity_spans, reviewed_spans,
-    evaluation, option_labels, semantic_leaks, utility, report_lines, report_markdown, pareto, generated_workloads, transports, restore_roundtrip_all_texts, *map(_all_kinds, _OF_SQL_KINDS),
+    evaluation, option_labels, semantic_leaks, utility, report_lines, report_markdown, pareto, generated_workloads, transports, restore_roundtrip_all_texts, *map(_all_kinds, _OF_SQL_KINDS), *map(_all_options, _OF_SOME_OPTIONS),
 )
 
 
