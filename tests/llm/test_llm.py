@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -51,7 +51,8 @@ def test_percentiles_exact_bounded_and_merged(spark):
 
 
 def test_wrong_reports(spark):
-    r = spark.createDataFrame([(f"q{i}", "r", "B", "w", float(i), f"2026-01-{1 + i % 3:02d}") for i in range(1, 101)] + [("q1", "r", "B", "w", 1.0, "2026-01-09"), (None, "r", "B", "w", 5.0, None)], "request_id string, run_id string, option_name string, workload string, latency_ms double, received_at string").withColumn("received_at", F.to_timestamp("received_at"))
+    r = spark.createDataFrame([(f"q{i}", "r", "B", "w", float(i), f"2026-01-{1 + i % 3:02d}") for i in range(1, 101)] + [("q1", "r", "B", "w", 1.0, "2026-01-09"), (None, "r", "B", "w", 5.0, None)], "request_id string, run_id string, option_name string, workload string, latency_ms double, received_at string")
+    r = r.withColumn("received_at", F.to_timestamp("received_at")).withColumn("requested_at", F.when(F.col("request_id") == "q1", F.to_timestamp(F.lit("2026-01-02"))).otherwise(F.col("received_at")))
     e = lambda m, p: spark.createDataFrame([("r", "B", "w", m, p)], "run_id string, option_name string, workload string, latency_ms_median double, latency_ms_p95 double")
     assert percentiles.latency_percentiles(r).first().n == 101
     assert percentiles.wrong_reports(r, e(50.0, 95.0)).count() == 0 and percentiles.wrong_reports(r, e(70.0, None)).count() == 1 and percentiles.wrong_reports(r, e(None, None)).count() == 0
@@ -59,6 +60,9 @@ def test_wrong_reports(spark):
 
 # ---------------------------------------------------------------- 2 sampling
 @settings(max_examples=200, deadline=None)
+@example([[1e-9, 1.5]])
+@example([[1e-12, 1.5], [2.5, 1 - 1e-12]])
+@example([[1e-9, 1 - 1e-9], [2 + 1e-9, 0.5], [1e-12, 3.0]])
 @given(st.integers(1, 5).flatmap(lambda c: st.lists(st.lists(st.floats(0, 6) | st.integers(0, 4).map(float), min_size=c, max_size=c), min_size=1, max_size=6)))
 def test_controlled_rounding(table):
     out = sampling.controlled_rounding(table)
@@ -69,6 +73,16 @@ def test_controlled_rounding(table):
     assert ok(math.fsum(map(math.fsum, table)), sum(map(sum, out)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 4).flatmap(lambda c: st.lists(st.lists(st.fractions(0, 5, max_denominator=10**12), min_size=c, max_size=c), min_size=1, max_size=5)))
+def test_controlled_rounding_of_fractions_is_exact(table):
+    out = sampling.controlled_rounding(table)
+    ok = lambda x, n: math.floor(x) <= n <= math.ceil(x)
+    assert all(ok(x, n) for a, b in zip(table, out) for x, n in zip(a, b))
+    assert all(ok(sum(a), sum(b)) for a, b in zip(table, out)) and ok(sum(map(sum, table)), sum(map(sum, out)))
+    assert all(ok(sum(r[j] for r in table), sum(r[j] for r in out)) for j in range(len(table[0])))
+
+
 def test_draws_take_their_quotas(spark):
     kinds = ["Email", " e-mail", "EMAIL", "org name", "Org_Name", None]
     a = [(i, f"wl{1 + i % 3}_{i}", "b1", kinds[i % 6], f"2026-01-{1 + i % 9:02d}") for i in range(600)] + [(0, "wl1_0", "b1", "email", "2026-02-01"), (None, "wl1_1", "b1", "email", None)]
@@ -154,9 +168,8 @@ def brute(texts, width, sim):
     return {tuple(sorted(p)) for p in combinations(sets, 2) if sets[p[0]] and len(sets[p[0]] & sets[p[1]]) >= sim * len(sets[p[0]] | sets[p[1]]) - 1e-9}
 
 
-@pytest.mark.parametrize("width,sim,long", [(3, 0.6, 400), (5, 0.8, 400), (3, 0.6, 20)])
-def test_similar_pairs_equal_brute_force(spark, monkeypatch, width, sim, long):
-    monkeypatch.setattr(neardup, "LONG", long)
+@pytest.mark.parametrize("width,sim", [(3, 0.6), (5, 0.8)])
+def test_similar_pairs_equal_brute_force(spark, width, sim):
     rng, words = random.Random(width), [f"w{i}" for i in range(60)]
     boiler = " ".join(words[:14])
     texts = []
@@ -185,15 +198,18 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, width, sim, long):
     assert len({top(i) for i in root}) == len(set(groups.values()))
 
 
+def met(reps, sim, frequent):
+    names = {r.c: r.cls for r in reps.collect()}
+    return sorted(tuple(sorted((names[r.a], names[r.b]))) for r in neardup.similar_classes(reps, sim, frequent).collect())
+
+
 def test_frequent_combinations_lose_nothing(spark):
     texts = [(f"t{i:03d}", " ".join(f"a{(i * 7 + k) % 9}" if k % 4 else f"b{i % 12}" for k in range(30))) for i in range(80)]
-    df = spark.createDataFrame(texts, "id string, text string")
-    members, reps = neardup.classes(df, "id", "text", 3)
-    sets = neardup.ordered(reps, 0.6).cache()
-    for f, v in ((1, 10**9), (1, 2), (0, 0), (10**9, 10**9)):
-        x = neardup.signatures(sets, 0.6, f, v).select("sig", "cls")
-        met = {tuple(sorted(r)) for r in x.join(x.withColumnRenamed("cls", "o"), "sig").filter("cls < o").select("cls", "o").distinct().collect()}
-        assert {p for p in brute(texts, 3, 0.6) if p[0] in {r.cls for r in reps.collect()} and p[1] in {r.cls for r in reps.collect()}} <= met
+    members, reps = neardup.classes(spark.createDataFrame(texts, "id string, text string"), "id", "text", 3)
+    kept = {r.cls for r in reps.collect()}
+    want = sorted(p for p in brute(texts, 3, 0.6) if set(p) <= kept)
+    for f in (0, 3, 10**9):
+        assert met(reps, 0.6, f) == want, f
     assert members.count() == 80
 
 
@@ -202,13 +218,18 @@ def test_small_sets_of_frequent_shingles_are_met(spark, sim):
     rng = random.Random(8)
     texts = [("a", "w1 w2 w3 w4"), ("b", "w1 w2 w3 w4 w5"), ("c", "w1 w2 w3")] + [(f"t{i:02d}", " ".join(f"w{1 + (s + k) % 5}" for k in range(rng.randint(3, 8)))) for i, s in enumerate(rng.choices(range(4), k=40))]
     members, reps = neardup.classes(spark.createDataFrame(texts, "id string, text string"), "id", "text", 3)
-    sets, kept = neardup.ordered(reps, sim).cache(), {r.cls for r in reps.collect()}
-    want = {p for p in brute(texts, 3, sim) if set(p) <= kept}
+    kept = {r.cls for r in reps.collect()}
+    want = sorted(p for p in brute(texts, 3, sim) if set(p) <= kept)
     assert ("a", "b") in want
-    for f, v in ((0, 0), (0, 10**9), (2, 4), (10**9, 10**9)):
-        x = neardup.signatures(sets, sim, f, v).select("sig", "cls")
-        met = {tuple(r) for r in x.join(x.withColumnRenamed("cls", "o"), "sig").filter("cls < o").select("cls", "o").distinct().collect()}
-        assert want <= met, (f, v, want - met)
+    for f in (0, 2):
+        assert met(reps, sim, f) == want, f
+
+
+def test_nothing_of_the_similarity_join_is_broadcast(spark):
+    texts = [(f"t{i}", " ".join(f"w{(i + k * k) % 17}" for k in range(20))) for i in range(30)]
+    _, reps = neardup.classes(spark.createDataFrame(texts, "id string, text string"), "id", "text", 3)
+    for df in (neardup.ordered(reps, 0.6), neardup.similar_classes(reps, 0.6)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hot_copies_get_a_representative(spark, monkeypatch):
@@ -328,6 +349,10 @@ def test_mixing(spark):
     rep = {(r.mix_id, r.source): r for r in mixing.mix_report(sizes, t).collect()}
     assert {k for k, r in rep.items() if r.short} == {(1, "wiki"), (2, "none")}
     assert rep[(1, "wiki")].tokens == 300 and rep[(1, "wiki")].most_copies == 3 and 2050 - 10 < rep[(1, "CHAT")].tokens <= 2050 and rep[(2, "wiki")].most_copies == 3
+    empty = sizes.unionByName(spark.createDataFrame([(900 + i, "chat", 0) for i in range(5)], "doc_id long, source string, tokens long"))
+    for repeats in (0, 1, 2):
+        used = mixing.mix_from_sizes(empty, spark.createDataFrame([(7, "chat", 9.0, repeats, 1)], t.schema)).collect()
+        assert max((r.copies for r in used), default=0) == repeats and sum(r.tokens * r.copies for r in used) == repeats * sum(r.tokens for r in sizes.filter("source = 'chat'").collect())
     m = mixing.mix_from_sizes(sizes, t)
     assert m.filter("mix_id = 2 AND target_source = 'wiki'").agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] == 205
     upto = [r.upto for r in mixing.prefix_sums(sizes).filter("source = 'chat'").orderBy("upto").collect()]

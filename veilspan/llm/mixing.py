@@ -5,11 +5,13 @@ source is used in whole epochs first; the last, partial epoch is cut in hash-ran
 running sum of tokens reaches the budget.  The order is the same for all mixes, so the prefix sums
 are made once: documents are range-partitioned within their source by the leading bits of the
 random key, bucket sums give each bucket its offset, and only rows of one bucket are sorted
-together.  A source that holds a third of all rows is thus spread over 2**BUCKET_BITS tasks.
+together.  There is a bucket per PER_BUCKET rows, so none grows with the corpus and a source that
+holds a third of all rows is spread over as many tasks.
 
 Defined results: null or empty texts have 0 tokens and take part; null or blank sources are unknown
 and count nowhere; sources compare without case and blanks; a mix row of a source without documents
-gets nothing and is short if it wants anything; null weights and repeats count as 0; mix rows
+gets nothing and is short if it wants anything; null weights and repeats count as 0, and a source
+with 0 repeats is not used; no document is used more often than max_repeats says; mix rows
 repeated for a mix and source (as spelled) count once; no documents give no rows.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, fold_name, spread
 from .tokens import VOCABULARY, token_count
 
-BUCKET_BITS = 12
+PER_BUCKET = 50_000  # rows that are sorted together
 MOST_TARGETS = 10_000
 _KNOWN = "__known"
 
@@ -46,9 +48,10 @@ def allocations(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return a.withColumn("epochs", epochs.cast("bigint")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_tokens"))
 
 
-def prefix_sums(sizes: DataFrame, seed: int = 29) -> DataFrame:
+def prefix_sums(sizes: DataFrame, seed: int = 29, per_bucket: int = PER_BUCKET) -> DataFrame:
     """sizes with ``upto``: tokens of the source up to and with this document, in random order."""
-    keyed = sizes.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("__b", F.shiftrightunsigned("__h", 64 - BUCKET_BITS))
+    bits = max(8, (sizes.count() // per_bucket).bit_length())
+    keyed = sizes.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("__b", F.shiftrightunsigned("__h", 64 - bits))
     sums = keyed.groupBy("source", "__b").agg(F.sum("tokens").alias("__t"))
     w = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offset = sums.select("source", "__b", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__before"))
@@ -65,9 +68,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 def mix_from_sizes(sizes: DataFrame, targets: DataFrame, seed: int = 29) -> DataFrame:
     """(mix_id, target_source, doc_id, tokens, copies): how often each document is used."""
-    a = cut(allocations(sizes, targets)).select("mix_id", "target_source", "source", "epochs", "rest")
+    a = cut(allocations(sizes, targets)).select("mix_id", "target_source", "source", "epochs", "rest", "max_repeats")
     rows = prefix_sums(sizes, seed).join(_small(a), "source")
-    copies = F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)
+    last = (F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))
+    copies = F.least(F.col("epochs") + last.cast("int"), F.col("max_repeats").cast("bigint"))
     return rows.select("mix_id", "target_source", "doc_id", "tokens", copies.alias("copies")).filter("copies > 0")
 
 

@@ -4,19 +4,24 @@ A text is the set of its runs of WIDTH consecutive words (lower case, letters an
 with equal sets form a class; one representative of each class goes on.  Shingles that one class
 alone has can be in no intersection and are dropped at once.  The others are ordered from rare to
 frequent.  If two sets share at least o shingles, the first k shared ones lie within the first
-(size - o + k) of either set.  So
+(size - o + k) of either set, the k-prefix.  So
 
-* a set emits the rare shingles of its 1-prefix as they are,
-* pairs from its 2-prefix that begin with a frequent shingle, triples from its 3-prefix that begin
-  with a very frequent one.
+* level 1 keys a set by each shingle of its 1-prefix,
+* where more than FREQUENT sets have a key, the key is extended: level k + 1 keys these sets by the
+  combination of the key and each later shingle of their (k + 1)-prefix, up to level DEEPEST.
 
-The first shared shingle of two similar sets decides which of the three they meet in.  A small set
-may share only one or two shingles with a similar one: it emits frequent shingles too if its least
-overlap is 1, and pairs that begin with a very frequent one if it is 2 or less.  So no pair is lost.  Sets with many shingles emit single shingles only (their prefixes would give too many
-combinations), and sets near that border do both.  Sets that meet are compared by size and by a
-256-bit parity map (the maps' Hamming distance is a lower bound of the symmetric difference), then
-exactly.  All of it is joins and JVM expressions; no group is collected, and a hot signature is a
-join key that adaptive execution splits.
+Whether a key is extended depends on the key alone, so two similar sets take the same way: their
+first shared shingles meet them at the first level where that combination is rare.  A set whose
+least overlap is k keeps its keys of level k although they are extended, as it may share no more
+than k shingles with another.  So no pair is lost, and no key joins many sets unless they share
+DEEPEST shingles that are frequent together.
+
+Of two sets the larger one probes with the prefix above; the smaller one is found by a shorter
+one, since the overlap must be at least 2s / (1 + s) of its size.  Sets that meet are compared by
+size, by what is left behind the shared key, and by a 256-bit parity map (the maps' Hamming
+distance is a lower bound of the symmetric difference), then exactly.  All of it is sort-merge and
+hash joins of shuffled rows and JVM expressions: nothing is broadcast, no group is collected, and a
+hot key is a join key that adaptive execution splits.
 
 Defined results: null texts and texts of fewer than WIDTH words have no shingles and are similar to
 nothing (a group of their own in ``groups``); repeated rows of an id are one; an id is never paired
@@ -31,10 +36,17 @@ from pyspark.sql import functions as F
 from .common import cut, spread
 
 WIDTH, SIMILARITY = 5, 0.8
-LONG = 400  # shingles beyond which a set emits single shingles
+FREQUENT = 128  # sets per key beyond which it is extended: about as many as extensions of a key cost
+DEEPEST = 4  # the most shingles in a key
 FULL_PAIRS = 1_000  # square of the copies of one text beyond which each is paired with a representative only
 BLOCK = 256  # members of a class that are paired at a time
 MAP_WORDS = 4
+_MAPS = [f"m{w}" for w in range(MAP_WORDS)]
+
+
+def _merge(df: DataFrame) -> DataFrame:
+    """A join side that is never broadcast: array columns make Spark's size estimates far too small."""
+    return df.hint("merge")
 
 
 def shingles(text: Column, width: int) -> tuple[Column, Column]:
@@ -45,8 +57,8 @@ def shingles(text: Column, width: int) -> tuple[Column, Column]:
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """members (id, cls, txt) and representatives (cls, toks); cls is the least id of a class, txt a
-    hash of the whole text."""
+    """members (id, c, txt) and representatives (c, cls, n, toks): c is a number of the class, cls its
+    least id, txt a hash of the whole text."""
     words, made = shingles(F.col("text"), width)
     base = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL"))
     # no filter before the cut: pushed down, it would split the text again for every shingle
@@ -54,67 +66,87 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Da
     base = base.withColumn("__a", F.xxhash64("toks")).withColumn("__b", F.xxhash64(F.lit(1), "toks"))
     digest = ["__a", "__b"]
     reps = base.groupBy(*digest).agg(F.min("id").alias("cls"), F.first("toks").alias("toks"))
-    reps = cut(reps)
-    members = base.select("id", "txt", *digest).join(reps.select("cls", *digest), digest).select("id", "cls", "txt").distinct()
-    return cut(members), reps.select("cls", "toks")
-
-
-def _least_overlap(n: Column, similarity: float) -> Column:
-    return F.ceil(n * F.lit(similarity) - 1e-9).cast("int")
+    reps = cut(reps.select(F.monotonically_increasing_id().alias("c"), "cls", *digest, F.size("toks").alias("n"), "toks"))
+    members = base.select("id", "txt", *digest).join(_merge(reps.select("c", *digest)), digest).select("id", "c", "txt").distinct()
+    return cut(members), reps.select("c", "cls", "n", "toks")
 
 
-def _parity_map(toks: Column, word: int) -> Column:
-    mine = F.filter(toks, lambda t: t.bitwiseAND(F.lit(MAP_WORDS - 1)) == word)
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, 2).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseXOR(bit(t)))
+def _least(n: Column, share: float) -> Column:
+    return F.ceil(n * F.lit(share) - 1e-9).cast("int")
 
 
 def ordered(reps: DataFrame, similarity: float) -> DataFrame:
-    """(cls, n, m, toks, pre, m0..m3): shingles shared with another class, and the 3-prefix in
-    order of frequency.  Classes that cannot reach the least overlap are gone."""
-    flat = reps.select("cls", F.size("toks").alias("n"), F.explode("toks").alias("t"))
+    """(c, n, m, least, pre, m0..m3): m shingles are shared with other classes, pre are the first of
+    them in order of frequency.  Classes that cannot reach the least overlap are gone."""
+    flat = reps.select("c", "n", F.explode("toks").alias("t"))
     often = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = flat.join(often, "t").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-    m, least = F.size("o"), _least_overlap(F.col("n"), similarity)
-    near = shared.withColumn("m", m).filter(F.col("m") >= least)
-    pre = F.slice("o", 1, F.least(F.col("m"), F.col("m") - least + 3))
-    near = near.select("cls", "n", "m", F.transform("o", lambda x: x["t"]).alias("toks"), pre.alias("pre"))
-    return near.select("*", *[_parity_map(F.col("toks"), w).alias(f"m{w}") for w in range(MAP_WORDS)])
-
-
-def signatures(sets: DataFrame, similarity: float, frequent: int, very_frequent: int) -> DataFrame:
-    """(sig, cls, n, m, m0..m3), see the module's text."""
-    least = _least_overlap(F.col("n"), similarity)
-    room = F.col("m") - least
-    p = [F.slice("pre", 1, F.least(F.size("pre"), room + k)) for k in (1, 2, 3)]
-    rare = F.transform(F.filter("p1", lambda x: (x["df"] <= frequent) | (least <= 1)), lambda x: F.xxhash64(F.lit(1), x["t"]))
-    after = lambda a, i: F.slice(a, i + 2, F.size(a))
-    none = F.array().cast("array<bigint>")
-    pairs = F.flatten(F.transform("p2", lambda x, i: F.when((x["df"] > frequent) & ((x["df"] <= very_frequent) | (least <= 2)), F.transform(after(F.col("p2"), i), lambda y: F.xxhash64(F.lit(2), x["t"], y["t"]))).otherwise(none)))
-    triples = F.flatten(F.transform("p3", lambda x, i: F.when(x["df"] > very_frequent, F.flatten(F.transform(after(F.col("p3"), i), lambda y, j: F.transform(F.slice("p3", i + j + 3, F.size("p3")), lambda z: F.xxhash64(F.lit(3), x["t"], y["t"], z["t"]))))).otherwise(none)))
-    single = F.transform("p1", lambda x: F.xxhash64(F.lit(4), x["t"]))
-    short, border = F.col("n") <= LONG, F.col("n") * similarity <= LONG
-    sigs = F.concat(F.when(border, F.concat(rare, pairs, triples)).otherwise(none), F.when(~short, single).otherwise(none))
-    # a short set meets a long one in the combinations: of two similar sets that differ in this, the long one is at the border
-    keep = ["cls", "n", "m", *[f"m{w}" for w in range(MAP_WORDS)]]
-    return sets.select(*keep, *[c.alias(f"p{k}") for k, c in zip((1, 2, 3), p)]).select(*keep, F.explode(F.array_distinct(sigs)).alias("sig"))
-
-
-def similar_classes(reps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: pairs of classes with Jaccard similarity of at least ``similarity``."""
-    n = reps.count()
-    frequent = max(64, int(n**0.5 / 4))
+    # hashed, not sorted: the side built in memory has a row per distinct shingle of its partition
+    shared = flat.join(often.hint("shuffle_hash"), "t")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright("t", 2).bitwiseAND(F.lit(63)).cast("int"))
+    word = F.col("t").bitwiseAND(F.lit(MAP_WORDS - 1))
+    maps = [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}") for w in range(MAP_WORDS)]
+    sets = shared.groupBy("c").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "t")).alias("o"), *maps)
+    sets = sets.withColumn("m", F.size("o")).withColumn("least", _least(F.col("n"), similarity)).filter("m >= least")
+    pre = F.slice(F.transform(F.sort_array("o"), lambda x: x["t"]), F.lit(1), F.least(F.col("m"), F.col("m") - F.col("least") + DEEPEST))
+    return sets.select("c", "n", "m", "least", pre.alias("pre"), *_MAPS)
+
+
+def _combinations(level: int) -> Column:
+    """The keys of a set at a level, from the keys ``ext`` that it extends: ARRAY<STRUCT<sig, at>>."""
+    last = F.least(F.size("pre"), F.col("m") - F.col("least") + level) - 1
+    none = F.array().cast("array<struct<sig:bigint,at:int>>")
+
+    def longer(e: Column) -> Column:
+        made = F.transform(F.sequence(e["at"] + 1, last), lambda j: F.struct(F.xxhash64(e["sig"], F.get("pre", j)).alias("sig"), j.alias("at")))
+        return F.when(e["at"] < last, made).otherwise(none)
+
+    return F.flatten(F.transform("ext", longer))
+
+
+def signatures(sets: DataFrame, similarity: float, frequent: int = FREQUENT) -> DataFrame:
+    """(sig, c, n, m, upto, small, m0..m3), see the module's text: ``upto`` is the most that can be
+    shared where the key holds the first shared shingles, ``small`` whether the smaller of two sets
+    is found by it."""
+    start = F.struct(F.lit(0).cast("bigint").alias("sig"), F.lit(-1).alias("at"))
+    state = sets.withColumn("ext", F.array(start))
+    few = F.col("m") - _least(F.col("n"), 2 * similarity / (1 + similarity))
+    out: list[DataFrame] = []
+    for level in range(1, DEEPEST + 1):
+        state = state.withColumn("keys", _combinations(level)).drop("ext")
+        emitted, onward = state, None
+        if level < DEEPEST:
+            held = state.select("c", F.explode(F.transform("keys", lambda x: x["sig"])).alias("sig"))
+            hot = cut(held.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > frequent).select("sig"))
+            if hot.limit(1).count():
+                mine = cut(held.join(_merge(hot), "sig").groupBy("c").agg(F.collect_set("sig").alias("hot")))
+                rare = F.filter("keys", lambda x: (F.col("least") <= level) | F.col("hot").isNull() | ~F.array_contains("hot", x["sig"]))
+                emitted = state.join(_merge(mine), "c", "left").withColumn("keys", rare)
+                onward = state.join(_merge(mine), "c").withColumn("ext", F.filter("keys", lambda x: F.array_contains("hot", x["sig"]))).drop("keys", "hot")
+        rows = emitted.select("c", "n", "m", *_MAPS, few.alias("few"), F.explode("keys").alias("x"))
+        out.append(rows.select(F.col("x.sig").alias("sig"), "c", "n", "m", (F.col("m") - F.col("x.at") - 1 + level).alias("upto"), (F.col("x.at") < F.col("few") + level).alias("small"), *_MAPS))
+        if onward is None:
+            break
+        state = onward
+    result = out[0]
+    for rows in out[1:]:
+        result = result.unionByName(rows)
+    return result
+
+
+def similar_classes(reps: DataFrame, similarity: float, frequent: int = FREQUENT) -> DataFrame:
+    """(a, b): pairs of class numbers with Jaccard similarity of at least ``similarity``, each once."""
     sets = cut(ordered(reps, similarity))
-    sig = signatures(sets, similarity, frequent, 100 * frequent)
-    keep = ["cls", "n", "m", *[f"m{w}" for w in range(MAP_WORDS)]]
-    x = sig.select("sig", *[F.col(c).alias(f"x_{c}") for c in keep])
-    y = sig.select("sig", *[F.col(c).alias(f"y_{c}") for c in keep])
-    apart = sum((F.bit_count(F.col(f"x_m{w}").bitwiseXOR(F.col(f"y_m{w}"))) for w in range(1, MAP_WORDS)), F.bit_count(F.col("x_m0").bitwiseXOR(F.col("y_m0"))))
+    sig = signatures(sets, similarity, frequent)
+    keep = ["c", "n", "m", "upto", *_MAPS]
+    x = sig.filter("small").select("sig", *[F.col(k).alias(f"x_{k}") for k in keep])
+    y = sig.select("sig", *[F.col(k).alias(f"y_{k}") for k in keep])
+    apart = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in _MAPS[1:]), F.bit_count(F.col("x_m0").bitwiseXOR(F.col("y_m0"))))
     # overlap >= s / (1 + s) * (n1 + n2), and overlap <= (m1 + m2 - distance of the maps) / 2
     need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(similarity / (1 + similarity)) - 1e-9)
-    near = (F.col("x_cls") < F.col("y_cls")) & (F.col("x_m") + F.col("y_m") - apart >= 2 * need) & (F.least("x_m", "y_m") >= need)
-    found = x.join(y, (x["sig"] == y["sig"]) & near).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
-    side = lambda c: sets.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("toks").alias(f"{c}_t"))
+    first = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_c") < F.col("y_c")))
+    near = first & (F.least("x_upto", "y_upto") >= need) & (F.col("x_m") + F.col("y_m") - apart >= 2 * need)
+    found = x.join(_merge(y), (x["sig"] == y["sig"]) & near).select(F.col("x_c").alias("a"), F.col("y_c").alias("b")).distinct()
+    side = lambda c: _merge(reps.select(F.col("c").alias(c), F.col("n").alias(f"{c}_n"), F.col("toks").alias(f"{c}_t")))
     both = found.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_t", "b_t"))
     return both.filter(common >= F.lit(similarity) * (F.col("a_n") + F.col("b_n") - common) - 1e-9).select("a", "b")
@@ -125,10 +157,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(edges.groupBy("a").agg(F.min("b").alias("o")).select(F.col("a").alias("v"), F.least("a", "o").alias("root")))
     while True:
-        heard = edges.join(label.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("root").alias("o"))
-        near = label.join(heard.withColumnRenamed("a", "v"), "v").select("v", F.col("root").alias("was"), F.least("root", "o").alias("root"))
+        heard = edges.join(_merge(label.withColumnRenamed("v", "b")), "b").groupBy("a").agg(F.min("root").alias("o"))
+        near = label.join(_merge(heard.withColumnRenamed("a", "v")), "v").select("v", F.col("root").alias("was"), F.least("root", "o").alias("root"))
         jump = near.select(F.col("v").alias("root"), F.col("root").alias("up"))
-        nxt = cut(near.join(jump, "root", "left").select("v", "was", F.coalesce("up", "root").alias("root")))
+        nxt = cut(near.join(_merge(jump), "root", "left").select("v", "was", F.coalesce("up", "root").alias("root")))
         changed = nxt.filter("root <> was").limit(1).count()
         label = nxt.drop("was")
         if not changed:
@@ -140,37 +172,42 @@ def similar_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text", w
     one text would make more than FULL_PAIRS pairs, each is paired with the least id of them only;
     ``similar_groups`` has the membership."""
     members, reps = classes(docs, id_col, text_col, width)
-    copies = members.groupBy("cls", "txt").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("rep")).withColumn("hot", F.col("k") * F.col("k") > FULL_PAIRS)
+    copies = members.groupBy("c", "txt").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("rep")).withColumn("hot", F.col("k") * F.col("k") > FULL_PAIRS)
     # a block holds members of one class: of one hot text, or of any others
     own = F.when(F.col("hot"), F.col("txt"))
-    sizes = copies.groupBy("cls", own.alias("own")).agg(F.sum("k").alias("k"), F.max("hot").alias("hot"), F.max(F.when(F.col("hot"), F.col("rep"))).alias("rep"))
+    sizes = copies.groupBy("c", own.alias("own")).agg(F.sum("k").alias("k"), F.max("hot").alias("hot"), F.max(F.when(F.col("hot"), F.col("rep"))).alias("rep"))
     sizes = cut(sizes.withColumn("parts", F.ceil(F.col("k") / BLOCK).cast("int")))
-    dealt = members.join(sizes.select("cls", F.col("own").alias("txt"), F.col("parts").alias("hot_parts")).filter("txt IS NOT NULL"), ["cls", "txt"], "left")
-    dealt = dealt.join(sizes.filter("own IS NULL").select("cls", F.col("parts").alias("rest_parts")), "cls", "left")
-    parts = F.coalesce("hot_parts", "rest_parts")
-    dealt = cut(dealt.select("id", "cls", F.xxhash64(F.when(F.col("hot_parts").isNotNull(), F.col("txt")), F.pmod(F.xxhash64(F.lit(3), "id"), parts).cast("int")).alias("blk")))
-    blocks = sizes.select("cls", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("n")).select("cls", "own", F.xxhash64("own", "n").alias("blk"))
-    links = similar_classes(reps, similarity).unionByName(sizes.groupBy("cls").agg(F.sum("k").alias("k")).filter("k > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-    block = lambda c: blocks.select(F.col("cls").alias(c), F.col("own").alias(f"own_{c}"), F.col("blk").alias(f"blk_{c}"))
-    side = lambda c: dealt.select(F.col("cls").alias(c), F.col("blk").alias(f"blk_{c}"), F.col("id").alias(f"id_{c}"))
+    hot_parts = sizes.select("c", F.col("own").alias("txt"), F.col("parts").alias("hot_parts")).filter("txt IS NOT NULL")
+    rest_parts = sizes.filter("own IS NULL").select("c", F.col("parts").alias("rest_parts"))
+    dealt = members.join(_merge(hot_parts), ["c", "txt"], "left").join(_merge(rest_parts), "c", "left")
+    number = F.pmod(F.xxhash64(F.lit(3), "id"), F.coalesce("hot_parts", "rest_parts")).cast("int")
+    dealt = cut(dealt.select("id", "c", F.xxhash64(F.when(F.col("hot_parts").isNotNull(), F.col("txt")), number).alias("blk")))
+    blocks = sizes.select("c", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("n")).select("c", "own", F.xxhash64("own", "n").alias("blk"))
+    alike = sizes.groupBy("c").agg(F.sum("k").alias("k")).filter("k > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
+    links = similar_classes(reps, similarity).unionByName(alike)
+    block = lambda c: _merge(blocks.select(F.col("c").alias(c), F.col("own").alias(f"own_{c}"), F.col("blk").alias(f"blk_{c}")))
+    side = lambda c: _merge(dealt.select(F.col("c").alias(c), F.col("blk").alias(f"blk_{c}"), F.col("id").alias(f"id_{c}")))
     met = links.join(block("a"), "a").join(block("b"), "b").filter("a <> b OR (blk_a <= blk_b AND NOT coalesce(own_a = own_b, false))")
     full = met.join(side("a"), ["a", "blk_a"]).join(side("b"), ["b", "blk_b"]).filter("a <> b OR blk_a <> blk_b OR id_a < id_b").select("id_a", "id_b")
-    hot = sizes.filter("hot").select("cls", F.col("own").alias("txt"), F.col("rep").alias("id_a"))
-    star = hot.join(members, ["cls", "txt"]).select("id_a", F.col("id").alias("id_b"))
+    hot = sizes.filter("hot").select("c", F.col("own").alias("txt"), F.col("rep").alias("id_a"))
+    star = members.join(_merge(hot), ["c", "txt"]).select("id_a", F.col("id").alias("id_b"))
     every = full.unionByName(star).filter("id_a <> id_b")
     return every.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per id: (id, class_id, group_id, copies, linked_classes).  class_id joins texts of
-    equal shingles, group_id those connected by links."""
+    """One row per id: (id, class_id, group_id, copies, linked_classes).  class_id is the least id of
+    the texts of equal shingles, group_id that of all classes connected by links."""
     members, reps = classes(docs, id_col, text_col, width)
-    members = members.select("id", "cls").distinct()
+    members, names = members.select("id", "c").distinct(), reps.select("c", "cls")
     links = cut(similar_classes(reps, similarity))
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("linked_classes"))
-    copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
-    known = members.join(copies, "cls").join(roots.join(degree, "v").withColumnRenamed("v", "cls"), "cls", "left")
-    known = known.select("id", F.col("cls").alias("class_id"), F.coalesce("root", "cls").alias("group_id"), "copies", F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"))
+    roots = components(links).withColumnRenamed("v", "c")
+    heads = roots.join(_merge(names), "c").groupBy("root").agg(F.min("cls").alias("group_id"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("linked_classes"))
+    linked = roots.join(_merge(heads), "root").select("c", "group_id").join(_merge(degree), "c")
+    copies = members.groupBy("c").agg(F.count(F.lit(1)).alias("copies"))
+    each = names.join(_merge(copies), "c").join(_merge(linked), "c", "left")
+    known = members.join(_merge(each), "c")
+    known = known.select("id", F.col("cls").alias("class_id"), F.coalesce("group_id", "cls").alias("group_id"), "copies", F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"))
     ids = docs.select(F.col(id_col).cast("string").alias("id")).filter("id IS NOT NULL").distinct()
-    return ids.join(known, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"))
+    return ids.join(_merge(known), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import null_safe
+from .common import cut, null_safe
 
 DIGITS = (12, 12, 20, 20)
 QUANTILES = {"median": 0.5, "p95": 0.95}
@@ -143,6 +143,9 @@ def radix_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[
     keys = df.filter(usable(x, least)).select(*by, order_key(x).alias("__k"), w.cast("bigint").alias("__w"))
     hist = keys.groupBy(*by, _digit(F.col("__k"), digits, 0).alias("__d0"), _digit(F.col("__k"), digits, 1).alias("__d1")).agg(F.sum("__w").alias("__n"))
     at = _first_two(hist, by, quantiles, digits)
+    # what shares the digits found so far is a small part; it is picked once for the other levels
+    near = null_safe(keys.withColumn("__prefix", _prefix(F.col("__k"), digits, 2)), at.select(*by, "__prefix").distinct(), [*by, "__prefix"])
+    keys = cut(near.groupBy(*by, "__k").agg(F.sum("__w").alias("__w")))
     for level in range(2, len(digits)):
         rows = keys.select(*by, _prefix(F.col("__k"), digits, level).alias("__prefix"), _digit(F.col("__k"), digits, level).alias("__d"), "__w")
         rows = rows.groupBy(*by, "__prefix", "__d").agg(F.sum("__w").alias("__n"))
@@ -157,15 +160,18 @@ GROUP = ["run_id", "option_name", "workload"]
 
 def latency_observations(routes: DataFrame) -> DataFrame:
     """One row per request and latency: (run_id, option_name, workload, day, latency_ms, w).  A
-    request delivered again repeats its latency and counts once, on the day of its first delivery;
-    a row without a request_id can repeat no other, so each such row counts."""
-    one = routes.filter(usable(F.col("latency_ms"), 0.0)).groupBy("request_id", *GROUP, "latency_ms").agg(F.min("received_at").alias("at"), F.count(F.lit(1)).alias("rows"))
-    return one.select(*GROUP, F.to_date("at").alias("day"), "latency_ms", F.when(F.col("request_id").isNull(), F.col("rows")).otherwise(1).alias("w"))
+    request delivered again repeats its latency and the time it was requested at, so it counts once
+    on the day of that time, however late it is delivered: the observations of a day come from that
+    day's rows alone, and its histogram is made once and kept.  A row without a request_id can
+    repeat no other, so each such row counts."""
+    rows = routes.filter(usable(F.col("latency_ms"), 0.0)).withColumn("day", F.to_date("requested_at"))
+    one = rows.groupBy("day", "request_id", *GROUP, "latency_ms").agg(F.count(F.lit(1)).alias("rows"))
+    return one.select(*GROUP, "day", "latency_ms", F.when(F.col("request_id").isNull(), F.col("rows")).otherwise(1).alias("w"))
 
 
 def latency_percentiles(routes: DataFrame) -> DataFrame:
     """Exact n, median and p95 per run, option and workload."""
-    return radix_percentiles(latency_observations(routes), GROUP, "latency_ms", weight="w", least=0.0)
+    return radix_percentiles(cut(latency_observations(routes).drop("day")), GROUP, "latency_ms", weight="w", least=0.0)
 
 
 def daily_histograms(routes: DataFrame) -> DataFrame:

@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_kind, fold_name, null_safe
+from .common import cut, fold_kind, fold_name, null_safe
 
 ANNOTATIONS, LEAKS = "annotations.kind", "leak_results.option_name"
 BUCKET_BITS = 12
@@ -62,21 +63,29 @@ def cell_counts(rows: DataFrame, wants: DataFrame) -> DataFrame:
     return null_safe(wants, held, ["pool", "batch_id", "key"], "left").fillna({"n": 0})
 
 
-def controlled_rounding(table: list[list[float]]) -> list[list[int]]:
+def _between(x: float | Fraction) -> tuple[int, int]:
+    """Floor and ceiling: exact for a fraction; a float is right to 1e-9 only."""
+    slack = 0 if isinstance(x, Fraction) else 1e-9
+    return math.floor(x + slack), math.ceil(x - slack)
+
+
+def controlled_rounding(table: list[list[float | Fraction]]) -> list[list[int]]:
     """Integer table whose cells, row sums, column sums and total are each the floor or ceiling of
     the fractional ones.  Maximum flow: source -> rows -> cells -> columns -> sink, where an edge
-    carries the floor for certain and one unit more if its sum has a remainder."""
-    near = lambda x: round(x) if abs(x - round(x)) < 1e-9 else x
+    carries the floor for certain and one unit more if its sum has a remainder.  Quotas are ratios
+    of whole counts, so they come as fractions and nothing is compared with a tolerance."""
     rows, cols = len(table), len(table[0]) if table else 0
-    cells = [[near(x) for x in r] for r in table]
-    out = [[math.floor(x) for x in r] for r in cells]
-    row_sum = [near(math.fsum(r)) for r in cells]
-    col_sum = [near(math.fsum(r[j] for r in cells)) for j in range(cols)]
-    open_cell = [[x > math.floor(x) for x in r] for r in cells]
-    row_low = [math.floor(s) - sum(o) for s, o in zip(row_sum, out)]
-    row_high = [math.ceil(s) - sum(o) for s, o in zip(row_sum, out)]
-    col_low = [math.floor(col_sum[j]) - sum(o[j] for o in out) for j in range(cols)]
-    col_high = [math.ceil(col_sum[j]) - sum(o[j] for o in out) for j in range(cols)]
+    added = lambda xs: sum(xs, Fraction(0)) if all(isinstance(x, Fraction) for x in xs) else math.fsum(xs)
+    cells = [[_between(x) for x in r] for r in table]
+    out = [[low for low, _ in r] for r in cells]
+    open_cell = [[low < high for low, high in r] for r in cells]
+    row_sum = [added(r) for r in table]
+    by_row = [_between(s) for s in row_sum]
+    by_col = [_between(added([r[j] for r in table])) for j in range(cols)]
+    row_low = [low - sum(o) for (low, _), o in zip(by_row, out)]
+    row_high = [high - sum(o) for (_, high), o in zip(by_row, out)]
+    col_low = [by_col[j][0] - sum(o[j] for o in out) for j in range(cols)]
+    col_high = [by_col[j][1] - sum(o[j] for o in out) for j in range(cols)]
     used_row, used_col, flow = [0] * rows, [0] * cols, [[0] * cols for _ in range(rows)]
 
     def augment(row_cap: list[int], col_cap: list[int] | None, row_keep: list[int] | None = None) -> bool:
@@ -118,7 +127,7 @@ def controlled_rounding(table: list[list[float]]) -> list[list[int]]:
         pass
     while augment(row_low, None, row_low) or augment(row_low, col_high):
         pass
-    total = round(math.fsum(row_sum)) - sum(map(sum, out))
+    total = round(added(row_sum)) - sum(map(sum, out))
     while sum(used_row) < total and augment(row_high, col_high):
         pass
     return [[o + f for o, f in zip(a, b)] for a, b in zip(out, flow)]
@@ -133,8 +142,8 @@ def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     at = {(c, s): int(n) for c, s, n in zip(pdf["category"], pdf["stratum"], pdf["n"])}
     have = {c: sum(at.get((c, s), 0) for s in strata) for c in cats}
     want = dict(zip(pdf["category"], pdf["want"]))
-    take = {c: min(float(want[c]), float(have[c])) for c in cats}
-    table = [[take[c] * at.get((c, s), 0) / have[c] if have[c] else 0.0 for s in strata] for c in cats]
+    take = {c: min(Fraction(float(want[c])), Fraction(have[c])) for c in cats}
+    table = [[take[c] * at.get((c, s), 0) / have[c] if have[c] else Fraction(0) for s in strata] for c in cats]
     quota = controlled_rounding(table) if strata else [[] for _ in cats]
     first = pdf.iloc[0]
     keys = dict(zip(pdf["category"], pdf["key"]))
@@ -148,8 +157,14 @@ def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
 def quota_table(annotations: DataFrame, leaks: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per draw, category and stratum: want, available, held and the integer quota.  A
     group of the Python step is one draw's table of counts: categories times strata rows."""
-    counts = cell_counts(pool_rows(annotations, leaks), draw_wants(targets))
-    return counts.groupBy("draw_id", "pool", "batch_id").applyInPandas(_quotas, QUOTAS)
+    return quotas_of(pool_rows(annotations, leaks), targets)
+
+
+def quotas_of(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    counts = cell_counts(rows, draw_wants(targets))
+    # tables of counts are small, so adaptive execution would put all draws into one task
+    dealt = counts.repartition(counts.sparkSession.sparkContext.defaultParallelism, "draw_id")
+    return dealt.groupBy("draw_id", "pool", "batch_id").applyInPandas(_quotas, QUOTAS)
 
 
 def draw_report(quotas: DataFrame) -> DataFrame:
@@ -159,8 +174,9 @@ def draw_report(quotas: DataFrame) -> DataFrame:
 
 def draw_sample(annotations: DataFrame, leaks: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """(draw_id, pool, item, category, stratum): exactly the quota of each cell."""
-    quotas = quota_table(annotations, leaks, targets).filter("quota > 0").select("draw_id", "pool", "batch_id", "key", F.col("category").alias("__c"), "stratum", "quota")
-    rows = pool_rows(annotations, leaks).withColumnRenamed("category", "key")
+    pool = cut(pool_rows(annotations, leaks))
+    quotas = quotas_of(pool, targets).filter("quota > 0").select("draw_id", "pool", "batch_id", "key", F.col("category").alias("__c"), "stratum", "quota")
+    rows = pool.withColumnRenamed("category", "key")
     drawn = null_safe(rows, quotas, ["pool", "batch_id", "key", "stratum"])
     h = F.xxhash64(F.lit(seed), "draw_id", "pool", "item")
     drawn = drawn.select("draw_id", "pool", "item", F.col("__c").alias("category"), "stratum", "quota", h.alias("__h"), F.shiftrightunsigned(h, 64 - BUCKET_BITS).alias("__b"))
