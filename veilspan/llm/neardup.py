@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, spread
 
 WIDTH, SIMILARITY = 5, 0.8
-FREQUENT = 128  # sets per key beyond which it is extended: about as many as extensions of a key cost
+FREQUENT = 256  # sets per key beyond which it is extended: below it, comparing them costs less than extensions
 DEEPEST = 4  # the most shingles in a key
 FULL_PAIRS = 1_000  # square of the copies of one text beyond which each is paired with a representative only
 BLOCK = 256  # members of a class that are paired at a time
@@ -104,9 +104,9 @@ def _combinations(level: int) -> Column:
 
 
 def signatures(sets: DataFrame, similarity: float, frequent: int = FREQUENT) -> DataFrame:
-    """(sig, c, n, m, upto, small, m0..m3), see the module's text: ``upto`` is the most that can be
-    shared where the key holds the first shared shingles, ``small`` whether the smaller of two sets
-    is found by it."""
+    """(sig, c, n, m, upto, short, m0..m3), see the module's text: ``upto`` is the most that can be
+    shared where the key holds the first shared shingles; ``short`` is the same where the smaller of
+    two sets is found by the key, else -1."""
     start = F.struct(F.lit(0).cast("bigint").alias("sig"), F.lit(-1).alias("at"))
     state = sets.withColumn("ext", F.array(start))
     few = F.col("m") - _least(F.col("n"), 2 * similarity / (1 + similarity))
@@ -122,8 +122,9 @@ def signatures(sets: DataFrame, similarity: float, frequent: int = FREQUENT) ->
                 rare = F.filter("keys", lambda x: (F.col("least") <= level) | F.col("hot").isNull() | ~F.array_contains("hot", x["sig"]))
                 emitted = state.join(_merge(mine), "c", "left").withColumn("keys", rare)
                 onward = state.join(_merge(mine), "c").withColumn("ext", F.filter("keys", lambda x: F.array_contains("hot", x["sig"]))).drop("keys", "hot")
+        upto = F.col("m") - F.col("x.at") - 1 + level
         rows = emitted.select("c", "n", "m", *_MAPS, few.alias("few"), F.explode("keys").alias("x"))
-        out.append(rows.select(F.col("x.sig").alias("sig"), "c", "n", "m", (F.col("m") - F.col("x.at") - 1 + level).alias("upto"), (F.col("x.at") < F.col("few") + level).alias("small"), *_MAPS))
+        out.append(rows.select(F.col("x.sig").alias("sig"), "c", "n", "m", upto.alias("upto"), F.when(F.col("x.at") < F.col("few") + level, upto).otherwise(-1).alias("short"), *_MAPS))
         if onward is None:
             break
         state = onward
@@ -137,14 +138,15 @@ def similar_classes(reps: DataFrame, similarity: float, frequent: int = FREQUENT
     """(a, b): pairs of class numbers with Jaccard similarity of at least ``similarity``, each once."""
     sets = cut(ordered(reps, similarity))
     sig = signatures(sets, similarity, frequent)
-    keep = ["c", "n", "m", "upto", *_MAPS]
-    x = sig.filter("small").select("sig", *[F.col(k).alias(f"x_{k}") for k in keep])
+    keep = ["c", "n", "m", "upto", "short", *_MAPS]
+    # the same rows on both sides, so that they are shuffled once: no condition of one side alone
+    x = sig.select("sig", *[F.col(k).alias(f"x_{k}") for k in keep])
     y = sig.select("sig", *[F.col(k).alias(f"y_{k}") for k in keep])
     apart = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in _MAPS[1:]), F.bit_count(F.col("x_m0").bitwiseXOR(F.col("y_m0"))))
     # overlap >= s / (1 + s) * (n1 + n2), and overlap <= (m1 + m2 - distance of the maps) / 2
     need = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(similarity / (1 + similarity)) - 1e-9)
     first = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_c") < F.col("y_c")))
-    near = first & (F.least("x_upto", "y_upto") >= need) & (F.col("x_m") + F.col("y_m") - apart >= 2 * need)
+    near = first & (F.least("x_short", "y_upto") >= need) & (F.col("x_m") + F.col("y_m") - apart >= 2 * need)
     found = x.join(_merge(y), (x["sig"] == y["sig"]) & near).select(F.col("x_c").alias("a"), F.col("y_c").alias("b")).distinct()
     side = lambda c: _merge(reps.select(F.col("c").alias(c), F.col("n").alias(f"{c}_n"), F.col("toks").alias(f"{c}_t")))
     both = found.join(side("a"), "a").join(side("b"), "b")

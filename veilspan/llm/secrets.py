@@ -1,11 +1,13 @@
 """Credentials in source code and configuration files.
 
-Every text is read by small parsers for the formats that carry settings: nested YAML, properties,
-env files and INI, JSON and call arguments, XML attributes and connection strings, URLs, command
-lines, HTTP headers, SQL, and sentences that hand a login over.  A parser yields key paths with the
-offsets of their values.  A value is a secret if its path has a sensitive name (or its own shape is
-that of a known key format) and its shape is that of a literal: not a reference, placeholder, mask,
-call, type or flag.  The redaction is spliced into the original text, so that everything around the
+Every text is read by the parsers of ``formats`` (YAML, properties, env and INI files; JSON,
+literals, assignments and call arguments; XML) and by small ones for connection strings, URLs,
+command lines, HTTP headers, SQL, and sentences that hand a login over.  A parser yields key paths
+with the offsets of their values.  A value is a secret if its path has a sensitive name (or its own
+shape is that of a known key format) and its shape is that of a literal: not a reference,
+placeholder, mask, call, type or flag.  A name further up the path counts where the names below it
+only hold values (``value``, list items) or where it is a plural, and then the value must look like
+a key, too.  The redaction is spliced into the original text, so that everything around the
 values stays as it was, byte for byte.
 
 Offsets are code points, end exclusive.  Texts are processed whole, one at a time; there is no
@@ -21,12 +23,13 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import formats
 from .common import spread
 
 # fixed values: published key formats
@@ -46,9 +49,20 @@ _NAMES = [
     ("api_key", re.compile(r"(?:^|_)(?:x_?)?(?:api_?key|apikey|client_?secret|secret_?key|app_?secret|consumer_?secret|signing_?key|signing_?secret|encryption_?key|webhook_?secret|subscription_?key|account_?key|service_?key)$")),
     ("token", re.compile(r"(?:^|_)(?:token|auth_?token|access_?token|refresh_?token|session_?token|bearer|bearer_?token|api_?token|pat|sid|session_?id)$")),
     ("password", re.compile(r"(?:^|_)(?:[a-z]*password|passwd|passwort|[a-z]*pass|pwd|pw|passphrase|contraseña)$")),
+    ("private_key", re.compile(r"(?:^|_)private_?key(?:_?(?:hex|pem|base64|b64|data))?$")),
     ("api_key", re.compile(r"(?:^|_)secret$")),
 ]
 
+_PLURALS = [
+    ("password", re.compile(r"(?:^|_)(?:[a-z]*passwords|passphrases)$")),
+    ("token", re.compile(r"(?:^|_)(?:tokens)$")),
+    ("api_key", re.compile(r"(?:^|_)(?:api_?keys|secret_?keys|signing_?keys|client_?secrets|secrets)$")),
+]
+_HELD = [("password", re.compile(r"(?:^|_)(?:credentials?|login)$"))]
+_HOLDERS = frozenset("value val values default content plain plaintext plain_text raw literal current previous old new string_value data".split())
+# a value that is told by a name further up has letters and digits, and no look of a word, path or name
+_TELLING = re.compile(r"^(?=\S*[^\W\d_])(?=\S*\d)[^\s/\\]{8,}$")
+
 _NOT_LITERAL = re.compile(
     r"""^(?:
         [$%]?[({<\[⟨«].*                     # ${X}, $(x), {{x}}, <x>, [x], ⟨X_1⟩
@@ -61,17 +75,10 @@ _NOT_LITERAL = re.compile(
     )""",
     re.X | re.I | re.S,
 )
+# a key without its BEGIN line: hexadecimal or base 64, over lines or not
+_KEY_MATERIAL = re.compile(r"(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9+/=_\-](?:[A-Za-z0-9+/=_\-]|\\n|\s+(?=\S)){15,}$", re.S)
 _CALL = re.compile(r"[\w.\]]+[(\[].*[)\]]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$")
 
-_QUOTED = r"""(?:"(?P<dq>(?:\\.|[^"\\\n])*)"|'(?P<sq>(?:\\.|[^'\\\n])*)')"""
-# key, assignment sign, quoted value: JSON, dicts, keyword arguments, XML attributes, assignments
-_PAIR = re.compile(r"""(?P<kq>["']?)(?P<key>[A-Za-z_À-ÿ][\w.\-]*)(?P=kq)\s*(?:=>|:=|[:=])\s*[bfru]?""" + _QUOTED)
-# two string arguments: setdefault("NAME", "value"), define('NAME', 'value'), header("NAME", "value")
-_ARGUMENTS = re.compile(r"""\b\w+\(\s*["'](?P<key>[A-Za-z_][\w.\-]*)["']\s*,\s*""" + _QUOTED)
-# setPassword("value"), withToken('value')
-_SETTER = re.compile(r"""\b(?:set|with|use)_?(?P<key>[A-Z_a-z]\w*)\(\s*""" + _QUOTED + r"\s*\)")
-# a setting that fills its line: YAML, properties, env, INI; indentation gives the path
-_LINE = re.compile(r"""^(?P<indent>[ \t]*)(?:-\s+)?(?:export\s+|set\s+|ENV\s+|ARG\s+)*(?P<key>(?://)?[A-Za-z_][\w.\-/:]*?)[ \t]*(?P<sign>=|:(?=[ \t]|$))[ \t]*(?P<value>[^\s"'#|>][^\s#]*(?:[ \t]+\#\S*)?)?[ \t]*(?P<tail>.*)$""", re.M)
 _URL_LOGIN = re.compile(r"""\b[a-z][a-z0-9+.\-]*://(?P<user>[^\s:/@"'<>]*):(?P<value>[^\s@"'<>]+)@(?=[\w\[])""", re.I)
 _QUERY = re.compile(r"""[?&;](?P<key>[A-Za-z_][\w.\-]*)=(?P<value>[^\s&;"'<>`]+)""")
 _CONNECTION = re.compile(r"""(?<![\w])(?P<key>Pwd|Password|AccountKey|SharedAccessKey|Secret)\s*=\s*(?P<value>[^;"'\n]+?)(?=[;"'\n]|$)""", re.I)
@@ -95,11 +102,33 @@ _END = ".,;:!?)]}»”\"'"
 _WORDY = re.compile(r"[^\W\d_]+$")
 
 
-def name_kind(path: list[str]) -> str | None:
-    """What the last name of a key path says about its value."""
-    name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.split(r"[./:]", path[-1].strip("/:"))[-1])
-    name = re.sub(r"[\-\s]+", "_", name).lower().strip("_")
-    return next((kind for kind, p in _NAMES if p.search(name)), None)
+def _plain_name(name: str) -> str:
+    """The last part of a name in lower case, its words joined by underscores."""
+    name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.split(r"[./:]", name.strip("/:"))[-1])
+    return re.sub(r"[\-\s]+", "_", name).lower().strip("_")
+
+
+def name_kind(path: Sequence[str]) -> tuple[str | None, bool]:
+    """What a key path says about its value, and whether the value's own name says it.  A name that
+    only holds a value, or an item of a list, passes the question to the name above it; a name in
+    the plural answers for all that is in it."""
+    if not path:
+        return None, False
+    name = _plain_name(path[-1])
+    for kind, p in _NAMES:
+        if p.search(name):
+            return kind, True
+    holder = name in _HOLDERS or name.isdigit()
+    for up in reversed(path[:-1]):
+        name = _plain_name(up)
+        if kind := next((kind for kind, p in _PLURALS if p.search(name)), None):
+            return kind, False
+        if not holder:
+            return None, False
+        if kind := next((kind for kind, p in (*_NAMES, *_HELD) if p.search(name)), None):
+            return kind, False
+        holder = name in _HOLDERS or name.isdigit()
+    return None, False
 
 
 def shape_kind(value: str) -> str | None:
@@ -122,6 +151,8 @@ def _judged(kind: str | None, value: str, quoted: bool) -> str | None:
         return None if len(value) < 16 else kind
     if kind == "aws_secret_key":
         return kind if len(value) >= 30 else None
+    if kind == "private_key":
+        return kind if _KEY_MATERIAL.match(value) else None
     if kind in ("api_key", "token"):
         if value.isdigit() or len(value) < 12 or " " in value or _WORDY.match(value):
             return None
@@ -136,29 +167,28 @@ def _group(m: re.Match) -> tuple[str, int, int, bool]:
     return "", 0, 0, False
 
 
-def settings(text: str) -> Iterator[tuple[list[str], str, int, int, bool]]:
-    """(key path, value, start, end, quoted) of every setting that a parser sees."""
-    for p in (_PAIR, _ARGUMENTS, _SETTER, _FLAG):
-        for m in p.finditer(text):
-            value, a, b, quoted = _group(m)
-            yield [m.group("key")], value, a, b, quoted
-    path: list[tuple[int, str]] = []
-    for m in _LINE.finditer(text):
-        depth = len(m.group("indent").expandtabs(2))
-        while path and path[-1][0] >= depth:
-            path.pop()
-        value, tail = m.group("value"), m.group("tail")
-        if not value:
-            path.append((depth, m.group("key")))
-        elif not tail or tail[0] == "#":
-            yield [*[k for _, k in path], m.group("key")], value, m.start("value"), m.end("value"), False
-    for p in (_QUERY, _CONNECTION):
-        for m in p.finditer(text):
-            yield [m.group("key")], m.group("value"), m.start("value"), m.end("value"), p is _CONNECTION
-    for line in _COOKIE.finditer(text):
-        stop = text.find("\n", line.end())
-        for m in _COOKIE_PART.finditer(text, line.end(), stop if stop >= 0 else len(text)):
-            yield [m.group("key")], m.group("value"), m.start("value"), m.end("value"), False
+def settings(text: str) -> Iterator[formats.Setting]:
+    """Every setting that a parser sees.  A parser is left out where a character that all its
+    settings contain is not in the text."""
+    if '"' in text or "'" in text:
+        yield from formats.nested(text)
+    if "=" in text or ":" in text or "- " in text:
+        yield from formats.lines(text)
+    if "<" in text:
+        yield from formats.elements(text)
+    one = lambda m, quoted: formats.Setting((m.group("key"),), m.group("value"), m.start("value"), m.end("value"), quoted)
+    if "-" in text:
+        for m in _FLAG.finditer(text):
+            yield formats.Setting((m.group("key"),), *_group(m))
+    if "=" in text:
+        for m in _QUERY.finditer(text):
+            yield one(m, False)
+        for m in _CONNECTION.finditer(text):
+            yield one(m, True)
+        for line in _COOKIE.finditer(text):
+            stop = text.find("\n", line.end())
+            for m in _COOKIE_PART.finditer(text, line.end(), stop if stop >= 0 else len(text)):
+                yield one(m, False)
 
 
 def _decoded(value: str) -> str | None:
@@ -180,24 +210,28 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     blocks = list(found)
     inside = lambda a: any(s <= a < e for s, e, _ in blocks)
     for path, value, a, b, quoted in settings(text):
-        kind = name_kind(path)
+        kind, own = name_kind(path)
+        if kind is not None and not own and not _TELLING.search(value):
+            kind = None
         if (kind or shape_kind(value)) and not inside(a) and (judged := _judged(kind, value, quoted)):
             found.append((a, b, judged))
-    for p in (_URL_LOGIN, _USER_FLAG, _GLUED_P, _NETRC, _SQL):
-        for m in p.finditer(text):
+    low = text.lower()
+    for needed, p in ((":", _URL_LOGIN), (":", _USER_FLAG), ("mysql", _GLUED_P), ("login", _NETRC), ("'", _SQL)):
+        for m in p.finditer(text) if needed in low else ():
             value, a, b, quoted = _group(m)
             if literal(value, True):
                 found.append((a, b, shape_kind(value) or "password"))
-    for m in _BEARER.finditer(text):
+    for m in _BEARER.finditer(text) if "bearer" in low or "token" in low else ():
         if literal(m.group("value"), True):
             found.append((*m.span("value"), "token"))
-    for m in _BASIC.finditer(text):
+    for m in _BASIC.finditer(text) if "basic" in low else ():
         if ":" in (_decoded(m.group("value")) or ""):
             found.append((*m.span("value"), "password"))
     for kind, p in _SAID:
         for m in p.finditer(text):
             value, a = m.group("value").rstrip(_END), m.start("value")
-            plain = _WORDY.match(value) is not None or value.isdigit()
+            # what ends in a colon is the name of a setting below
+            plain = _WORDY.match(value) is not None or value.isdigit() or m.group("value").endswith(":")
             if literal(value, False) and not plain and not inside(a):
                 found.append((a, a + len(value), shape_kind(value) or kind))
     for m in _ANY_SHAPE.finditer(text):
