@@ -136,25 +136,61 @@ def test_digits_are_permuted(digits, key):
     assert len(there) == len(digits) and there.isdigit() and pii.permute_digits(there, key, "t", back=True) == digits
 
 
+KEY = bytes(range(16))
+
+
 def test_pseudonyms_link_and_keep_the_format():
-    key = b"k"
-    assert len({pii.permute_digits(f"{i:03d}", key) for i in range(1000)}) == 1000
+    assert len({pii.permute_digits(f"{i:03d}", KEY) for i in range(1000)}) == 1000
     d = date(1984, 2, 29)
-    assert pii.permute_date(pii.permute_date(d, key), key, back=True) == d != pii.permute_date(d, key)
-    core = lambda v: "".join(c for c in pii.pseudonym(v, "phone", key) if c.isdigit())
+    assert pii.permute_date(pii.permute_date(d, KEY), KEY, back=True) == d != pii.permute_date(d, KEY)
+    core = lambda v: "".join(c for c in pii.pseudonym(v, "phone", KEY) if c.isdigit())
     assert core("(212) 555-0100") == core("+1 212 555 0100")[1:] and core("030/23125-426")[1:] == core("+49 30 23125 426")[2:]
-    assert pii.pseudonym("900-12-3456", "ssn", key)[3] == "-" and pii.pseudonym("Holm, Ada", "person", key) == pii.pseudonym("ada holm", "person", key)
+    assert pii.pseudonym("900-12-3456", "ssn", KEY)[3] == "-" and pii.pseudonym("Holm, Ada", "person", KEY) == pii.pseudonym("ada holm", "person", KEY)
     text = "a 900-12-3456 é😀 b"
-    out = pii.redact_pii(text, pii.find_pii(text, NAMES), key)
-    assert out.startswith("a ⟨SSN ") and out.endswith("⟩ é😀 b") and pii.redact_pii(None, [], key) is None
+    out = pii.redaction(text, NAMES, KEY).text
+    assert out.startswith("a ⟨SSN ") and out.endswith("⟩ é😀 b") and pii.redaction(None, NAMES, KEY) == (None, [])
+
+
+NUMBERS = {
+    "phone": ["(212) 555-0100 ext. 12", "+1 212 555 0100", "001-415-555-0199", "+44 (0)1632 960962", "030/23125-426", "2125550100"],
+    "ssn": ["900-12-3456", "078 05 1120", "000121234", "666-00-0000"],
+    "national_id": ["qq 12 34 56 b", "AB123456C"],
+    "employee_id": ["EMP-00412", "emp#7"],
+    "date": ["1984-02-29", "1984/2/9", "29.02.1984", "7/4/1999", "12/31/1999", "3. März 2001", "March 3rd, 2001", "3 de mayo de 1999", "14 FÉVRIER 1950", "Sep 9, 2020"],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(NUMBERS))
+def test_numbers_and_dates_come_back_under_the_key(kind):
+    for v in NUMBERS[kind]:
+        there = pii.pseudonym(v, kind, KEY)
+        assert pii.pseudonym(there, kind, KEY, back=True) == v and there != pii.pseudonym(v, kind, KEY[::-1])
+        assert [c for c in there if not c.isalnum()] == [c for c in v if not c.isalnum()], (v, there)
+        if kind == "ssn":
+            digits = lambda x: "".join(c for c in x if c.isdigit())
+            assert pii.valid_digits("ssn", digits(v)) == pii.valid_digits("ssn", digits(there))
+        if kind == "date":
+            assert pii.read_date(there)[1] == pii.read_date(v)[1]
+
+
+def test_dates_are_found_and_time_stamps_are_not():
+    text = "born 1984-02-29 or 31.12.1999, not 30.02.1999; le 14 février 1950, May 4, 1999.\n2026-04-24 10:18:07 INFO 10.0.0.2"
+    assert [text[a:b] for a, b, k in pii.find_pii(text, NAMES) if k == "date"] == ["1984-02-29", "31.12.1999", "14 février 1950", "May 4, 1999"]
+    out = pii.redaction(text, NAMES, KEY)
+    assert out.text.count("⟨DATE ") == 4 and [pii.pseudonym(n, k, KEY, back=True) for a, b, k, n in out.spans] == [text[a:b] for a, b, _, _ in out.spans]
 
 
 def test_pii_tables(spark):
-    s = spark.createDataFrame([("1", "blind", "Ada Holm"), ("1", "blind", "Ada Holm"), ("2", "blind", None), (None, "blind", ""), ("3", "labelled", "Ada Holm and Ada Holm"), ("4", "blind", "x" * 200_000)], "id string, split string, text string").withColumn("kind", F.lit("clash"))
+    s = spark.createDataFrame([("1", "blind", "Ada Holm, born 1984-02-29"), ("1", "blind", "Ada Holm, born 1984-02-29"), ("2", "blind", None), (None, "blind", ""), ("3", "labelled", "Ada Holm and Ada Holm"), ("4", "blind", "x" * 200_000)], "id string, split string, text string").withColumn("kind", F.lit("clash")).withColumn("starts", F.lit(1))
     a = spark.createDataFrame([("3", "Person", "Ada Holm"), ("3", " PERSON", "Ada Berg"), ("3", None, None)], "sample_id string, kind string, text string")
-    assert [tuple(r) for r in pii.found(s, a).collect()] == [("1", 0, 8, "person")]
-    assert pii.found(s.limit(0), a.limit(0)).count() == 0
-    assert pii.redacted_samples(s, NAMES).filter("spans > 0").count() == 3
+    assert [tuple(r) for r in pii.found(s, a, KEY).collect()] == [("1", 0, 8, "person")]
+    assert pii.found(s.limit(0), a.limit(0), KEY).count() == 0
+    done = pii.redacted_samples(s, NAMES, KEY).collect()
+    assert sorted(r.spans for r in done) == [0, 0, 0, 2, 2, 2] and sum(r.redacted is None for r in done) == 1
+    for bad in (b"", b"short", None):
+        with pytest.raises(ValueError):
+            pii.redactions(s, NAMES, bad)
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 32
 
 
 # ---------------------------------------------------------------- 4 near duplicates
@@ -271,6 +307,39 @@ SECRETS = [
 ]
 
 
+V = "tree2001xQ"
+PATHS = [
+    f"<password>{V}</password>", f"<c><password><![CDATA[{V}]]></password></c>", f"password: |\n  {V}\nuser: x", f'{{"passwords": ["{V}", "{V}"]}}', f'password = """{V}"""', f"env:\n- name: DB_PASSWORD\n  value: {V}\n- name: HOST\n  value: db1234567",
+    f'env:\n  - name: DB_PASSWORD\n    value: "{V}"', f"credentials:\n  value: {V}\n  name: bob", f'{{"name": "DB_PASSWORD", "value": "{V}"}}', f'[{{"value": "{V}", "name": "DB_PASSWORD"}}]', f'<add key="DbPassword" value="{V}"/>', f'<property name="password">{V}</property>',
+    f'[database]\npassword = "{V}"', f"passwords:\n  - {V}\n  - {V}", f"set_password('{V}')", f"it's password = '{V}' there", f'define("DB_PASSWORD", "{V}")', f'x = {{"db": {{"passwords": {{"a": "{V}"}}}}}}',
+]
+
+
+@pytest.mark.parametrize("text", PATHS)
+def test_secrets_of_key_paths(text):
+    got = secrets.find_secrets(text)
+    assert len(got) == text.count(V) and {(text[a:b], k) for a, b, k in got} == {(V, "password")}
+    assert secrets.redact_secrets(text) == text.replace(V, "⟨PASSWORD⟩")
+
+
+@pytest.mark.parametrize("text", ["private_key: /etc/ssl/key.pem", 'tokens: ["alpha", "beta"]', "password:\n  min_length: 12\n  value: 12", "secrets:\n  - db_password", '{"secrets": {"source": "vault1"}}'])
+def test_paths_without_secrets(text):
+    assert secrets.find_secrets(text) == []
+
+
+def test_key_material_without_its_frame():
+    text = "private_key: " + "9f8e7d6c5b4a3928" * 4
+    assert secrets.find_secrets(text) == [(13, 77, "private_key")]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab1:='\"{}[](),<>/- \n|", max_size=60))
+def test_settings_have_the_offsets_of_their_values(text):
+    for path, value, a, b, _ in secrets.settings(text):
+        assert text[a:b] == value and path
+    assert secrets.redact_secrets(text, []) == text
+
+
 @pytest.mark.parametrize("text,want", SECRETS)
 def test_find_secrets(text, want):
     got = secrets.find_secrets(text)
@@ -377,5 +446,15 @@ def test_stuffed_pages(spark):
     stuffed = "Looking for amber sofa? Our amber sofa is the best amber sofa. " * 12
     rows = [(i, prose(12, rng), "en") for i in range(60)] + [(100, key(), "en"), (101, link(), None), (102, stuffed, "EN"), (103, logs, "en"), (104, code, "xx"), (105, gloss, "de"), (106, None, "en"), (107, "", None), (108, " \n", "en"), (109, prose(10, rng) + "\nTags: amber sofa, kelp", "fr"), (110, prose(3000, rng), "en"), (100, key(), "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("ratio", F.lit("x")).withColumn("step", F.lit(1))
+    flagged = {r.doc_id: r for r in spam.redundant_pages(df).collect()}
+    assert all(flagged[i].share < spam.FLAG for i in (100, 101, 102)) and flagged[102].share < spam.EXTREME and not set(flagged) & set(range(60))
     assert sorted(r.doc_id for r in spam.stuffed_pages(df).collect()) == [100, 101, 102]
     assert spam.stuffed_pages(df.limit(0)).count() == 0
+
+
+def test_redundancy_decides_and_sentences_of_any_script_count():
+    sparse = "Amber sofa, kelp watch, willow lamp, larch printer, otter chair"
+    assert spam.confirmations(sparse, 0.5) == (True, True) and spam.confirmations(sparse, 0.99) == (False, False)
+    for text in ("这是第一句话。这是第二句话。", "Это первое предложение. Это второе предложение.", "これは文です。"):
+        assert len(spam._SENTENCE.findall(text)) >= 1 and spam.confirmations(text * 9, 0.3)[0] is False
+    assert len(spam._SENTENCE.findall("a.b v1.2 3.5 x@y.example")) == 0

@@ -1,20 +1,21 @@
 """Personal information in free text: places, kinds, and typed pseudonymous placeholders.
 
-E-mail addresses, phone, social security, national insurance and employee numbers and postal
-addresses are found by shape.  Names are found by a small model fitted on labelled rows: which
+E-mail addresses, phone, social security, national insurance and employee numbers, postal
+addresses and calendar dates are found by shape.  Names are found by a small model fitted on labelled rows: which
 words are given or family names, which endings family names share, and how often a word is a name
 where it is written with a capital.  The grammar of full, partial, inverted and initialled names
 then decides; ordinary words that are also names need a neighbour that makes them one.
 
-A placeholder names the kind and carries a pseudonym.  Numbers are validated by their format and
-keyed-permuted within it by a Feistel network over their digits: separators, prefixes and letters
-stay, so does the length, and the same number gives the same pseudonym in every document and
-spelling.  Addresses, names and mailboxes get a keyed tag.
+A placeholder names the kind and carries a pseudonym.  Numbers and dates are validated and
+keyed-permuted within their format by a Feistel network over their digits or days, walked until the
+result is valid if the value was (and is not if it was not): separators, prefixes, letters, month
+names' language and padding stay, so does the length, the same value gives the same pseudonym in
+every document and spelling, and whoever has the key gets the value back (``back=True``).
+Addresses, names and mailboxes get a keyed tag.  There is no default key.
 
 The model is collected to the driver: it is fitted on at most ``FIT_SPANS`` name spans and
-``FIT_TEXTS`` texts of labelled rows (chosen by hash) and holds at most ``MOST_NAMES`` words; it
-only ever describes spelling, every text is scanned in full.  Scanning is row by row, without a
-shuffle.
+``FIT_TEXTS`` texts of labelled rows (chosen by hash), which bounds its words; it only ever
+describes spelling, every text is scanned in full.  Scanning is row by row, without a shuffle.
 
 Offsets are code points, end exclusive.  Defined results: null and empty texts have no spans; null
 ids stay null; repeated rows give equal spans (``found`` is distinct); without labelled rows only
@@ -25,7 +26,7 @@ the earlier, then to the longer one.
 from __future__ import annotations
 
 import hashlib
-import hmac
+import os
 import re
 import unicodedata
 from collections import Counter
@@ -33,14 +34,15 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_kind, spread
 
-KINDS = ("email", "address", "national_id", "ssn", "phone", "employee_id", "person")
-FIT_SPANS, FIT_TEXTS, MOST_NAMES = 20_000, 5_000, 20_000
+KINDS = ("email", "address", "national_id", "ssn", "phone", "employee_id", "person", "date")
+RECORDED = KINDS[:-1]  # the kinds that annotations record
+FIT_SPANS, FIT_TEXTS = 20_000, 5_000
 
 # ---------------------------------------------------------------- shapes
 _LABEL = r"[^\W_](?:[^\W_]|-(?=[^\W_]))*"
@@ -57,7 +59,6 @@ _ABROAD = rf"(?:\+|00)\s?(?!1{_SEP})[1-9]\d{{0,2}}{_SEP}?(?:\(0\){_SEP}?)?\d(?:{
 _TRUNK = rf"0\d(?:{_SEP}\d\d){{4}}|0\d{{2,4}}{_SEP}\d{{3,5}}{_SEP}\d{{3,4}}|0\d{{4}}{_SEP}\d{{5,6}}|\(0\d{{2,4}}\){_SEP}?\d{{3,4}}{_SEP}?\d{{3,4}}|0\d{{10}}"
 PHONE = re.compile(rf"(?<![\w.+@#=])(?<!\w-)(?<!\d[,/–])(?:{_NANP}|{_ABROAD}|{_TRUNK}){_EXT}(?![\w@])(?!-\w)(?!\.\d)")
 _BARE = re.compile(r"\d+")
-_LOGIN = re.compile(r"://[^\s/@]*$")  # the secret of a URL is no mailbox
 # a bare run of digits after one of these words is a counter, not a number to call
 _COUNTER = re.compile(r"(?i)(?:build|ticket|order|release|version|invoice|ref|id|number of|port|sku|item|limit|max_\w+)[\s.:#=]*$")
 
@@ -65,6 +66,23 @@ SSN = re.compile(r"(?<![\w.\-])(?<!\d[,/–])(?:\d{3}(?P<s>-|\.|\s|–|—|‑|\
 NATIONAL = re.compile(r"(?i)(?<![\w\-])[A-Z]{2}(?P<s>[\s\-.]?)\d\d(?P=s)\d\d(?P=s)\d\d(?P=s)[A-D](?![\w\-])")
 EMPLOYEE = re.compile(r"(?i)(?<![\w\-⟨])EMP[\-_#\s.:]{0,2}\d{3,8}(?![\w\-])")
 
+# fixed values: month names by language
+MONTHS = {
+    "en": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+    "short": ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
+    "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+}
+_MONTH = "|".join(sorted({m for names in MONTHS.values() for m in names}, key=lambda m: (-len(m), m)))
+_DATE_END = r"(?![\w\-/])(?![.,]\d)(?!T\d|[ ,]{1,2}\d{1,2}:\d\d)"  # a time stamp is no date of somebody
+DATES = [
+    re.compile(r"(?<![\w.\-/])(?P<y>\d{4})(?P<s>[\-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})" + _DATE_END),
+    re.compile(r"(?<![\w.\-/])(?P<a>\d{1,2})(?P<s>[\-/.])(?P<b>\d{1,2})(?P=s)(?P<y>\d{4})" + _DATE_END),
+    re.compile(rf"(?i)(?<![\w.\-/])(?P<d>\d{{1,2}})(?:\.|st|nd|rd|th)?\s(?:de\s|of\s)?(?P<month>{_MONTH})\.?,?\s(?:de\s|del\s)?(?P<y>\d{{4}})" + _DATE_END),
+    re.compile(rf"(?i)(?<![\w.\-/])(?P<month>{_MONTH})\.?\s(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s(?P<y>\d{{4}})" + _DATE_END),
+]
+
 _W = r"[^\W\d_][^\W\d_'’]*"
 _CITY = rf"{_W}(?:[\-\s]{_W}){{0,2}}"
 _TOWN = rf"{_W}(?:-{_W})*"
@@ -136,7 +154,7 @@ def fit_names(spans: list[str], texts: list[tuple[str, list[str]]]) -> Names:
             outside[w] += max(0, seen[w] - marked[w])
     known = set(given) | set(family)
     sure = frozenset(w for w in known if inside[w] > outside[w] or not outside[w])
-    return Names(frozenset(list(given)[:MOST_NAMES]), frozenset(list(family)[:MOST_NAMES]), endings, sure)
+    return Names(frozenset(given), frozenset(family), endings, sure)
 
 
 EMPTY = Names(frozenset(), frozenset(), (), frozenset())
@@ -212,13 +230,19 @@ def find_names(text: str, names: Names) -> list[tuple[int, int]]:
 
 
 # ---------------------------------------------------------------- all kinds
+def _in_login(text: str, at: int) -> bool:
+    """Whether a place is in the login of a URL: its secret is no mailbox."""
+    start = text.rfind("://", 0, at)
+    return start >= 0 and not re.search(r"[\s/@]", text[start + 3 : at])
+
+
 def find_pii(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order and disjoint."""
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
     if "@" in text or re.search(r"(?i)\bat\b", text):
-        found += [(*m.span("v"), "email") for m in EMAIL.finditer(text) if not _LOGIN.search(text, max(0, m.start("v") - 80), m.start("v"))]
+        found += [(*m.span("v"), "email") for m in EMAIL.finditer(text) if not _in_login(text, m.start("v"))]
     if any(c.isdigit() for c in text):
         for p in ADDRESS:
             found += [(m.start(), m.end(), "address") for m in p.finditer(text)]
@@ -228,6 +252,7 @@ def find_pii(text: str | None, names: Names) -> list[tuple[int, int, str]]:
                 if not (_BARE.fullmatch(m.group()) and _COUNTER.search(text, max(0, m.start() - 16), m.start())):
                     found.append((m.start(), m.end(), kind))
         found += [(m.start(), m.end(), "employee_id") for m in EMPLOYEE.finditer(text)]
+        found += [(m.start(), m.end(), "date") for p in DATES for m in p.finditer(text) if read_date(m.group()) is not None]
     found += [(a, b, "person") for a, b in find_names(text, names)]
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(found, key=lambda s: (KINDS.index(s[2]), s[0], -s[1])):
@@ -241,8 +266,8 @@ ROUNDS = 10
 
 
 def _round(key: bytes, tweak: str, i: int, digits: str, width: int) -> int:
-    mac = hmac.new(key, f"{tweak}|{width}|{i}|{digits}".encode(), hashlib.sha256).digest()
-    return int.from_bytes(mac[:16], "big") % 10**width
+    mac = hashlib.blake2b(f"{tweak}|{width}|{i}|{digits}".encode(), key=key, digest_size=16).digest()
+    return int.from_bytes(mac, "big") % 10**width
 
 
 def permute_digits(digits: str, key: bytes, tweak: str = "", back: bool = False) -> str:
@@ -265,6 +290,26 @@ def permute_digits(digits: str, key: bytes, tweak: str = "", back: bool = False)
     return a + b
 
 
+def valid_digits(kind: str, digits: str, national: bool = False) -> bool:
+    """Whether digits can be a number of the kind: social security numbers have no area 000 or 666,
+    no group 00 and no serial 0000; area and exchange of a North American phone begin with 2 to 9;
+    no other subscriber number begins with 0."""
+    if kind == "ssn":
+        return len(digits) == 9 and digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"
+    if kind == "phone":
+        return (len(digits) == 10 and digits[0] > "1" and digits[3] > "1") if national else digits[:1] != "0"
+    return True
+
+
+def permute_number(digits: str, kind: str, key: bytes, national: bool = False, back: bool = False) -> str:
+    """permute_digits walked along its cycle to the next number that is as valid as this one."""
+    want, now = valid_digits(kind, digits, national), digits
+    while True:
+        now = permute_digits(now, key, kind, back)
+        if valid_digits(kind, now, national) == want:
+            return now
+
+
 _EPOCH, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
@@ -278,6 +323,70 @@ def permute_date(day: date, key: bytes, back: bool = False) -> date:
             return _EPOCH + timedelta(n)
 
 
+def read_date(value: str) -> tuple[date, tuple] | None:
+    """The day that a text names and the form in which it does, if there is such a day in 1900 to 2099."""
+    for i, p in enumerate(DATES):
+        if m := p.fullmatch(value):
+            break
+    else:
+        return None
+    g, language = m.groupdict(), None
+    if i == 1:
+        # the day comes first unless the second number can be no month
+        first = int(g["b"]) <= 12
+        day, month = ("a", "b") if first else ("b", "a")
+        language = "dm" if first else "md"
+    else:
+        day, month = "d", "m" if i == 0 else "month"
+    if month == "month":
+        told = g["month"]
+        language = next((n for n, names in MONTHS.items() if told in names), None) or next(n for n, names in MONTHS.items() if told.lower() in [x.lower() for x in names])
+        number = [x.lower() for x in MONTHS[language]].index(told.lower()) + 1
+    else:
+        number = int(g[month])
+    try:
+        at = date(int(g["y"]), number, int(g[day]))
+    except ValueError:
+        return None
+    if not 0 <= (at - _EPOCH).days < _DAYS:
+        return None
+    case = (str.upper if g["month"].isupper() else str.lower if g["month"].islower() else str.title) if month == "month" else None
+    parts = sorted((m.start(x), m.end(x), what) for x, what in (("y", "y"), (month, "m"), (day, "d")))
+    between, pos = [], 0
+    for a, b, what in parts:
+        between += [value[pos:a], what]
+        pos = b
+    widths = tuple(b - a for a, b, what in parts if what != "m" or month != "month")
+    return at, (i, language, case.__name__ if case else None, tuple([*between, value[pos:]]), widths)
+
+
+def _written(at: date, form: tuple) -> str:
+    i, language, case, parts, widths = form
+    width = iter(widths)
+    out = []
+    for n, part in enumerate(parts):
+        if n % 2 == 0:
+            out.append(part)
+        elif part == "m" and i >= 2:
+            out.append(getattr(str, case)(MONTHS[language][at.month - 1]))
+        else:
+            out.append(str({"y": at.year, "m": at.month, "d": at.day}[part]).zfill(next(width)))
+    return "".join(out)
+
+
+def permute_written_date(value: str, key: bytes, back: bool = False) -> str | None:
+    """The keyed permutation of a date as it is written, walked to the next day that reads in the same form."""
+    told = read_date(value)
+    if told is None:
+        return None
+    at, form = told
+    while True:
+        at = permute_date(at, key, back)
+        new = _written(at, form)
+        if read_date(new) == (at, form):
+            return new
+
+
 def _fixed_digits(value: str, kind: str) -> tuple[int, int]:
     """How many digits of a number stay: in front (country and trunk prefix) and at the end (extension)."""
     if kind != "phone":
@@ -295,31 +404,54 @@ def _fixed_digits(value: str, kind: str) -> tuple[int, int]:
     return max(front, 0), len(ext.group(1)) if ext else 0
 
 
-def pseudonym(value: str, kind: str, key: bytes) -> str:
-    """What stands for a value in its placeholder."""
+def pseudonym(value: str, kind: str, key: bytes, back: bool = False) -> str:
+    """What stands for a value in its placeholder; ``back``: the value of a number's or date's pseudonym."""
+    if kind == "date":
+        return permute_written_date(value, key, back) or value
     if kind in ("phone", "ssn", "national_id", "employee_id"):
         digits = "".join(c for c in value if c.isdigit())
-        front, back = _fixed_digits(value, kind)
-        core = digits[front : len(digits) - back]
-        new = iter(digits[:front] + permute_digits(core, key, kind) + digits[len(digits) - back :])
+        front, rear = _fixed_digits(value, kind)
+        core = digits[front : len(digits) - rear]
+        national = kind == "phone" and len(core) == 10 and not value.lstrip("( ").startswith(("0", "+")) or value.lstrip("( ").startswith(("+1", "001"))
+        new = iter(digits[:front] + permute_number(core, kind, key, national, back) + digits[len(digits) - rear :])
         return "".join(next(new) if c.isdigit() else c for c in value)
+    if back:
+        raise ValueError(f"a tag of kind {kind} does not tell its value")
     plain = unicodedata.normalize("NFKC", value).lower()
     if kind == "email":
         plain = re.sub(r"\s*[\[({]?\s*\bdot\b\s*[\])}]?\s*", ".", re.sub(r"\s*[\[({]?\s*\bat\b\s*[\])}]?\s*|\s*@\s*", "@", plain))
     elif kind == "person" and "," in plain:
         plain = " ".join(reversed([p.strip() for p in plain.split(",", 1)]))
     plain = " ".join(re.findall(r"[\w@+]+", plain))
-    return hmac.new(key, f"{kind}|{plain}".encode(), hashlib.sha256).hexdigest()[:10]
+    return hashlib.blake2b(f"{kind}|{plain}".encode(), key=key, digest_size=5).hexdigest()
+
+
+def _checked(key: bytes) -> bytes:
+    if not isinstance(key, bytes) or not 16 <= len(key) <= 64:
+        raise ValueError("pseudonyms need a secret key of 16 to 64 bytes")
+    return key
 
 
-def redact_pii(text: str | None, spans: list[tuple[int, int, str]], key: bytes) -> str | None:
+class Redaction(NamedTuple):
+    text: str | None
+    spans: list[tuple[int, int, str, str]]  # start, end, kind, pseudonym
+
+
+def redaction(text: str | None, names: Names, key: bytes, made: dict | None = None) -> Redaction:
+    """The text with typed placeholders, otherwise unchanged, and what was replaced.  ``made``
+    remembers pseudonyms."""
     if text is None:
-        return None
-    parts, at = [], 0
-    for a, b, kind in spans:
-        parts += [text[at:a], f"⟨{kind.upper()} {pseudonym(text[a:b], kind, key)}⟩"]
+        return Redaction(None, [])
+    made = {} if made is None else made
+    parts, at, spans = [], 0, []
+    for a, b, kind in find_pii(text, names):
+        value = text[a:b]
+        if (name := made.get((kind, value))) is None:
+            name = made[(kind, value)] = pseudonym(value, kind, key)
+        parts += [text[at:a], f"⟨{kind.upper()} {name}⟩"]
+        spans.append((a, b, kind, name))
         at = b
-    return "".join([*parts, text[at:]])
+    return Redaction("".join([*parts, text[at:]]), spans)
 
 
 # ---------------------------------------------------------------- tables
@@ -332,32 +464,46 @@ def fitted_names(samples: DataFrame, annotations: DataFrame, spans: int = FIT_SP
     return fit_names([r["name"] for r in known], [(r["text"], r["names"]) for r in rows])
 
 
-SPANS = "id string, span_start int, span_end int, kind string"
+REDACTED = "id string, redacted string, starts array<int>, ends array<int>, kinds array<string>, pseudonyms array<string>"
+REMEMBER = 50_000  # pseudonyms per Python worker; the memory is emptied beyond that
 
 
-def pii_spans(samples: DataFrame, names: Names) -> DataFrame:
-    """(id, span_start, span_end, kind)."""
+def redactions(samples: DataFrame, names: Names, key: bytes) -> DataFrame:
+    """(id, redacted, starts, ends, kinds, pseudonyms): see ``redaction``."""
+    _checked(key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, a, b, k) for i, t in zip(pdf["id"], pdf["text"]) for a, b, k in find_pii(t, names)]
-            yield pd.DataFrame(rows, columns=["id", "span_start", "span_end", "kind"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict = {}
+        for batch in batches:
+            if len(made) > REMEMBER:
+                made.clear()
+            done = [redaction(t, names, key, made) for t in batch.column("text").to_pylist()]
+            spans = [list(zip(*r.spans)) or [(), (), (), ()] for r in done]
+            lists = [pa.array([list(x[i]) for x in spans], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), pa.array([r.text for r in done], pa.string()), *lists], names=["id", "redacted", "starts", "ends", "kinds", "pseudonyms"])
 
-    rows = samples.select(F.col("id").cast("string").alias("id"), "text").filter("text IS NOT NULL")
-    return spread(rows).mapInPandas(run, SPANS)
+    return spread(samples.select(F.col("id").cast("string").alias("id"), "text")).mapInArrow(run, REDACTED)
 
 
-def redacted_samples(samples: DataFrame, names: Names, key: bytes = b"veilspan") -> DataFrame:
+def redacted_samples(samples: DataFrame, names: Names, key: bytes) -> DataFrame:
     """(id, redacted, spans): the text with typed placeholders, otherwise unchanged."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [find_pii(t, names) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "redacted": [redact_pii(t, s, key) for t, s in zip(pdf["text"], found)], "spans": [len(s) for s in found]})
-
-    return spread(samples.select(F.col("id").cast("string").alias("id"), "text")).mapInPandas(run, "id string, redacted string, spans int")
-
-
-def found(samples: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Mentions in the blind samples, by a model fitted on the labelled ones."""
-    return pii_spans(samples.filter(F.col("split") == "blind"), fitted_names(samples, annotations)).distinct()
+    return redactions(samples, names, key).select("id", "redacted", F.size("starts").alias("spans"))
+
+
+def found(samples: DataFrame, annotations: DataFrame, key: bytes) -> DataFrame:
+    """(id, span_start, span_end, kind): what the redaction of the blind samples replaces, of the
+    kinds that annotations record, by a model fitted on the labelled ones."""
+    blind = redactions(samples.filter((F.col("split") == "blind") & F.col("text").isNotNull()), fitted_names(samples, annotations), key)
+    spans = blind.select("id", F.explode(F.arrays_zip("starts", "ends", "kinds")).alias("s"))
+    spans = spans.select("id", F.col("s.starts").alias("span_start"), F.col("s.ends").alias("span_end"), F.col("s.kinds").alias("kind"))
+    return spans.filter(F.col("kind").isin(*RECORDED)).distinct()
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that ``spark.veilspan.key`` holds in hexadecimal digits; a session without one gets
+    a random key, so that its pseudonyms are of no use to anyone."""
+    told = spark.conf.get("spark.veilspan.key", None)
+    if told is None:
+        told = os.urandom(32).hex()
+        spark.conf.set("spark.veilspan.key", told)
+    return _checked(bytes.fromhex(told))

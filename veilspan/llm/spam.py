@@ -3,14 +3,16 @@
 1. A text is cut into blocks of BLOCK bytes (a short tail joins the block before it) and each block
    is compressed; the mean ratio of compressed to plain bytes measures redundancy.
 2. The usual ratio depends on length and language, so it is averaged over all documents of the same
-   language and length step.  A page is redundant where its ratio is below FLAG times the usual one.
-3. Redundant pages are confirmed by a low density of sentence punctuation: without their links and
-   with few function words they do not read as sentences.  What is redundant by form (time-stamped
-   lines, code and settings, digests, definitions) is let go.  Stuffing may hide in sentences; an
-   exact count of the commonest two-word phrase finds it.
+   language and length step.  A page is redundant where its ratio is below FLAG times the usual one,
+   and extremely redundant below EXTREME times.
+3. A redundant page is confirmed by a low density of sentence punctuation of any script; an
+   extremely redundant one also if it has sentences but one word makes up much of it.  What is
+   redundant and unpunctuated by form (time-stamped lines, code and settings, definitions, lists of
+   clauses) is let go by an exact look at the form.
 
-The table of usual ratios has at most (languages + 1) * steps rows, so it is broadcast.  Texts are
-read twice and never shuffled.
+No word list is used.  A text is read and compressed once: the same pass notes its ratio and what
+would confirm it (a few numbers a document) are written, and the table of usual ratios, at most
+(languages + 1) * steps rows, is joined to them.  Texts are never shuffled.
 
 Defined results: null, empty and blank texts are no pages and never found; unknown, wrong or null
 languages share a class of their own; a repeated doc_id is returned once.
@@ -18,34 +20,35 @@ languages share a class of their own; a repeated doc_id is returned once.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import spread
+from .common import cut, spread
 
 BLOCK = 1_000
 TAIL = 250
 STEP = 125
 LANGUAGES = ("en", "de", "es", "fr")
-FLAG = 0.94
+FLAG, EXTREME = 0.91, 0.75
+SPARSE = 3.0  # sentence ends in a thousand characters, below which a text has no sentences
+MOST_USUAL = 1.05  # no text is usually longer when compressed than this share of it
+LONG_WORD = 4  # letters
 
 _LINK = re.compile(r"""<a\s[^>]*>|\]\([^)\s]+\)|https?://[^\s<>"')]+|(?<![\w.])www\.[^\s<>"')]+""", re.I)
-_SENTENCE = re.compile(r"""[.!?](?<=[^\W\d_]{2}.|[^\W\d_]["'’”)\]].)(?=\s|$)""")
+# a mark that ends a sentence, after a word or a closing bracket or quote; those of scripts without blanks need none behind
+_SENTENCE = re.compile(r"""(?:[.!?…։؟।॥။።](?<=[^\W\d_]{2}.|[^\W\d_]["'’”»)\]].)["'’”»)\]]*(?=\s|$))|[。！？｡](?<=[^\W\d_].)""")
 _WORD = re.compile(r"[^\W\d_]+")
 _STAMP = re.compile(r"(?m)^[\[(]?(?:\d{4}-\d\d-\d\d|\d\d[:/]\d\d[:/]\d\d)")
 _CODE = re.compile(r"[(){}=;_]")
 _DEFINED = re.compile(r"(?m)^\W*[^\W\d_][^:\n]{0,40}: +\w+ +\w+ +\w+")
-FUNCTION_WORDS = frozenset(
-    "the a an of and to in is was with for that this it be on by at as from or not we you our are but if his because after which"
-    " der die das und ist nicht ein eine zu mit auf von den dem im sich für oder wir"
-    " le la les de des et un une en que el los las y es por para con se du au est pour dans sur".split()
-)
 
 
 def block_ratio(text: str | None) -> float | None:
@@ -60,34 +63,41 @@ def block_ratio(text: str | None) -> float | None:
     return packed / len(b)
 
 
-def looks_stuffed(text: str) -> bool:
-    """The exact check of a redundant page."""
+def confirmations(text: str, ratio: float) -> tuple[bool, bool]:
+    """(sparse, repeated): whether a redundant page is confirmed, and whether an extremely redundant
+    one is.  What no usual ratio could flag is not looked at."""
+    if ratio >= FLAG * MOST_USUAL:
+        return False, False
+    enough = math.ceil(SPARSE * len(text) / 1000)
+    few = sum(1 for _ in islice(_SENTENCE.finditer(text), enough)) < enough
+    if not few and ratio >= EXTREME * MOST_USUAL:
+        return False, False
     marked = "://" in text or "www." in text or "](" in text or "<a" in text
-    links = sum(len(m) for m in _LINK.findall(text)) if marked else 0
-    if links >= 0.4 * len(text):
-        return True
+    if few and marked and sum(len(m) for m in _LINK.findall(text)) >= 0.4 * len(text):
+        return True, True
     lines = text.count("\n") + 1
     words = _WORD.findall(text.lower())
-    if not words or sum(map(len, words)) < 0.45 * len(text) or len(_STAMP.findall(text)) * 2 > lines or len(_CODE.findall(text)) > 0.02 * len(text):
-        return False
-    function = sum(w in FUNCTION_WORDS for w in words) / len(words)
-    sentences = 1000 * len(_SENTENCE.findall(text)) / len(text)
-    if sentences < 3.0 and function < 0.22 and len(set(words)) < (0.75 if function > 0.1 else 0.9) * len(words):
-        return True
-    content = [w for w in words if w not in FUNCTION_WORDS]
-    pairs = Counter(zip(content, content[1:]))
-    most = pairs.most_common(1)[0][1] if pairs else 0
-    return most >= 5 and 2 * most >= 0.16 * len(words) and len(_DEFINED.findall(text)) * 2 <= lines
+    if not words or sum(map(len, words)) < 0.45 * len(text) or len(_CODE.findall(text)) > 0.02 * len(text):
+        return False, False
+    if len(_STAMP.findall(text)) * 2 > lines or len(_DEFINED.findall(text)) * 2 > lines and not few:
+        return False, False
+    long = Counter(w for w in words if len(w) >= LONG_WORD)
+    most = max(long.values(), default=0) / len(words)
+    if few:
+        # clauses are told from phrases by their many short words, unless one long word prevails
+        short = sum(len(w) < LONG_WORD for w in words) / len(words)
+        return (short < 0.3 or most >= 0.1), (short < 0.3 or most >= 0.1)
+    return False, most >= 0.085
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(s: pd.Series) -> pd.Series:
-    return s.map(block_ratio, na_action="ignore").astype("float64")
+MEASURES = StructType([StructField("ratio", DoubleType()), StructField("sparse", BooleanType()), StructField("repeated", BooleanType())])
 
 
-@F.pandas_udf(BooleanType())
-def _stuffed(s: pd.Series) -> pd.Series:
-    return s.map(looks_stuffed).astype("bool")
+@F.pandas_udf(MEASURES)
+def _measures(s: pd.Series) -> pd.DataFrame:
+    ratios = [block_ratio(t) for t in s]
+    told = [confirmations(t, r) if r is not None else (False, False) for t, r in zip(s, ratios)]
+    return pd.DataFrame({"ratio": pd.Series(ratios, dtype="float64"), "sparse": [a for a, _ in told], "repeated": [b for _, b in told]})
 
 
 def language_class(lang: Column) -> Column:
@@ -96,18 +106,18 @@ def language_class(lang: Column) -> Column:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, lang class, step, ratio)."""
+    """(doc_id, lang class, step, ratio, sparse, repeated) of every document with a text, written."""
     rows = documents.select("doc_id", "text", language_class(F.col("lang")).alias("lang"))
     rows = spread(rows.filter(F.col("text").rlike(r"\S")))
     step = F.floor(F.least(F.octet_length("text"), F.lit(2 * BLOCK)) / STEP).cast("int")
-    return rows.select("doc_id", "text", "lang", step.alias("step"), _ratio("text").alias("ratio"))
+    return cut(rows.select("doc_id", "lang", step.alias("step"), _measures("text").alias("m")).select("doc_id", "lang", "step", "m.*"))
 
 
-def usual_ratios(documents: DataFrame) -> DataFrame:
+def usual_ratios(sizes: DataFrame) -> DataFrame:
     """(lang, step, usual): the average of the class, but no less than that of all languages and of
     any longer step (a shorter text compresses no better), so that spam which fills a small class
     does not become usual there."""
-    sums = measured(documents).groupBy("lang", "step").agg(F.sum("ratio").alias("total"), F.count("ratio").alias("n"))
+    sums = sizes.groupBy("lang", "step").agg(F.sum("ratio").alias("total"), F.count("ratio").alias("n"))
     step = Window.partitionBy("step")
     everywhere = F.sum("total").over(step) / F.sum("n").over(step)
     usual = sums.select("lang", "step", F.col("total").alias("t"), F.col("n"), everywhere.alias("all"))
@@ -116,10 +126,11 @@ def usual_ratios(documents: DataFrame) -> DataFrame:
     return usual.select("lang", "step", F.greatest(F.col("t") / F.col("n"), longer).alias("usual"))
 
 
-def redundant_pages(documents: DataFrame, flag: float = FLAG) -> DataFrame:
-    """(doc_id, text, ratio, usual) of the pages flagged by their block-wise compression."""
-    return measured(documents).join(F.broadcast(usual_ratios(documents)), ["lang", "step"]).filter(F.col("ratio") < flag * F.col("usual"))
+def redundant_pages(documents: DataFrame) -> DataFrame:
+    """(doc_id, ratio, usual, share, sparse, repeated) of the pages flagged by their block-wise compression."""
+    sizes = measured(documents)
+    return sizes.join(F.broadcast(usual_ratios(sizes)), ["lang", "step"]).withColumn("share", F.col("ratio") / F.col("usual")).filter(F.col("share") < FLAG)
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    return redundant_pages(documents).filter(_stuffed("text")).select("doc_id").distinct()
+    return redundant_pages(documents).filter(F.col("sparse") | (F.col("repeated") & (F.col("share") < EXTREME))).select("doc_id").distinct()
