@@ -406,7 +406,9 @@ def test_packing(spark):
         assert {r.doc_id: r.t for r in got} == dict(want)
         assert rows.groupBy("container").agg(F.sum("size").alias("s")).filter(F.col("s") > cap).count() == 0
         s = packing.packing_summary(rows).first()
-        assert s.containers - s.least_containers <= max(3, 0.02 * s.least_containers) and s.tokens == sum(n for _, n in sizes)
+        assert 0 <= s.gap == s.containers - s.bound <= max(3, 0.02 * s.bound) and s.tokens == sum(n for _, n in sizes) <= s.bound * s.capacity and s.partitions >= s.optimal_partitions
+        parts = rows.groupBy("part").agg(F.countDistinct("container").alias("n"), F.min("part_bins").alias("low"), F.max("part_bins").alias("high"), F.collect_list("size").alias("sizes"), F.max("part_bound").alias("bound")).collect()
+        assert all(r.n == r.low == r.high and r.bound == packing.lower_bound(np.array(r.sizes), s.capacity) <= r.n for r in parts) and sum(r.n for r in parts) == s.containers
     assert {r.doc_id for r in packing.split_documents(out).collect()} == {i for i, n in sizes if n > 100}
     assert packing.pack_sizes(df.limit(0), [(1, 10)]).count() == 0 and packing.pack_sizes(df, []).count() == 0
 
