@@ -58,7 +58,7 @@ def prefix_sums(sizes: DataFrame, seed: int = 29, per_bucket: int = PER_BUCKET)
     # the low bits order a bucket: its rows share the high ones
     inside = Window.partitionBy("source", "__b").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     run = keyed.withColumn("__in", F.sum("tokens").over(inside))
-    return run.join(offset, ["source", "__b"]).select("doc_id", "source", "tokens", (F.col("__before") + F.col("__in")).alias("upto"))
+    return run.join(offset.hint("merge"), ["source", "__b"]).select("doc_id", "source", "tokens", (F.col("__before") + F.col("__in")).alias("upto"))
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -75,6 +75,8 @@ MONTHS = {
     "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
 }
 _MONTH = "|".join(sorted({m for names in MONTHS.values() for m in names}, key=lambda m: (-len(m), m)))
+_MONTH_NAME = re.compile(rf"(?i)\b(?:{_MONTH})\b")
+_YEAR = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")  # every date has one
 _DATE_END = r"(?![\w\-/])(?![.,]\d)(?!T\d|[ ,]{1,2}\d{1,2}:\d\d)"  # a time stamp is no date of somebody
 DATES = [
     re.compile(r"(?<![\w.\-/])(?P<y>\d{4})(?P<s>[\-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})" + _DATE_END),
@@ -252,7 +254,9 @@ def find_pii(text: str | None, names: Names) -> list[tuple[int, int, str]]:
                 if not (_BARE.fullmatch(m.group()) and _COUNTER.search(text, max(0, m.start() - 16), m.start())):
                     found.append((m.start(), m.end(), kind))
         found += [(m.start(), m.end(), "employee_id") for m in EMPLOYEE.finditer(text)]
-        found += [(m.start(), m.end(), "date") for p in DATES for m in p.finditer(text) if read_date(m.group()) is not None]
+        if _YEAR.search(text):
+            dates = DATES if _MONTH_NAME.search(text) else DATES[:2]
+            found += [(m.start(), m.end(), "date") for p in dates for m in p.finditer(text) if read_date(m.group()) is not None]
     found += [(a, b, "person") for a, b in find_names(text, names)]
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(found, key=lambda s: (KINDS.index(s[2]), s[0], -s[1])):
@@ -266,8 +270,8 @@ ROUNDS = 10
 
 
 def _round(key: bytes, tweak: str, i: int, digits: str, width: int) -> int:
-    mac = hashlib.blake2b(f"{tweak}|{width}|{i}|{digits}".encode(), key=key, digest_size=16).digest()
-    return int.from_bytes(mac, "big") % 10**width
+    mac = hashlib.blake2b(f"{tweak}|{width}|{i}|{digits}".encode(), key=key, digest_size=16)
+    return int(mac.hexdigest(), 16) % 10**width
 
 
 def permute_digits(digits: str, key: bytes, tweak: str = "", back: bool = False) -> str:
@@ -292,17 +296,19 @@ def permute_digits(digits: str, key: bytes, tweak: str = "", back: bool = False)
 
 def valid_digits(kind: str, digits: str, national: bool = False) -> bool:
     """Whether digits can be a number of the kind: social security numbers have no area 000 or 666,
-    no group 00 and no serial 0000; area and exchange of a North American phone begin with 2 to 9;
-    no other subscriber number begins with 0."""
+    no group 00 and no serial 0000; area and exchange of a North American phone begin with 2 to 9."""
     if kind == "ssn":
         return len(digits) == 9 and digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"
     if kind == "phone":
-        return (len(digits) == 10 and digits[0] > "1" and digits[3] > "1") if national else digits[:1] != "0"
+        return not national or (len(digits) == 10 and digits[0] > "1" and digits[3] > "1")
     return True
 
 
 def permute_number(digits: str, kind: str, key: bytes, national: bool = False, back: bool = False) -> str:
-    """permute_digits walked along its cycle to the next number that is as valid as this one."""
+    """permute_digits walked along its cycle to the next number that is as valid as this one.  An area
+    that makes a number invalid is kept: few numbers have one, and the walk to the next is long."""
+    if kind == "ssn" and digits[:3] in ("000", "666"):
+        return digits[:3] + permute_digits(digits[3:], key, kind, back)
     want, now = valid_digits(kind, digits, national), digits
     while True:
         now = permute_digits(now, key, kind, back)
