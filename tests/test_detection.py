@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,9 @@ def test_taxonomy_and_custom_patterns(spark):
     assert [s[2:] for s in got] == [("email", "E12"), ("ticket", "T-7")]
     df = pipeline.with_spans(spark.createDataFrame([("T-7",)], "text string"), patterns=own, policy=["all"])
     assert df.first().spans == []
+    grouped = patterns.registry({"ticket": r"(?:ticket|order) #?(\d+)", "odd": r"(x)?y"}, patterns.PATTERNS[:1])
+    for engine in ("auto", "native", "python"):
+        assert [s[:3] + s[3:] for s in detected(spark, ["order #42 xy y"], grouped, engine)[0]] == [(7, 9, "ticket", "42"), (10, 11, "odd", "x"), (13, 14, "odd", "y")]
 
 
 def test_redaction_and_restoration(spark):
@@ -131,6 +135,31 @@ def test_audit_refusal_and_tools(spark):
     assert (todo.count(), passed.count(), stopped.count()) == (1, 0, 1)
 
 
+def test_batch_tests_spare_no_text_with_a_match(spark):
+    rng = random.Random(9)
+    bits = [t for t, _ in GOLDEN.values()] + [" ", "\n", "\u00a0", "\u2003", "é", "😀", "٣", "=", ":", "ſ", "ı", "\x1c", "'", "12", "-", "password", "key"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(3000)] + [None, ""]
+    compiled = [(p, re.compile(p.python)) for p in patterns.PATTERNS]
+    bare = [(p._replace(needs=None), rx) for p, rx in compiled]
+    assert spans.scan(pa.array(texts, pa.string()), compiled) == spans.scan(pa.array(texts, pa.string()), bare)
+    assert all(any(rx.search(t) for p, rx in compiled if p.kind == k) for k, (t, _) in GOLDEN.items())
+
+
+def test_hot_requests_are_numbered_in_buckets(spark, monkeypatch):
+    rows = [("r", i, "user" if i % 2 else "system", f"m{i}@x.example and m{i // 2}@x.example") for i in range(60)] + [("s", 1, "user", "a@x.example")]
+    df = spark.createDataFrame(rows, "req string, turn int, role string, text string")
+    plain = {(r.req, r.turn): r.redacted for r in pipeline.redact_messages(df, "req", "turn", None, "text", scope="request").collect()}
+    monkeypatch.setattr(pipeline, "PER_BUCKET", 3)
+    assert {(r.req, r.turn): r.redacted for r in pipeline.redact_messages(df, "req", "turn", None, "text", scope="request").collect()} == plain
+    names = {}
+    for req, turn, _, text in rows:
+        for value, name in zip(text.split(" and "), plain[(req, turn)].split(" and ")):
+            assert names.setdefault((req, value), name) == name
+    assert len(set(names.values())) == 60 and {n for (q, _), n in names.items() if q == "r"} == {f"⟨EMAIL_{i}⟩" for i in range(1, 61)}
+    users = pipeline.redact_messages(df, "req", "turn", "role", "text", roles=("user",)).filter("role = 'system'")
+    assert users.filter("redacted <> text").count() == 0
+
+
 def test_messages_number_within_message_or_request(spark):
     rows = [("r", 1, "user", "a@x.example"), ("r", 2, "user", "b@x.example and a@x.example"), ("s", 1, "user", None)]
     df = spark.createDataFrame(rows, "req string, turn int, role string, text string")

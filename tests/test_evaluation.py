@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -33,19 +34,20 @@ def test_entities_and_false_positives(spark):
         ('[{"span": 9, "verdict": "DROP"}, 5]', [True] * 3), ("", [True] * 3), ('{"span": 1}', [True] * 3),
     ],
 )
-def test_verdicts(raw, keep):
-    assert ner.parse_verdicts(raw, 3) == keep
+def test_verdicts(spark, raw, keep):
+    assert one(spark, ner.verdicts(F.lit(raw), F.lit(3))) == keep
 
 
 def test_review_keeps_pattern_spans_and_survives_failure(spark):
     df = pipeline.with_spans(spark.createDataFrame([("Dear Anna Holm: a@x.example",)], "text string"), use_ner=True)
-    drop = df.select(ner.reviewed(F.col("text"), F.col("spans"), lambda p: "DROP").alias("s")).first().s
+    seen = []
+    drop = ner.with_review(df, "text", "spans", lambda p: '[{"span": 1, "verdict": "drop"}]' if "kind=person text=Anna Holm" in p else seen[0]).first().spans
     assert [s.kind for s in drop] == ["email"]
 
     def broken(prompt):
         raise OSError
 
-    assert len(df.select(ner.reviewed(F.col("text"), F.col("spans"), broken).alias("s")).first().s) == 2
+    assert len(ner.with_review(df, "text", "spans", broken).first().spans) == 2
 
 
 def test_noise(spark):
@@ -59,7 +61,7 @@ def test_noise(spark):
     many = spark.range(4000).select(noise.noised(F.lit("alpha bravo charlie"), F.col("id"), 1.0).alias("n")).agg(F.sum("n.substituted").alias("s"), F.sum("n.words").alias("w")).first()
     p = noise.substitution_probability(1.0)
     assert abs(many.s / many.w - p) < 4 * math.sqrt(p * (1 - p) / many.w)
-    assert [len(v.split()) for v in noise.POOLS.values()] == [35, 24, 24, 15] and len(set(noise.PRESERVED.split())) == 64
+    assert [len(v) for v in noise.POOLS.values()] == [35, 24, 24, 15] and len(set(noise.PRESERVED)) == 64
 
 
 def test_terms(spark):
@@ -136,7 +138,9 @@ def test_hook(spark):
     assert one(spark, metrics.hook_findings(F.lit("mail A@X.EXAMPLE password = longenough"))) == ["Email address detected", "API key or secret in assignment"]
     payload = json.dumps({"tool_input": {"a": "x", "edits": [{"new": "900-12-3456"}]}})
     assert one(spark, metrics.hook_findings(metrics.tool_input_text(F.lit(payload)))) == ["SSN pattern detected"]
-    assert one(spark, metrics.tool_input_text(F.lit("not json"))) == ""
+    assert one(spark, metrics.tool_input_text(F.lit("not json"))) == "" and one(spark, metrics.tool_input_text(F.lit('{"tool_input": "plain"}'))) == "plain"
+    mixed = json.dumps({"tool_input": {"a": "x", "n": 4111111111111111, "o": {"deep": "y"}, "l": ["z", {"k": "v", "m": 5, "d": {"e": "f"}}]}})
+    assert sorted(one(spark, metrics.tool_input_text(F.lit(mixed))).split("\n")) == ["v", "x"]
 
 
 def test_workloads_and_sinks(spark, tmp_path):
@@ -164,8 +168,10 @@ def test_reports(spark, tmp_path):
     back = io.parse_breakdown(spark, str(tmp_path / "r/leak_by_kind.md"))
     assert [(r.kind, r.rate) for r in back.collect()] == [("ssn", 1.0), ("email", 0.5), ("ip", 0.5)]
     assert io.read_csv(spark, str(tmp_path / "r/report_csv")).count() == 1 and io.read_csv(spark, str(tmp_path / "missing*")) is None
-    bodies = io.request_bodies(spark.createDataFrame([('{"model":"m","messages":[{"role":"user","content":"x"}]}',), ("broken",)], "value string")).collect()
-    assert bodies[0].body.messages[0].content == "x"
+    lines = [('{"model":"m","messages":[{"role":"user","content":"x"}],"tools":[{"type":"function"}]}',), ('{"messages":[{"role":"user","content":[{"type":"text","text":"y"},{"type":"image"},{"type":"text","text":"z"}]}]}',), ("broken",)]
+    bodies = io.request_bodies(spark.createDataFrame(lines, "value string"))
+    got = bodies.select(io.message_text(F.col("body.messages")[0]).alias("t"), F.size("body.tools").alias("n"), F.col("body").isNull().alias("gone")).collect()
+    assert [r.t for r in got] == ["x", "y\nz", None] and got[0].n == 1 and [r.gone for r in got] == [False, False, True]
 
 
 def test_config(tmp_path):
@@ -173,6 +179,10 @@ def test_config(tmp_path):
     c = config.load(tmp_path / "c.json", {"VEILSPAN_REQUESTS_SESSION_CAP": "5", "VEILSPAN_PIPELINE_STRICT": "no"})
     assert (c.pipeline.epsilon, c.requests.session_cap, c.policy.categories, c.pipeline.strict) == (2.5, 5, ("pii",), False)
     assert config.load(tmp_path / "none.json", {}) == config.Config() and config.custom_patterns(None) == {}
+    (tmp_path / "p.json").write_text('{"patterns": {"ticket": "T-(\\\\d+)"}, "other": 1}')
+    assert config.custom_patterns(tmp_path / "p.json") == {"ticket": r"T-(\d+)"}
+    (tmp_path / "q.json").write_text('{"patterns": ["x"]}')
+    assert config.custom_patterns(tmp_path / "q.json") == {}
 
 
 def test_holding_back_at_every_cut():
@@ -206,10 +216,29 @@ def test_events_and_sessions(spark):
     assert rows["data: [DONE]"].done and rows[": ping"].passed_through and rows["data: {bad"].passed_through
     assert [(r.choice, r.delta) for v, r in rows.items() if "index" in v] == [(1, "x")]
     s = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 3)], "session_id string, created_at int")
-    assert {r.session_id for r in streams.live_sessions(s, 2).collect()} == {"d", "c"}
+    assert {r.session_id for r in streams.live_sessions(s, 2).collect()} == {"d", "b"}
     m = s.withColumn("reverse_map", F.array(F.struct(F.lit("⟨P_1⟩").alias("placeholder"), F.lit("x").alias("original"))))
-    back = {r.session_id: r for r in streams.restore_session(spark.createDataFrame([("a", "⟨P_1⟩"), ("z", "⟨P_1⟩")], "session_id string, text string"), m).collect()}
-    assert back["a"].text == "x" and back["z"].text == "⟨P_1⟩" and back["z"].error
+    done, left = streams.restore_session(spark.createDataFrame([("a", "⟨P_1⟩"), ("z", "⟨P_1⟩")], "session_id string, text string"), m)
+    back = {r.session_id: r for r in done.collect()}
+    assert back["a"].text == "x" and back["z"].text == "⟨P_1⟩" and back["z"].error and {r.session_id for r in left.collect()} == {"b", "c", "d"}
+    block = spark.createDataFrame([('data: {"type":"content_block_delta","index":2,"delta":{"type":"text_delta","text":"y"}}',), ('data: {"type":"message_stop"}',)], "value string")
+    assert sorted((r.choice, r.delta, r.done) for r in streams.parse_events(block).collect()) == sorted([(2, "y", False), (0, None, True)], key=str) or [(r.choice, r.delta, r.done) for r in streams.parse_events(block).collect()] == [(2, "y", False), (0, None, True)]
+
+
+@pytest.mark.parametrize("ranked", [0, 10_000])
+def test_live_sessions_equal_sorting(spark, monkeypatch, ranked):
+    monkeypatch.setattr(streams, "RANKED", ranked)
+    rng = random.Random(6)
+    rows = [(f"s{i}", rng.choice(["a", "b", None]), rng.choice([5, 5, 7, rng.randrange(10**9)])) for i in range(300)] + [("n", "a", None)]
+    df = spark.createDataFrame(rows, "session_id string, g string, created_at long")
+    digest = lambda i: hashlib.md5(i.encode()).hexdigest()
+    for cap in (1, 40, 1000):
+        want = set()
+        for g in ("a", "b", None):
+            mine = sorted((r for r in rows if r[1] == g and r[2] is not None), key=lambda r: (r[2], digest(r[0])), reverse=True)
+            want |= {r[0] for r in mine[:cap]}
+        assert {r.session_id for r in streams.live_sessions(df, cap, ["g"]).collect()} == want
+    assert streams.live_sessions(df.limit(0), 5).count() == 0
 
 
 def test_routing_counters_and_choices(spark):
@@ -227,6 +256,39 @@ def test_routing_counters_and_choices(spark):
     assert [x.content for x in back] == ["re: short a@x.example", "no"]
 
 
+def test_online_options(spark):
+    df = spark.createDataFrame([("1", "user", "Please mail a@x.example"), ("2", "system", "Please mail b@x.example"), ("3", "user", "line\nPlease use Docker Kubernetes")], "id string, role string, text string")
+    told = lambda t: f"re: {t}"
+    c = {r.id: r for r in pipeline.online(df, "B+C", told, role="role", rephraser=lambda t: t.replace("Please", "Kindly").replace("Docker Kubernetes", "containers"))[0].collect()}
+    assert c["1"].outgoing == "Kindly mail ⟨EMAIL_1⟩" and c["1"].restored == "re: Kindly mail a@x.example" and c["1"].leak_audit.sent == 0
+    assert c["2"].outgoing == "Please mail ⟨EMAIL_1⟩" and c["3"].label == "B(C-rejected)" and c["3"].outgoing.endswith("Docker Kubernetes")
+    ab = {r.id: r for r in pipeline.online(df, "A+B", told, local=lambda t: "local")[0].collect()}
+    assert (ab["1"].response, ab["1"].outgoing, ab["3"].label) == ("local", "", "A+B(cloud)") and ab["1"].leak_audit.outgoing_bytes == 0
+
+    def broken(prompt):
+        raise OSError("down")
+
+    failed = pipeline.online(df, "B", broken, threads=3, retries=1)[0].collect()
+    assert all(r.response is None and r.restored is None and r.response_error == "OSError: down" for r in failed)
+    sent, refused = pipeline.online(df, "D", told, enclave=(F.when(F.col("id") != "2", F.col("id")), F.create_map(F.lit("p"), F.lit("q"))))
+    assert {r.id for r in sent.collect()} == {"1", "3"} and [(r.id, r.refusal) for r in refused.collect()] == [("2", "enclave not attested")]
+    assert pipeline.online(df, "D", told)[0].count() == 0
+    with pytest.raises(ValueError):
+        pipeline.online(df, "E", told)
+
+
+def test_samples_with_many_annotations_are_split(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PER_ROW", 3)
+    s = spark.createDataFrame([("s1", "w", " ".join(f"value{i}" for i in range(20))), ("s2", "w", "none")], "id string, workload string, text string")
+    a = spark.createDataFrame([("s1", "k", f"value{i % 25}") for i in range(50)] + [("s1", None, None), ("s3", "k", "x")], "sample_id string, kind string, text string")
+    marked = metrics.with_marks(s, a)
+    assert marked.count() > 5
+    r = metrics.leak_summary(metrics.marked_leaks(pipeline.runs(marked, ("baseline",), carry=("marks",)))).collect()
+    assert [(x.total_annotations, x.exact_leaks) for x in r] == [(50, 40)]
+    again = metrics.leak_summary(metrics.annotation_leaks(pipeline.runs(s, ("baseline",)), a)).first()
+    assert (again.total_annotations, again.exact_leaks) == (50, 40)
+
+
 def test_pareto(spark):
     rows = [("a", 0.1, 5.0), ("b", 0.2, 5.0), ("c", 0.05, 9.0), ("d", 0.1, 9.0), ("e", 0.1, 5.0)]
     d = io.figure_data(spark.createDataFrame(rows, "option_name string, combined_leak_rate double, latency_ms_median double"))

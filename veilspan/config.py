@@ -5,7 +5,6 @@ from __future__ import annotations
 import dataclasses
 import json
 import os
-import typing
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -70,6 +69,7 @@ class Config:
 
 
 _TRUE = ("1", "true", "yes")
+PREFIX = "VEILSPAN"
 
 
 def read_mapping(path: str | Path | None) -> dict:
@@ -86,33 +86,37 @@ def read_mapping(path: str | Path | None) -> dict:
     return yaml.safe_load(text) or {}
 
 
-def _filled(kind: type, given: dict):
-    """Unknown keys are ignored; a section that is no mapping has its defaults."""
-    hints, values = typing.get_type_hints(kind), {}
-    for f in dataclasses.fields(kind):
-        if f.name in given:
-            v, t = given[f.name], hints[f.name]
-            nested = isinstance(t, type) and dataclasses.is_dataclass(t)
-            values[f.name] = _filled(t, v if isinstance(v, dict) else {}) if nested else tuple(v) if isinstance(v, list) else v
-    return kind(**values)
+def _defaults() -> dict[tuple[str, str], object]:
+    """(section, name) -> default, for every setting there is."""
+    return {(section.name, x.name): getattr(section.default_factory(), x.name) for section in dataclasses.fields(Config) for x in dataclasses.fields(section.default_factory)}
 
 
-def _from_env(section, prefix: str, env: dict):
-    changed = {}
-    for f in dataclasses.fields(section):
-        now, name = getattr(section, f.name), f"{prefix}_{f.name.upper()}"
-        if dataclasses.is_dataclass(now):
-            changed[f.name] = _from_env(now, name, env)
-        elif env.get(name):
-            said = env[name].strip()
-            changed[f.name] = said.lower() in _TRUE if isinstance(now, bool) else tuple(said.split(",")) if isinstance(now, tuple) else type(now)(said)
-    return dataclasses.replace(section, **changed)
+def _from_text(told: str, default: object) -> object:
+    """What an environment variable says, in the type of the setting's default."""
+    told = told.strip()
+    if isinstance(default, bool):
+        return told.lower() in _TRUE
+    if isinstance(default, tuple):
+        return tuple(x.strip() for x in told.split(","))
+    return type(default)(told)
 
 
 def load(path: str | Path | None = None, env: dict | None = None) -> Config:
-    return _from_env(_filled(Config, read_mapping(path)), "VEILSPAN", dict(os.environ if env is None else env))
+    """The environment goes before the file, the file before the defaults.  A name that no setting
+    has is ignored; so is a section of the file that is no mapping."""
+    env, file = dict(os.environ if env is None else env), read_mapping(path)
+    settings = _defaults()
+    for (section, name), default in settings.items():
+        part = file.get(section)
+        if isinstance(part, dict) and name in part:
+            settings[section, name] = tuple(part[name]) if isinstance(part[name], list) else part[name]
+        if told := env.get(f"{PREFIX}_{section}_{name}".upper()):
+            settings[section, name] = _from_text(told, default)
+    parts = {section.name: section.default_factory for section in dataclasses.fields(Config)}
+    return Config(**{part: kind(**{name: v for (section, name), v in settings.items() if section == part}) for part, kind in parts.items()})
 
 
 def custom_patterns(path: str | Path | None) -> dict[str, str]:
-    """kind -> pattern of a user's file; a missing file has none."""
-    return {str(k): str(v) for k, v in read_mapping(path).items()}
+    """kind -> pattern of a user's file, which are below its key ``patterns``; a missing file has none."""
+    told = read_mapping(path).get("patterns")
+    return {str(k): str(v) for k, v in told.items()} if isinstance(told, dict) else {}

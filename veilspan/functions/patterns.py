@@ -1,13 +1,18 @@
 """The pattern registry: what the scanner looks for, in order of precedence.
 
 Patterns are written so that the JVM and Python engines read them alike.  A pattern with ``group``
-has two groups, (before)(value); the span is the value.  ``guard`` is a literal that must occur in
-a text for the pattern to match; ``hints`` are lower-case literals of which one must occur in the
-lower-cased text.  They spare most texts the scan.
+has two groups, (before)(value); the span is the value.  A user's pattern with groups is ``own``:
+its span is its first group, as far as that took part in the match.
+
+``guard`` is a literal that must occur in a text for the pattern to match; ``hints`` are lower-case
+literals of which one must occur in the lower-cased text; ``needs`` is a simpler expression without
+lookaround that every text with a match contains, tested for a whole batch at a time.  They spare
+most texts the scan.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -18,6 +23,8 @@ class Pattern(NamedTuple):
     group: bool = False
     guard: str | None = None
     hints: tuple[str, ...] = ()
+    needs: str | None = None
+    own: bool = False
 
     def may_match(self, text: str, low: str) -> bool:
         return (self.guard is None or self.guard in text) and (not self.hints or any(h in low for h in self.hints))
@@ -35,10 +42,7 @@ class Pattern(NamedTuple):
 _Q, _IS = r"""['"]?""", r"\s*[=:]\s*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 _HEX = "[0-9a-fA-F]"
-
-
-def _uuid(parts: tuple[int, ...]) -> str:
-    return r"\b" + "-".join(f"{_HEX}{{{n}}}" for n in parts) + r"\b"
+_SET = r"""[=:](?:[\s\x0b\x1c-\x1f]|[^\x00-\x7f])*['"]?"""  # the sign of an assignment, any blanks, a quote
 
 
 def _assigned(names: str, value: str) -> str:
@@ -77,7 +81,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("mailgun_key", r"\bkey-[0-9a-zA-Z]{32}\b", guard="key-"),
     Pattern("npm_token", r"\bnpm_[A-Za-z0-9]{36}\b", guard="npm_"),
     Pattern("pypi_token", r"\bpypi-[A-Za-z0-9\-_]{50,}\b", guard="pypi-"),
-    Pattern("heroku_api_key", _uuid((8, 4, 4, 4, 12)), guard="-"),
+    Pattern("heroku_api_key", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", guard="-"),
     Pattern("generic_api_key", _assigned(r"api[_\-]?key|apikey|secret[_\-]?key|access[_\-]?token|auth[_\-]?token", r"[A-Za-z0-9\-_.+/=]{16,}"), True, True, hints=("key", "token",)),
     Pattern("bearer_token", r"bearer\s+[A-Za-z0-9\-_.~+/]{20,}=*", True, hints=("bearer",)),
     Pattern("basic_auth", r"basic\s+[A-Za-z0-9+/]{20,}={0,2}", True, hints=("basic",)),
@@ -89,11 +93,35 @@ PATTERNS: tuple[Pattern, ...] = (
 )
 
 
+# What a text with a match contains, for patterns that are slow to try on every text.
+_NEEDS = {
+    "email": r"[a-zA-Z0-9._%+\-]@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2}",
+    "phone_us": r"(?s)\p{Nd}{3}\)?.?\p{Nd}{3}.?\p{Nd}{4}",
+    "ssn": r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}",
+    "ip_v4": r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}",
+    "ip_v6": r"::|(?:[0-9a-fA-F]{1,4}:){7}",
+    "credit_card": r"(?s)[3-6]\p{Nd}{3}.?\p{Nd}{4}.?\p{Nd}{4}",
+    "password": _SET + r"\S{4}",
+    "secret_assignment": _SET + r"\S{8}",
+    "connection_string": r"://\S{10}",
+    "aws_access_key": "A3T|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA",
+    "aws_secret_key": _SET + r"\S{40}",
+    "aws_session_token": r"\S{100}",
+    "azure_storage_key": r"\S{88}",
+    "heroku_api_key": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-",
+    "generic_api_key": _SET + r"\S{16}",
+    "bearer_token": r"\S{20}",
+    "basic_auth": r"\S{20}",
+    "hostname_internal": r"\.(?:internal|local|corp|lan|intranet|private|staging|dev)",
+}
+PATTERNS = tuple(p._replace(needs=_NEEDS.get(p.kind)) for p in PATTERNS)
+
+
 def registry(custom: dict[str, str] | None = None, base: tuple[Pattern, ...] = PATTERNS) -> tuple[Pattern, ...]:
     """The patterns with a user's own: a known kind is replaced in its place, a new one goes last."""
-    custom = dict(custom or {})
-    out = [Pattern(p.kind, custom.pop(p.kind)) if p.kind in custom else p for p in base]
-    return (*out, *(Pattern(k, r) for k, r in custom.items()))
+    users = {kind: Pattern(kind, regex, own=re.compile(regex).groups > 0) for kind, regex in (custom or {}).items()}
+    known = {p.kind for p in base}
+    return (*(users.get(p.kind, p) for p in base), *(p for kind, p in users.items() if kind not in known))
 
 
 def only(kinds: list[str] | set[str], base: tuple[Pattern, ...] = PATTERNS) -> tuple[Pattern, ...]:

@@ -5,9 +5,10 @@ end exclusive; ord is the rank of the pattern and decides ties.  Everything is r
 
 ``engine="native"`` stays in the JVM: a pattern's matches and the gaps between them are extracted and
 their lengths summed up, which reads a text up to three times per pattern that hits.
-``engine="python"`` runs the same patterns over Arrow batches and reads it once.  "auto" takes the
-native one for up to NATIVE_UP_TO patterns: with all 39 the other was measured to be two to three
-times as fast (see the README).  Both give the same spans.
+``engine="python"`` runs the same patterns over Arrow batches: for each pattern the texts of a batch
+that can have a match are picked by vectorised tests, and only these are scanned.  "auto" takes the
+native one for up to NATIVE_UP_TO patterns: with all 39 the other is several times as fast (see the
+README).  Both give the same spans.  Patterns of a user that have groups run in the second only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import re
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -59,7 +61,7 @@ def _matches(text: Column, p: Pattern, ord: int) -> Column:
 
 def detect(text: Column, patterns: tuple[Pattern, ...] = PATTERNS, engine: str = "auto") -> Column:
     """Every match of every pattern, in order of the patterns; a null text has none."""
-    if engine == "python" or (engine == "auto" and len(patterns) > NATIVE_UP_TO):
+    if engine == "python" or (engine == "auto" and len(patterns) > NATIVE_UP_TO) or any(p.own for p in patterns):
         return _detect_python(text, patterns)
     each = []
     for i, p in enumerate(patterns):
@@ -73,25 +75,70 @@ def detect(text: Column, patterns: tuple[Pattern, ...] = PATTERNS, engine: str =
     return F.coalesce(F.concat(*each), no_spans())
 
 
+def _place(m: re.Match, p: Pattern) -> tuple[int, int]:
+    if p.group:
+        return m.span(2)
+    return m.span(1) if p.own and m.start(1) >= 0 else m.span()
+
+
 def python_spans(text: str | None, compiled: list[tuple[Pattern, re.Pattern]]) -> list[tuple]:
+    """Of one text, without the tests of a batch."""
     out, low = [], (text or "").lower().replace("ſ", "s")
     for i, (p, rx) in enumerate(compiled):
         if text and p.may_match(text, low):
-            g = 2 if p.group else 0
-            out += [(m.start(g), m.end(g), p.kind, 1.0, m.group(g), "regex", i) for m in rx.finditer(text)]
+            for m in rx.finditer(text):
+                a, b = _place(m, p)
+                out.append((a, b, p.kind, 1.0, text[a:b], "regex", i))
+    return out
+
+
+def scan(texts: pa.Array, compiled: list[tuple[Pattern, re.Pattern]]) -> list[list[tuple[int, int, int]]]:
+    """(start, end, ord) of every match, by text and then by pattern."""
+    low = pc.replace_substring(pc.utf8_lower(texts), "ſ", "s")
+    values, out = texts.to_pylist(), [[] for _ in range(len(texts))]
+    for i, (p, rx) in enumerate(compiled):
+        mask = pc.is_valid(texts)
+        if p.guard is not None:
+            mask = pc.and_kleene(mask, pc.match_substring(texts, p.guard))
+        if p.hints:
+            mask = pc.and_kleene(mask, reduce(pc.or_kleene, [pc.match_substring(low, h) for h in p.hints]))
+        if p.needs is not None:
+            mask = pc.and_kleene(mask, pc.match_substring_regex(texts, p.needs))
+        for at in pc.indices_nonzero(pc.fill_null(mask, False)).to_pylist():
+            for m in rx.finditer(values[at]):
+                out[at].append((*_place(m, p), i))
     return out
 
 
+_ARROW = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.int32()]
+
+
+def as_arrow(texts: pa.Array, found: list[list[tuple[int, int, int]]], kinds: list[str]) -> pa.ListArray:
+    """Spans built column by column."""
+    values, ends = texts.to_pylist(), [0]
+    for spans in found:
+        ends.append(ends[-1] + len(spans))
+    flat = [(a, b, o, values[at][a:b]) for at, spans in enumerate(found) for a, b, o in spans]
+    ords = pa.array([x[2] for x in flat], pa.int32())
+    n = len(flat)
+    columns = [
+        pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pc.take(pa.array(kinds, pa.string()), ords), pa.array([1.0] * n, pa.float64()),
+        pa.array([x[3] for x in flat], pa.string()), pa.array(["regex"] * n, pa.string()), ords,
+    ]
+    fields = [pa.field(name, kind) for (name, _), kind in zip(_FIELDS, _ARROW)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields))
+
+
 def _detect_python(text: Column, patterns: tuple[Pattern, ...]) -> Column:
-    compiled = [(p, re.compile(p.python)) for p in patterns]
-    names = [n for n, _ in _FIELDS]
+    compiled, kinds = [(p, re.compile(p.python)) for p in patterns], [p.kind for p in patterns]
 
-    @F.pandas_udf(SPANS)
-    def scan(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [dict(zip(names, x)) for x in python_spans(t, compiled)])
+    @F.arrow_udf(SPANS)
+    def detected(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.string())
+        return as_arrow(texts, scan(texts, compiled), kinds)
 
     # a barrier: else the call may be copied into filters and into lambdas, where it cannot run
-    return scan.asNondeterministic()(text)
+    return detected.asNondeterministic()(text)
 
 
 def merge(spans: Column) -> Column:

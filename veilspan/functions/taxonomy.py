@@ -8,34 +8,57 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The kinds of each category.
-CATEGORIES: dict[str, str] = {
-    "identity": "person nationality employee_id",
-    "contact": "email phone phone_us phone_intl location url ip_address ip_v4 ip_v6",
-    "government_id": "ssn",
-    "financial": "credit_card iban",
-    "medical": "medical_license",
-    "temporal": "date_time",
-    "credential": "password secret_assignment bearer_token basic_auth jwt generic_api_key",
-    "cloud_credential": "aws_access_key aws_secret_key aws_session_token gcp_service_account gcp_api_key azure_storage_key azure_connection_string",
-    "vendor_api_key": "openai_api_key anthropic_api_key github_token gitlab_token slack_token slack_webhook stripe_key twilio_key sendgrid_key mailgun_key npm_token pypi_token heroku_api_key",
-    "private_key": "private_key_pem ssh_private_key pgp_private_key",
-    "infrastructure": "connection_string hostname_internal",
+CATEGORIES: dict[str, tuple[str, ...]] = {
+    "identity": (
+        "person", "nationality", "employee_id",
+    ),
+    "contact": (
+        "email", "phone", "phone_us", "phone_intl", "location", "url", "ip_address", "ip_v4", "ip_v6",
+    ),
+    "government_id": (
+        "ssn",
+    ),
+    "financial": (
+        "credit_card", "iban",
+    ),
+    "medical": (
+        "medical_license",
+    ),
+    "temporal": (
+        "date_time",
+    ),
+    "credential": (
+        "password", "secret_assignment", "bearer_token", "basic_auth", "jwt", "generic_api_key",
+    ),
+    "cloud_credential": (
+        "aws_access_key", "aws_secret_key", "aws_session_token", "gcp_service_account", "gcp_api_key", "azure_storage_key", "azure_connection_string",
+    ),
+    "vendor_api_key": (
+        "openai_api_key", "anthropic_api_key", "github_token", "gitlab_token", "slack_token", "slack_webhook", "stripe_key", "twilio_key",
+        "sendgrid_key", "mailgun_key", "npm_token", "pypi_token", "heroku_api_key",
+    ),
+    "private_key": (
+        "private_key_pem", "ssh_private_key", "pgp_private_key",
+    ),
+    "infrastructure": (
+        "connection_string", "hostname_internal",
+    ),
 }
-ALIASES: dict[str, str] = {
-    "all": " ".join(CATEGORIES),
-    "pii": "identity contact government_id financial medical temporal",
-    "secret": "credential cloud_credential vendor_api_key private_key",
-    "org_identifier": "infrastructure",
-    "customer_name": "identity",
+ALIASES: dict[str, tuple[str, ...]] = {
+    "all": tuple(CATEGORIES),
+    "pii": ("identity", "contact", "government_id", "financial", "medical", "temporal",),
+    "secret": ("credential", "cloud_credential", "vendor_api_key", "private_key",),
+    "org_identifier": ("infrastructure",),
+    "customer_name": ("identity",),
 }
 UNKNOWN = "unknown"
-CATEGORY_OF: dict[str, str] = {k: c for c, kinds in CATEGORIES.items() for k in kinds.split()}
+CATEGORY_OF: dict[str, str] = {k: c for c, kinds in CATEGORIES.items() for k in kinds}
 DEFAULT_POLICY = ("pii", "secret", "org_identifier", "customer_name")
 
 
 def resolve(names) -> set[str]:
     """Categories that the names stand for; a name that is no alias stands for itself."""
-    return set(chain.from_iterable(ALIASES[n].split() if n in ALIASES else [n] for n in names))
+    return set(chain.from_iterable(ALIASES.get(n, (n,)) for n in names))
 
 
 def category(kind: Column) -> Column:

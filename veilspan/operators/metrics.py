@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import order_key
 from ..functions.spans import each
 from ..functions.terms import whitespace_tokens
 
@@ -20,13 +21,34 @@ def survives_partly(value: Column, outgoing: Column) -> Column:
     return F.when(F.length(value) >= 5, F.exists(grams, lambda g: F.contains(outgoing, g))).otherwise(F.lit(False))
 
 
+PER_ROW = 256  # values of a sample that are put into one row
+
+
+def with_marks(samples: DataFrame, annotations: DataFrame, sample: str = "id", column: str = "marks") -> DataFrame:
+    """samples with their annotated values as ARRAY<STRUCT<kind, text, n>>, so that a text is moved
+    once, however many annotations it has; a sample with more than PER_ROW different ones has
+    several rows.  Samples without annotated values are left out."""
+    a = annotations.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("sample_id").alias("__s"), "kind", "text")
+    a = a.groupBy("__s", "kind", "text").agg(F.count(F.lit(1)).alias("n"))
+    rows = a.groupBy("__s").agg(F.ceil(F.count(F.lit(1)) / PER_ROW).cast("int").alias("__rows")).filter("__rows > 1")
+    dealt = a.join(rows.hint("merge"), "__s", "left").withColumn("__row", F.pmod(F.xxhash64("kind", "text"), F.coalesce("__rows", F.lit(1))))
+    lists = dealt.groupBy("__s", "__row").agg(F.collect_list(F.struct("kind", "text", "n")).alias(column)).drop("__row")
+    return samples.join(lists, samples[sample] == lists["__s"]).drop("__s")
+
+
+def marked_leaks(runs: DataFrame, column: str = "marks") -> DataFrame:
+    """One row per run and annotation: (sample_id, workload, option_name, kind, exact, partial), of
+    runs that carry the marks of their sample: each test is made where the row lies."""
+    rows = runs.select("sample_id", "workload", "option_name", "outgoing", F.explode(each(column)).alias("__m"))
+    exact = F.contains(F.col("outgoing"), F.col("__m.text"))
+    part = F.when(exact, 0).otherwise(survives_partly(F.col("__m.text"), F.col("outgoing")).cast("int"))
+    told = rows.select("sample_id", "workload", "option_name", F.col("__m.kind").alias("kind"), exact.cast("int").alias("exact"), part.alias("partial"), F.col("__m.n").alias("__n"))
+    return told.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int")))).drop("__n")
+
+
 def annotation_leaks(runs: DataFrame, annotations: DataFrame) -> DataFrame:
-    """One row per run and annotation: (sample_id, workload, option_name, kind, exact, partial).
-    Joined on the sample; the containment test is a predicate of the joined row."""
-    a = annotations.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("sample_id").alias("__s"), F.col("kind").alias("kind"), F.col("text").alias("__v"))
-    both = runs.select("sample_id", "workload", "option_name", "outgoing").join(a, F.col("sample_id") == F.col("__s"))
-    exact = F.contains(F.col("outgoing"), F.col("__v"))
-    return both.select("sample_id", "workload", "option_name", "kind", exact.cast("int").alias("exact"), F.when(exact, 0).otherwise(survives_partly(F.col("__v"), F.col("outgoing")).cast("int")).alias("partial"))
+    """As marked_leaks, of any runs: the marks are joined to them."""
+    return marked_leaks(with_marks(runs, annotations, "sample_id", "__marks"), "__marks")
 
 
 def _leak_sums(leaks: DataFrame, *by: str) -> DataFrame:
@@ -66,13 +88,27 @@ def token_cost(runs: DataFrame) -> DataFrame:
     return t.groupBy("workload", "option_name").agg(F.count(F.lit(1)).alias("samples"), F.sum("a").alias("original_tokens"), F.sum("b").alias("outgoing_tokens"), F.sum(F.col("b") - F.col("a")).alias("delta"), F.avg(pct).alias("mean_delta_pct"))
 
 
+CELL_BITS = 40  # of a value's order key: a cell is a 4096th of an octave
+
+
 def index_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """v[floor(n * q)] of the sorted values, by counting instead of collecting: distinct values are
-    counted, and the value at the rank is where the running count passes it."""
-    v = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    run = v.withColumn("__c", F.sum("__n").over(Window.partitionBy(*by).orderBy(value))).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
-    at = lambda q: F.least(F.floor(F.col("__all") * F.lit(float(q))), F.col("__all") - 1)
-    return run.groupBy(*by).agg(F.max("__all").alias("n"), *[F.min(F.when(F.col("__c") > at(q), F.col(value))).alias(name) for name, q in quantiles.items()])
+    """v[floor(n * q)] of the sorted values without sorting them: rows are counted per cell of the
+    order key, and only the values of the cell with the rank are told apart.  A group has as many
+    cells as its values span octaves, times 4096 at most, however many rows it has."""
+    x = F.col(value).cast("double")
+    v = df.filter(F.col(value).isNotNull() & ~F.isnan(x)).select(*by, F.col(value).alias("__v"), F.shiftright(order_key(x), CELL_BITS).alias("__cell"))
+    total = F.sum("__n").over(Window.partitionBy(*by))
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = v.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    cells = cells.select("*", total.alias("n"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
+    ranked = cells.withColumn("__q", F.explode(asked))
+    ranked = ranked.withColumn("__rank", F.least(F.floor(F.col("n") * F.col("__q.q")), F.col("n") - 1) - F.col("__before")).filter("__rank >= 0 AND __rank < __n")
+    ranked = ranked.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__cell").alias("__at"), "n", "__rank", F.col("__q.name").alias("__name"))
+    same = [v[c].eqNullSafe(ranked[f"__by_{c}"]) for c in by]
+    near = v.join(ranked.hint("merge"), [v["__cell"] == ranked["__at"], *same]).groupBy(*by, "__name", "n", "__rank", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    run = near.withColumn("__c", F.sum("__n").over(Window.partitionBy(*by, "__name").orderBy("__v"))).filter("__c > __rank")
+    return run.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in quantiles])
 
 
 def _words(text: Column) -> Column:
@@ -120,9 +156,11 @@ def eval_report(leaks: DataFrame, fp: DataFrame, latency: DataFrame | None = Non
     return out
 
 
-def option_matrix(report: DataFrame, workloads: list[str], column: str = "combined_leak_rate") -> DataFrame:
-    """Options by workloads; a missing cell is 0."""
-    return report.groupBy("option_name").pivot("workload", workloads).agg(F.first(column)).fillna(0.0)
+def option_matrix(report: DataFrame, workloads: list[str], column: str = "combined_leak_rate", order: Column | None = None) -> DataFrame:
+    """Options by workloads; a missing cell is 0.  Of several rows for a cell the first in ``order``
+    counts, by default the one with the least value."""
+    first = F.min_by(column, order if order is not None else F.col(column))
+    return report.groupBy("option_name").pivot("workload", workloads).agg(first).fillna(0.0)
 
 
 def hook_findings(text: Column) -> Column:
@@ -140,8 +178,13 @@ def hook_findings(text: Column) -> Column:
 
 
 def tool_input_text(payload: Column) -> Column:
-    """All strings of a tool call's input, one or two levels deep, joined by newlines."""
-    v = F.from_json(payload, "struct<tool_input:string>")["tool_input"]
-    level = F.from_json(v, "map<string,string>")
-    inner = F.transform(F.map_values(level), lambda x: F.coalesce(F.array_join(F.flatten(F.transform(F.from_json(x, "array<map<string,string>>"), lambda m: F.map_values(m))), "\n"), x))
-    return F.coalesce(F.array_join(inner, "\n"), v, F.lit(""))
+    """The strings of a tool call's input, joined by newlines: the input itself, its values, and the
+    values of the objects in its lists.  Numbers and deeper objects are not read."""
+    v = F.try_variant_get(F.try_parse_json(payload), "$.tool_input", "variant")
+    is_text = lambda x: F.schema_of_variant(x) == "STRING"
+    text = lambda x: F.try_variant_get(x, "$", "string")
+    strings = lambda m: F.transform(F.filter(F.map_values(m), is_text), text)
+    items = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
+    objects = lambda x: F.array_compact(F.transform(items(x), lambda y: F.try_variant_get(y, "$", "map<string,variant>")))
+    inner = F.transform(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: F.when(is_text(x), F.array(text(x))).otherwise(F.flatten(F.transform(objects(x), strings))))
+    return F.when(is_text(v), text(v)).otherwise(F.coalesce(F.array_join(F.flatten(inner), "\n"), F.lit("")))

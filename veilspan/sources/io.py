@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SAMPLE = "id string, text string, annotations array<struct<start:int,end:int,kind:string,text:string>>"
 RUN = "sample_id string, option string, original_text string, outgoing_text string, response_text string, restored_text string, detections array<struct<kind:string,confidence:double,text:string,source:string>>, reverse_map map<string,string>, latency_ms double, mode string"
@@ -46,10 +50,35 @@ def publish(parts: dict[str, DataFrame], path: str, mode: str = "error") -> None
     every.write.mode(mode).partitionBy("workload").parquet(path)
 
 
-def request_bodies(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Chat requests from JSON lines; unreadable ones have a null body."""
-    schema = "struct<model:string,stream:boolean,tools:string,messages:array<struct<role:string,content:string>>,extra_body:string>"
-    return raw.select(F.col(column).alias("raw"), F.from_json(column, schema).alias("body"))
+_BODY = "struct<model:string,stream:boolean,tools:array<variant>,functions:array<variant>,messages:array<struct<role:string,content:variant>>,extra_body:variant>"
+
+
+def request_bodies(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chat requests from JSON lines; a message's content is a string or a list of blocks; unreadable
+    requests have a null body."""
+    body = F.from_json(column, _BODY)
+    return raw.select(*keep, F.col(column).alias("raw"), F.when(body["messages"].isNotNull(), body).alias("body"))
+
+
+def message_text(message: Column) -> Column:
+    """The text of a message: its string, or its text blocks joined by newlines."""
+    content = message["content"]
+    blocks = F.coalesce(F.try_variant_get(content, "$", "array<struct<type:string,text:string>>"), F.array().cast("array<struct<type:string,text:string>>"))
+    texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
+    text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.array_join(texts, "\n"))
+    return F.when(content.isNotNull(), text)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes and reads back, below ``spark.checkpoint.dir``.  Only a
+    session on one machine that names no folder gets a temporary one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="veilspan-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- reports
@@ -58,7 +87,14 @@ REPORT = ("option_name", "workload", "num_samples", "total_annotations", *_RATES
 
 
 def _fixed(c: Column, digits: int, missing: str = "", sign: str = "") -> Column:
-    return F.when(c.isNull() | F.isnan(c), missing).otherwise(F.format_string(f"%{sign}.{digits}f", c))
+    """A number with so many decimals, rounded by its exact binary value; the JVM rounds the shortest
+    decimal that reads as the number instead.  Reports are small."""
+
+    @F.arrow_udf(StringType())
+    def written(values: pa.Array) -> pa.Array:
+        return pa.array([missing if v is None or v != v else f"{v:{sign}.{digits}f}" for v in values.to_pylist()], pa.string())
+
+    return written(c.cast("double"))
 
 
 def csv_rows(report: DataFrame) -> DataFrame:
