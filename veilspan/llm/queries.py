@@ -50,11 +50,37 @@ rep AS (SELECT w.draw_id, w.category, w.wanted, coalesce(h.n, 0)::BIGINT AS avai
 """
 
 
+# exact Jaccard similarity of all pairs that share a run of three words
+_SHINGLES = r"""
+docs AS (SELECT DISTINCT id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM samples WHERE id IS NOT NULL AND text IS NOT NULL),
+grams AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+sizes AS (SELECT id, count(*) AS n, md5(string_agg(t, '|' ORDER BY t)) AS same FROM grams GROUP BY id),
+shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM grams a JOIN grams b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2),
+near AS (SELECT id_a, id_b FROM shared JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9)
+"""
+# where copies of one text would make more than 1,000 pairs, each is paired with the least id
+_PAIRS = """
+copies AS (SELECT text, min(id) AS rep FROM docs GROUP BY text HAVING count(*) * count(*) > 1000)
+SELECT id_a, id_b FROM near JOIN docs x ON x.id = id_a JOIN docs y ON y.id = id_b LEFT JOIN copies c ON c.text = x.text AND x.text = y.text WHERE c.rep IS NULL OR c.rep = id_a
+"""
+_GROUPS = """
+class AS (SELECT id, min(id) OVER (PARTITION BY same) AS class_id, count(*) OVER (PARTITION BY same) AS copies FROM sizes),
+links AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM near JOIN class x ON x.id = id_a JOIN class y ON y.id = id_b WHERE x.class_id <> y.class_id),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(v, r) AS (SELECT DISTINCT class_id, class_id FROM class UNION SELECT e.b, r FROM reach JOIN edges e ON e.a = v),
+roots AS (SELECT v, min(r) AS group_id FROM reach GROUP BY v), degrees AS (SELECT a AS v, count(*) AS n FROM edges GROUP BY a)
+SELECT s.id, coalesce(c.class_id, s.id) AS class_id, coalesce(r.group_id, s.id) AS group_id, coalesce(c.copies, 1)::BIGINT AS copies, coalesce(d.n, 0)::BIGINT AS linked_classes
+FROM (SELECT DISTINCT id FROM samples WHERE id IS NOT NULL) s LEFT JOIN class c ON c.id = s.id LEFT JOIN roots r ON r.v = c.class_id LEFT JOIN degrees d ON d.v = c.class_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_percentiles": f"WITH {_VALUES} SELECT run_id, option_name, workload, n::BIGINT AS n, median, p95 FROM truth",
         "p1_found": f"""WITH {_VALUES} SELECT DISTINCT run_id, option_name, workload FROM truth JOIN eval_rows e USING (run_id, option_name, workload)
             WHERE abs(e.latency_ms_median - median) > 0.1 * median OR abs(e.latency_ms_p95 - p95) > 0.1 * p95""",
         "p2_report": f"WITH {_POOL} SELECT draw_id, category, wanted, available, taken FROM rep",
+        "p4_found": f"WITH {_SHINGLES}, {_PAIRS}",
+        "p4_groups": f"WITH RECURSIVE {_SHINGLES}, {_GROUPS}",
         "p2_found": f"WITH {_POOL} SELECT DISTINCT draw_id, category FROM rep WHERE available < wanted",
     }

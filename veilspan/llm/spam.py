@@ -6,7 +6,8 @@
    language and length step.  A page is redundant where its ratio is below FLAG times the usual one,
    and extremely redundant below EXTREME times.
 3. A redundant page is confirmed by a low density of sentence punctuation of any script; an
-   extremely redundant one also if it has sentences but one word makes up much of it.  What is
+   extremely redundant one also if it has sentences but one word makes up much of it: the less
+   redundant, the more, a PREVAILS-th of its share of the usual ratio.  What is
    redundant and unpunctuated by form (time-stamped lines, code and settings, definitions, lists of
    clauses) is let go by an exact look at the form.
 
@@ -37,10 +38,10 @@ BLOCK = 1_000
 TAIL = 250
 STEP = 125
 LANGUAGES = ("en", "de", "es", "fr")
-FLAG, EXTREME = 0.91, 0.75
+FLAG, EXTREME, PREVAILS = 0.92, 0.8, 8
 SPARSE = 3.0  # sentence ends in a thousand characters, below which a text has no sentences
 MOST_USUAL = 1.05  # no text is usually longer when compressed than this share of it
-LONG_WORD = 4  # letters
+LONG_WORD, OFTEN = 4, 5  # letters; times that a word must occur to prevail
 
 _LINK = re.compile(r"""<a\s[^>]*>|\]\([^)\s]+\)|https?://[^\s<>"')]+|(?<![\w.])www\.[^\s<>"')]+""", re.I)
 # a mark that ends a sentence, after a word or a closing bracket or quote; those of scripts without blanks need none behind
@@ -63,41 +64,41 @@ def block_ratio(text: str | None) -> float | None:
     return packed / len(b)
 
 
-def confirmations(text: str, ratio: float) -> tuple[bool, bool]:
-    """(sparse, repeated): whether a redundant page is confirmed, and whether an extremely redundant
-    one is.  What no usual ratio could flag is not looked at."""
+def confirmations(text: str, ratio: float) -> tuple[bool, float]:
+    """(sparse, prevalence): whether a redundant page without sentences is confirmed by its form, and
+    in a page with sentences the share of the words that the commonest long one has.  What no usual
+    ratio could flag is not looked at."""
     if ratio >= FLAG * MOST_USUAL:
-        return False, False
+        return False, 0.0
     enough = math.ceil(SPARSE * len(text) / 1000)
     few = sum(1 for _ in islice(_SENTENCE.finditer(text), enough)) < enough
     if not few and ratio >= EXTREME * MOST_USUAL:
-        return False, False
+        return False, 0.0
     marked = "://" in text or "www." in text or "](" in text or "<a" in text
     if few and marked and sum(len(m) for m in _LINK.findall(text)) >= 0.4 * len(text):
-        return True, True
+        return True, 0.0
     lines = text.count("\n") + 1
     words = _WORD.findall(text.lower())
     if not words or sum(map(len, words)) < 0.45 * len(text) or len(_CODE.findall(text)) > 0.02 * len(text):
-        return False, False
+        return False, 0.0
     if len(_STAMP.findall(text)) * 2 > lines or len(_DEFINED.findall(text)) * 2 > lines and not few:
-        return False, False
+        return False, 0.0
     long = Counter(w for w in words if len(w) >= LONG_WORD)
-    most = max(long.values(), default=0) / len(words)
-    if few:
-        # clauses are told from phrases by their many short words, unless one long word prevails
-        short = sum(len(w) < LONG_WORD for w in words) / len(words)
-        return (short < 0.3 or most >= 0.1), (short < 0.3 or most >= 0.1)
-    return False, most >= 0.085
+    most = max(long.values(), default=0)
+    if not few:
+        return False, most / len(words) if most >= OFTEN else 0.0
+    # clauses are told from phrases by their many short words, unless one long word prevails
+    return sum(len(w) < LONG_WORD for w in words) < 0.3 * len(words) or most >= 0.1 * len(words), 0.0
 
 
-MEASURES = StructType([StructField("ratio", DoubleType()), StructField("sparse", BooleanType()), StructField("repeated", BooleanType())])
+MEASURES = StructType([StructField("ratio", DoubleType()), StructField("sparse", BooleanType()), StructField("prevalence", DoubleType())])
 
 
 @F.pandas_udf(MEASURES)
 def _measures(s: pd.Series) -> pd.DataFrame:
     ratios = [block_ratio(t) for t in s]
-    told = [confirmations(t, r) if r is not None else (False, False) for t, r in zip(s, ratios)]
-    return pd.DataFrame({"ratio": pd.Series(ratios, dtype="float64"), "sparse": [a for a, _ in told], "repeated": [b for _, b in told]})
+    told = [confirmations(t, r) if r is not None else (False, 0.0) for t, r in zip(s, ratios)]
+    return pd.DataFrame({"ratio": pd.Series(ratios, dtype="float64"), "sparse": [a for a, _ in told], "prevalence": pd.Series([b for _, b in told], dtype="float64")})
 
 
 def language_class(lang: Column) -> Column:
@@ -106,7 +107,7 @@ def language_class(lang: Column) -> Column:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang class, step, ratio, sparse, repeated) of every document with a text, written."""
+    """(doc_id, lang class, step, ratio, sparse, prevalence) of every document with a text, written."""
     rows = documents.select("doc_id", "text", language_class(F.col("lang")).alias("lang"))
     rows = spread(rows.filter(F.col("text").rlike(r"\S")))
     step = F.floor(F.least(F.octet_length("text"), F.lit(2 * BLOCK)) / STEP).cast("int")
@@ -127,10 +128,11 @@ def usual_ratios(sizes: DataFrame) -> DataFrame:
 
 
 def redundant_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, ratio, usual, share, sparse, repeated) of the pages flagged by their block-wise compression."""
+    """(doc_id, ratio, usual, share, sparse, prevalence) of the pages flagged by their block-wise compression."""
     sizes = measured(documents)
     return sizes.join(F.broadcast(usual_ratios(sizes)), ["lang", "step"]).withColumn("share", F.col("ratio") / F.col("usual")).filter(F.col("share") < FLAG)
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    return redundant_pages(documents).filter(F.col("sparse") | (F.col("repeated") & (F.col("share") < EXTREME))).select("doc_id").distinct()
+    repeated = (F.col("share") < EXTREME) & (F.col("prevalence") * PREVAILS >= F.col("share"))
+    return redundant_pages(documents).filter(F.col("sparse") | repeated).select("doc_id").distinct()
