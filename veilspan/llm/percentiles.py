@@ -25,37 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import key_value, order_key
 from .common import cut, null_safe
 
 DIGITS = (12, 12, 20, 20)
 QUANTILES = {"median": 0.5, "p95": 0.95}
-MANTISSA = 1 << 52
-
-
-def order_key(x: Column) -> Column:
-    """Bits of the double ``x`` as BIGINT, so that a < b exactly if key(a) < key(b)."""
-    a = F.abs(x)
-    guess = F.floor(F.log2(a)).cast("double")
-    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), guess))
-    m = a / F.pow(F.lit(2.0), guess)
-    # log2 may be off by one next to a power of two
-    exp = F.when(m >= 2, guess + 1).when((m < 1) & (guess > -1022), guess - 1).otherwise(guess)
-    frac = (a / F.pow(F.lit(2.0), exp) - 1) * float(MANTISSA)
-    normal = (exp.cast("bigint") + 1023) * MANTISSA + frac.cast("bigint")
-    small = (a * float(2**537) * float(2**537)).cast("bigint")
-    top = F.lit(2047 * MANTISSA).cast("bigint")
-    bits = F.when(a == 0, F.lit(0).cast("bigint")).when(a == float("inf"), top).when(a < float(2.0**-1022), small).otherwise(normal)
-    return F.when(x < 0, -bits).otherwise(bits)
-
-
-def key_value(k: Column) -> Column:
-    """The double whose order_key is ``k``."""
-    a = F.abs(k)
-    exp, frac = F.shiftright(a, 52), a.bitwiseAND(F.lit(MANTISSA - 1))
-    normal = (F.lit(1.0) + frac.cast("double") / float(MANTISSA)) * F.pow(F.lit(2.0), (exp - 1023).cast("double"))
-    small = frac.cast("double") * F.lit(2.0**-537) * F.lit(2.0**-537)
-    v = F.when(exp >= 2047, F.lit(float("inf"))).when(exp == 0, small).otherwise(normal)
-    return F.when(k < 0, -v).otherwise(v)
 
 
 def relative_error(digits: tuple[int, ...], levels: int) -> float:
@@ -141,17 +115,17 @@ def radix_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[
     x = F.col(value).cast("double")
     w = F.col(weight) if weight else F.lit(1)
     keys = df.filter(usable(x, least)).select(*by, order_key(x).alias("__k"), w.cast("bigint").alias("__w"))
-    hist = keys.groupBy(*by, _digit(F.col("__k"), digits, 0).alias("__d0"), _digit(F.col("__k"), digits, 1).alias("__d1")).agg(F.sum("__w").alias("__n"))
-    at = _first_two(hist, by, quantiles, digits)
-    # what shares the digits found so far is a small part; it is picked once for the other levels
-    near = null_safe(keys.withColumn("__prefix", _prefix(F.col("__k"), digits, 2)), at.select(*by, "__prefix").distinct(), [*by, "__prefix"])
-    keys = cut(near.groupBy(*by, "__k").agg(F.sum("__w").alias("__w")))
-    for level in range(2, len(digits)):
-        rows = keys.select(*by, _prefix(F.col("__k"), digits, level).alias("__prefix"), _digit(F.col("__k"), digits, level).alias("__d"), "__w")
-        rows = rows.groupBy(*by, "__prefix", "__d").agg(F.sum("__w").alias("__n"))
-        near = null_safe(rows, at, [*by, "__prefix"])
-        chosen = _select(near, by, "__d")
+    first = keys.groupBy(*by, _digit(F.col("__k"), digits, 0).alias("__d0")).agg(F.sum("__w").alias("__n"))
+    at = _select(_ranks(first, by, quantiles), by, "__d0").withColumnRenamed("__d0", "__prefix")
+    for level in range(1, len(digits)):
+        # of the rows, only those that share the digits found so far go on; they are written while they are many
+        same = keys.withColumn("__prefix", _prefix(F.col("__k"), digits, level))
+        keys = null_safe(same, at.select(*by, "__prefix").distinct(), [*by, "__prefix"]).groupBy(*by, "__k").agg(F.sum("__w").alias("__w"))
+        keys = cut(keys) if level == 1 else keys
+        rows = keys.groupBy(*by, _prefix(F.col("__k"), digits, level).alias("__prefix"), _digit(F.col("__k"), digits, level).alias("__d")).agg(F.sum("__w").alias("__n"))
+        chosen = _select(null_safe(rows, at, [*by, "__prefix"]), by, "__d")
         at = chosen.select(*by, "__q", "__total", "__rank", (F.shiftleft(F.col("__prefix"), digits[level]) + F.col("__d")).alias("__prefix"))
+        at = cut(at) if level < len(digits) - 1 else at  # a row per group and quantile
     return _wide(at, by, quantiles, {"": key_value(F.col("__prefix"))})
 
 
