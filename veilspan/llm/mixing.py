@@ -30,19 +30,29 @@ _KNOWN = "__known"
 
 def source_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source folded, tokens) of the documents with a known source."""
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold_name(F.col("source")).alias("source"), "text").filter("source IS NOT NULL")
+    rows = documents.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), fold_name(F.col("source")).alias("source"), "text",
+    ).filter("source IS NOT NULL")
     return spread(rows).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("tokens"))
 
 
 def allocations(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per mix and source: what it wants and what it can have, in tokens."""
     per_source = sizes.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
-    t = targets.select("mix_id", F.col("source").alias("target_source"), fold_name(F.col("source")).alias("source"), F.coalesce(F.col("target_weight"), F.lit(0.0)).alias("target_weight"), F.coalesce(F.col("max_repeats"), F.lit(0)).alias("max_repeats"))
+    t = targets.select(
+        "mix_id",
+        F.col("source").alias("target_source"),
+        fold_name(F.col("source")).alias("source"),
+        F.coalesce(F.col("target_weight"), F.lit(0.0)).alias("target_weight"),
+        F.coalesce(F.col("max_repeats"), F.lit(0)).alias("max_repeats"),
+    )
     t = t.groupBy("mix_id", "target_source", "source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     total = sizes.agg(F.sum("tokens").alias("n")).first()["n"] or 0  # one number, from the written sizes
     a = t.join(per_source, "source", "left").withColumn("all_tokens", F.lit(int(total)).cast("bigint"))
     a = a.fillna({"source_tokens": 0, "source_docs": 0})
-    a = a.withColumn("wanted", F.col("target_weight") * F.col("all_tokens")).withColumn("cap", (F.col("max_repeats") * F.col("source_tokens")).cast("double"))
+    a = a.withColumn("wanted", F.col("target_weight") * F.col("all_tokens")).withColumn(
+        "cap", (F.col("max_repeats") * F.col("source_tokens")).cast("double"),
+    )
     a = a.withColumn("budget", F.least("wanted", "cap"))
     epochs = F.when(F.col("source_tokens") > 0, F.floor(F.col("budget") / F.col("source_tokens"))).otherwise(0)
     return a.withColumn("epochs", epochs.cast("bigint")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_tokens"))
@@ -81,12 +91,23 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
 
 def mix_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Wanted and actual shares of each mix and source, and whether it falls short."""
-    used = mix_from_sizes(sizes, targets).groupBy("mix_id", "target_source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
+    used = mix_from_sizes(sizes, targets).groupBy("mix_id", "target_source").agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"),
+    )
     a = allocations(sizes, targets).join(used, ["mix_id", "target_source"], "left").fillna({"tokens": 0, "most_copies": 0})
     # short: every document was used as often as allowed, and the wish is still open
     a = a.withColumn("short", (F.col("tokens") >= F.col("cap")) & (F.col("tokens") < F.col("wanted")))
     share = F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy("mix_id")), F.lit(0))
-    return a.select("mix_id", F.col("target_source").alias("source"), "target_weight", "wanted", "tokens", F.coalesce(share, F.lit(0.0)).alias("actual_share"), "most_copies", "short")
+    return a.select(
+        "mix_id",
+        F.col("target_source").alias("source"),
+        "target_weight",
+        "wanted",
+        "tokens",
+        F.coalesce(share, F.lit(0.0)).alias("actual_share"),
+        "most_copies",
+        "short",
+    )
 
 
 def short_sources(sizes: DataFrame, targets: DataFrame) -> DataFrame:

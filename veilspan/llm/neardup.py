@@ -121,10 +121,22 @@ def signatures(sets: DataFrame, similarity: float, frequent: int = FREQUENT) ->
                 mine = cut(held.join(_merge(hot), "sig").groupBy("c").agg(F.collect_set("sig").alias("hot")))
                 rare = F.filter("keys", lambda x: (F.col("least") <= level) | F.col("hot").isNull() | ~F.array_contains("hot", x["sig"]))
                 emitted = state.join(_merge(mine), "c", "left").withColumn("keys", rare)
-                onward = state.join(_merge(mine), "c").withColumn("ext", F.filter("keys", lambda x: F.array_contains("hot", x["sig"]))).drop("keys", "hot")
+                onward = state.join(_merge(mine), "c").withColumn(
+                    "ext", F.filter("keys", lambda x: F.array_contains("hot", x["sig"])),
+                ).drop("keys", "hot")
         upto = F.col("m") - F.col("x.at") - 1 + level
         rows = emitted.select("c", "n", "m", *_MAPS, few.alias("few"), F.explode("keys").alias("x"))
-        out.append(rows.select(F.col("x.sig").alias("sig"), "c", "n", "m", upto.alias("upto"), F.when(F.col("x.at") < F.col("few") + level, upto).otherwise(-1).alias("short"), *_MAPS))
+        out.append(
+            rows.select(
+                F.col("x.sig").alias("sig"),
+                "c",
+                "n",
+                "m",
+                upto.alias("upto"),
+                F.when(F.col("x.at") < F.col("few") + level, upto).otherwise(-1).alias("short"),
+                *_MAPS,
+            )
+        )
         if onward is None:
             break
         state = onward
@@ -174,23 +186,31 @@ def similar_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text", w
     one text would make more than FULL_PAIRS pairs, each is paired with the least id of them only;
     ``similar_groups`` has the membership."""
     members, reps = classes(docs, id_col, text_col, width)
-    copies = members.groupBy("c", "txt").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("rep")).withColumn("hot", F.col("k") * F.col("k") > FULL_PAIRS)
+    copies = members.groupBy("c", "txt").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("rep")).withColumn(
+        "hot", F.col("k") * F.col("k") > FULL_PAIRS,
+    )
     # a block holds members of one class: of one hot text, or of any others
     own = F.when(F.col("hot"), F.col("txt"))
-    sizes = copies.groupBy("c", own.alias("own")).agg(F.sum("k").alias("k"), F.max("hot").alias("hot"), F.max(F.when(F.col("hot"), F.col("rep"))).alias("rep"))
+    sizes = copies.groupBy("c", own.alias("own")).agg(
+        F.sum("k").alias("k"), F.max("hot").alias("hot"), F.max(F.when(F.col("hot"), F.col("rep"))).alias("rep"),
+    )
     sizes = cut(sizes.withColumn("parts", F.ceil(F.col("k") / BLOCK).cast("int")))
     hot_parts = sizes.select("c", F.col("own").alias("txt"), F.col("parts").alias("hot_parts")).filter("txt IS NOT NULL")
     rest_parts = sizes.filter("own IS NULL").select("c", F.col("parts").alias("rest_parts"))
     dealt = members.join(_merge(hot_parts), ["c", "txt"], "left").join(_merge(rest_parts), "c", "left")
     number = F.pmod(F.xxhash64(F.lit(3), "id"), F.coalesce("hot_parts", "rest_parts")).cast("int")
     dealt = cut(dealt.select("id", "c", F.xxhash64(F.when(F.col("hot_parts").isNotNull(), F.col("txt")), number).alias("blk")))
-    blocks = sizes.select("c", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("n")).select("c", "own", F.xxhash64("own", "n").alias("blk"))
+    blocks = sizes.select(
+        "c", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("n"),
+    ).select("c", "own", F.xxhash64("own", "n").alias("blk"))
     alike = sizes.groupBy("c").agg(F.sum("k").alias("k")).filter("k > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
     links = similar_classes(reps, similarity).unionByName(alike)
     block = lambda c: _merge(blocks.select(F.col("c").alias(c), F.col("own").alias(f"own_{c}"), F.col("blk").alias(f"blk_{c}")))
     side = lambda c: _merge(dealt.select(F.col("c").alias(c), F.col("blk").alias(f"blk_{c}"), F.col("id").alias(f"id_{c}")))
     met = links.join(block("a"), "a").join(block("b"), "b").filter("a <> b OR (blk_a <= blk_b AND NOT coalesce(own_a = own_b, false))")
-    full = met.join(side("a"), ["a", "blk_a"]).join(side("b"), ["b", "blk_b"]).filter("a <> b OR blk_a <> blk_b OR id_a < id_b").select("id_a", "id_b")
+    full = met.join(side("a"), ["a", "blk_a"]).join(side("b"), ["b", "blk_b"]).filter(
+        "a <> b OR blk_a <> blk_b OR id_a < id_b"
+    ).select("id_a", "id_b")
     hot = sizes.filter("hot").select("c", F.col("own").alias("txt"), F.col("rep").alias("id_a"))
     star = members.join(_merge(hot), ["c", "txt"]).select("id_a", F.col("id").alias("id_b"))
     every = full.unionByName(star).filter("id_a <> id_b")
@@ -210,6 +230,18 @@ def similar_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     copies = members.groupBy("c").agg(F.count(F.lit(1)).alias("copies"))
     each = names.join(_merge(copies), "c").join(_merge(linked), "c", "left")
     known = members.join(_merge(each), "c")
-    known = known.select("id", F.col("cls").alias("class_id"), F.coalesce("group_id", "cls").alias("group_id"), "copies", F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"))
+    known = known.select(
+        "id",
+        F.col("cls").alias("class_id"),
+        F.coalesce("group_id", "cls").alias("group_id"),
+        "copies",
+        F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"),
+    )
     ids = docs.select(F.col(id_col).cast("string").alias("id")).filter("id IS NOT NULL").distinct()
-    return ids.join(_merge(known), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"))
+    return ids.join(_merge(known), "id", "left").select(
+        "id",
+        F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce("group_id", "id").alias("group_id"),
+        F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"),
+    )

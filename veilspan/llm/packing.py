@@ -108,7 +108,9 @@ def _packed(pdf: pd.DataFrame, label: str, last: bool) -> pd.DataFrame:
 
 
 def document_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens"))
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select(
+        "doc_id", token_count(F.col("text"), vocabulary).alias("tokens"),
+    )
 
 
 def pack_sizes(sizes: DataFrame, plans: list[tuple[int, int]], per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
@@ -119,14 +121,33 @@ def pack_sizes(sizes: DataFrame, plans: list[tuple[int, int]], per_partition: in
     if not plans:
         return spark.createDataFrame([], PACKED).drop("released")
     each = F.explode(F.array(*[F.struct(F.lit(p).cast("int").alias("plan_id"), F.lit(c).cast("bigint").alias("capacity")) for p, c in plans]))
-    items = sizes.select("doc_id", F.col("tokens").cast("bigint").alias("tokens"), each.alias("x")).select("x.plan_id", "x.capacity", "doc_id", "tokens")
+    items = sizes.select(
+        "doc_id", F.col("tokens").cast("bigint").alias("tokens"), each.alias("x"),
+    ).select("x.plan_id", "x.capacity", "doc_id", "tokens")
     whole = F.floor(F.col("tokens") / F.col("capacity"))
     whole = F.when(whole * F.col("capacity") == F.col("tokens"), F.greatest(whole, F.lit(1))).otherwise(whole + 1)
     items = items.withColumn("n_pieces", whole.cast("bigint"))
     big = items.filter("n_pieces > 1").withColumn("piece", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_pieces") - 1)))
-    big = big.select("plan_id", "capacity", "doc_id", "n_pieces", "piece", F.col("capacity").alias("size"), F.concat_ws(".", F.lit("whole"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("container"))
-    big = big.withColumn("part", F.col("container")).withColumn("part_bins", F.lit(1).cast("bigint")).withColumn("part_bound", F.lit(1).cast("bigint"))
-    rest = items.select("plan_id", "capacity", "doc_id", "n_pieces", F.col("n_pieces").alias("piece"), (F.col("tokens") - (F.col("n_pieces") - 1) * F.col("capacity")).alias("size"))
+    big = big.select(
+        "plan_id",
+        "capacity",
+        "doc_id",
+        "n_pieces",
+        "piece",
+        F.col("capacity").alias("size"),
+        F.concat_ws(".", F.lit("whole"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("container"),
+    )
+    big = big.withColumn("part", F.col("container")).withColumn("part_bins", F.lit(1).cast("bigint")).withColumn(
+        "part_bound", F.lit(1).cast("bigint"),
+    )
+    rest = items.select(
+        "plan_id",
+        "capacity",
+        "doc_id",
+        "n_pieces",
+        F.col("n_pieces").alias("piece"),
+        (F.col("tokens") - (F.col("n_pieces") - 1) * F.col("capacity")).alias("size"),
+    )
 
     counts = {r["plan_id"]: r["n"] for r in rest.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per plan
 
@@ -194,7 +215,19 @@ def packing_summary(packed: DataFrame) -> DataFrame:
     # a table of at most capacity rows for each plan goes to Python
     bounds = packed.groupBy(*key, "size").agg(F.count(F.lit(1)).alias("n")).groupBy("plan_id").applyInPandas(_bound, BOUNDS)
     parts = packed.filter("NOT startswith(part, 'whole')").select(*key, "part", "part_bins", "part_bound").distinct()
-    parts = parts.groupBy("plan_id").agg(F.count(F.lit(1)).alias("partitions"), F.count_if(F.col("part_bins") == F.col("part_bound")).alias("optimal_partitions"))
+    parts = parts.groupBy("plan_id").agg(
+        F.count(F.lit(1)).alias("partitions"), F.count_if(F.col("part_bins") == F.col("part_bound")).alias("optimal_partitions"),
+    )
     all_ = total.join(bounds, "plan_id").join(parts, "plan_id", "left").fillna({"partitions": 0, "optimal_partitions": 0})
     gap = F.col("containers") - F.col("bound")
-    return all_.select(*key, "containers", "tokens", "bound", gap.alias("gap"), (F.col("containers") * F.col("capacity") - F.col("tokens")).alias("unused"), "fullest", "partitions", "optimal_partitions")
+    return all_.select(
+        *key,
+        "containers",
+        "tokens",
+        "bound",
+        gap.alias("gap"),
+        (F.col("containers") * F.col("capacity") - F.col("tokens")).alias("unused"),
+        "fullest",
+        "partitions",
+        "optimal_partitions",
+    )

@@ -53,12 +53,22 @@ def usable(value: Column, least: float | None) -> Column:
     return ok & (value >= least) if least is not None else ok
 
 
-def radix_histogram(df: DataFrame, by: list[str], value: str, part: list[str] | None = None, weight: str | None = None, least: float | None = None, digits: tuple[int, ...] = DIGITS) -> DataFrame:
+def radix_histogram(
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    part: list[str] | None = None,
+    weight: str | None = None,
+    least: float | None = None,
+    digits: tuple[int, ...] = DIGITS,
+) -> DataFrame:
     """Mergeable counts: (by..., part..., __d0, __d1, __n)."""
     k = order_key(F.col(value).cast("double"))
     w = F.col(weight) if weight else F.lit(1)
     keys = df.filter(usable(F.col(value).cast("double"), least)).select(*by, *(part or []), k.alias("__k"), w.cast("bigint").alias("__w"))
-    return keys.groupBy(*by, *(part or []), _digit(F.col("__k"), digits, 0).alias("__d0"), _digit(F.col("__k"), digits, 1).alias("__d1")).agg(F.sum("__w").alias("__n"))
+    return keys.groupBy(
+        *by, *(part or []), _digit(F.col("__k"), digits, 0).alias("__d0"), _digit(F.col("__k"), digits, 1).alias("__d1"),
+    ).agg(F.sum("__w").alias("__n"))
 
 
 def _select(hist: DataFrame, by: list[str], digit: str) -> DataFrame:
@@ -83,7 +93,9 @@ def _first_two(hist: DataFrame, by: list[str], quantiles: dict[str, float], digi
     first = hist.groupBy(*by, "__d0").agg(F.sum("__n").alias("__n"))
     at0 = _select(_ranks(first, by, quantiles), by, "__d0")
     second = null_safe(hist.select(*by, "__d0", "__d1", "__n"), at0, [*by, "__d0"])
-    second = second.groupBy(*by, "__q", "__d0", "__d1").agg(F.sum("__n").alias("__n"), F.max("__total").alias("__total"), F.max("__rank").alias("__rank"))
+    second = second.groupBy(*by, "__q", "__d0", "__d1").agg(
+        F.sum("__n").alias("__n"), F.max("__total").alias("__total"), F.max("__rank").alias("__rank"),
+    )
     at1 = _select(second, by, "__d1")
     return at1.select(*by, "__q", "__total", "__rank", (F.shiftleft(F.col("__d0"), digits[1]) + F.col("__d1")).alias("__prefix"))
 
@@ -95,7 +107,9 @@ def _wide(at: DataFrame, by: list[str], quantiles: dict[str, float], columns: di
     return at.groupBy(*by).agg(*aggs)
 
 
-def percentiles_from_histogram(hist: DataFrame, by: list[str], quantiles: dict[str, float] | None = None, digits: tuple[int, ...] = DIGITS) -> DataFrame:
+def percentiles_from_histogram(
+    hist: DataFrame, by: list[str], quantiles: dict[str, float] | None = None, digits: tuple[int, ...] = DIGITS,
+) -> DataFrame:
     """From the histograms of any parts, added up: (by..., n, and for each quantile its
     estimate, low and high bound: NAME, NAME_low, NAME_high).  The true value is in
     [low, high]; the estimate is the middle, within relative_error(digits, 2)."""
@@ -109,7 +123,15 @@ def percentiles_from_histogram(hist: DataFrame, by: list[str], quantiles: dict[s
     return _wide(at, by, quantiles, {"": mid, "_low": F.col("__low"), "_high": F.col("__high")})
 
 
-def radix_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float] | None = None, weight: str | None = None, least: float | None = None, digits: tuple[int, ...] = DIGITS) -> DataFrame:
+def radix_percentiles(
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    quantiles: dict[str, float] | None = None,
+    weight: str | None = None,
+    least: float | None = None,
+    digits: tuple[int, ...] = DIGITS,
+) -> DataFrame:
     """Exact percentiles v[floor(q * n)] of the sorted values: (by..., n, NAME...)."""
     quantiles = quantiles or QUANTILES
     x = F.col(value).cast("double")
@@ -122,7 +144,9 @@ def radix_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[
         same = keys.withColumn("__prefix", _prefix(F.col("__k"), digits, level))
         keys = null_safe(same, at.select(*by, "__prefix").distinct(), [*by, "__prefix"]).groupBy(*by, "__k").agg(F.sum("__w").alias("__w"))
         keys = cut(keys) if level == 1 else keys
-        rows = keys.groupBy(*by, _prefix(F.col("__k"), digits, level).alias("__prefix"), _digit(F.col("__k"), digits, level).alias("__d")).agg(F.sum("__w").alias("__n"))
+        rows = keys.groupBy(
+            *by, _prefix(F.col("__k"), digits, level).alias("__prefix"), _digit(F.col("__k"), digits, level).alias("__d"),
+        ).agg(F.sum("__w").alias("__n"))
         chosen = _select(null_safe(rows, at, [*by, "__prefix"]), by, "__d")
         at = chosen.select(*by, "__q", "__total", "__rank", (F.shiftleft(F.col("__prefix"), digits[level]) + F.col("__d")).alias("__prefix"))
         at = cut(at) if level < len(digits) - 1 else at  # a row per group and quantile
@@ -156,7 +180,9 @@ def wrong_reports(routes: DataFrame, evals: DataFrame, tolerance: float = 0.10)
     """Groups with a reported median or p95 that is off the true value by more than ``tolerance``
     of it.  True values are combined from daily histograms; their relative error is 2**-13."""
     true = percentiles_from_histogram(daily_histograms(routes), GROUP)
-    said = evals.select(*GROUP, F.col("latency_ms_median").alias("__m"), F.col("latency_ms_p95").alias("__p")).filter(usable(F.col("__m"), None) | usable(F.col("__p"), None))
+    said = evals.select(
+        *GROUP, F.col("latency_ms_median").alias("__m"), F.col("latency_ms_p95").alias("__p"),
+    ).filter(usable(F.col("__m"), None) | usable(F.col("__p"), None))
     both = null_safe(said, true, GROUP)
     off = lambda r, t: F.coalesce(usable(F.col(r), None) & (F.abs(F.col(r) - F.col(t)) > tolerance * F.abs(F.col(t))), F.lit(False))
     return both.filter(off("__m", "median") | off("__p", "p95")).select(*GROUP).distinct()

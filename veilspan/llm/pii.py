@@ -81,7 +81,9 @@ _DATE_END = r"(?![\w\-/])(?![.,]\d)(?!T\d|[ ,]{1,2}\d{1,2}:\d\d)"  # a time stam
 DATES = [
     re.compile(r"(?<![\w.\-/])(?P<y>\d{4})(?P<s>[\-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})" + _DATE_END),
     re.compile(r"(?<![\w.\-/])(?P<a>\d{1,2})(?P<s>[\-/.])(?P<b>\d{1,2})(?P=s)(?P<y>\d{4})" + _DATE_END),
-    re.compile(rf"(?i)(?<![\w.\-/])(?P<d>\d{{1,2}})(?:\.|st|nd|rd|th)?\s(?:de\s|of\s)?(?P<month>{_MONTH})\.?,?\s(?:de\s|del\s)?(?P<y>\d{{4}})" + _DATE_END),
+    re.compile(
+        rf"(?i)(?<![\w.\-/])(?P<d>\d{{1,2}})(?:\.|st|nd|rd|th)?\s(?:de\s|of\s)?(?P<month>{_MONTH})\.?,?\s(?:de\s|del\s)?(?P<y>\d{{4}})" + _DATE_END
+    ),
     re.compile(rf"(?i)(?<![\w.\-/])(?P<month>{_MONTH})\.?\s(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s(?P<y>\d{{4}})" + _DATE_END),
 ]
 
@@ -93,11 +95,19 @@ _STREET = r"(?:street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|drive|dr|cour
 _UNIT = r"(?:,?\s(?:apt|apartment|flat|unit|suite|ste|room|floor|#)\.?\s?[\w\-]+)?"
 _POSTAL = r"(?:(?:,?\s[A-Z]{2})?,?\s\d{5}(?:-\d{4})?|,?\s[A-Z]{1,2}\d[A-Z\d]?\s\d[A-Z]{2})"
 ADDRESS = [
-    re.compile(rf"(?i)(?<![\w\-])(?:(?:apt|flat|unit|suite)\.?\s?\w+,\s)?\d{{1,5}}[a-z]?\s(?:{_W}\s){{1,4}}?{_STREET}\.?{_UNIT},?\s(?:{_CITY}){_POSTAL}(?!\w)"),
+    re.compile(
+        rf"(?i)(?<![\w\-])(?:(?:apt|flat|unit|suite)\.?\s?\w+,\s)?\d{{1,5}}[a-z]?\s(?:{_W}\s){{1,4}}?{_STREET}\.?{_UNIT},?\s(?:{_CITY}){_POSTAL}(?!\w)"
+    ),
     re.compile(rf"(?i)(?<![\w\-])(?:p\.?\s?o\.?\s?box|postfach|apartado|bp)\s\d{{1,6}},?\s(?:\d{{4,5}}\s{_TOWN}|{_CITY}{_POSTAL})(?!\w)"),
-    re.compile(rf"(?i)(?<![\w\-])\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|chemin|allée|quai|impasse)\s(?:(?:du|de\sla|de\sl['’]|des|de)\s?)?{_W}(?:[\-\s]{_W}){{0,3}}?,?\s\d{{5}}\s{_TOWN}(?!\w)"),
-    re.compile(rf"(?<![\w\-])(?:(?:{_W}-){{0,3}}{_W}(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|ufer)|(?:[A-ZÄÖÜ]{_W}[\- ]){{1,3}}(?:Weg|Straße|Strasse|Str\.|Gasse|Platz|Allee|Ring|Ufer)) \d{{1,4}}\s?[a-z]?,?\s\d{{5}}\s{_TOWN}(?!\w)"),
-    re.compile(rf"(?i)(?<![\w\-])(?:calle|avenida|plaza|paseo|camino|c/)\s(?:(?:de|del|de\sla)\s)?{_W}(?:\s{_W}){{0,3}}?,?\s\d{{1,4}}(?:,?\s\d+[ºª°]\s?\w?)?,?\s\d{{5}}\s{_TOWN}(?!\w)"),
+    re.compile(
+        rf"(?i)(?<![\w\-])\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|chemin|allée|quai|impasse)\s(?:(?:du|de\sla|de\sl['’]|des|de)\s?)?{_W}(?:[\-\s]{_W}){{0,3}}?,?\s\d{{5}}\s{_TOWN}(?!\w)"
+    ),
+    re.compile(
+        rf"(?<![\w\-])(?:(?:{_W}-){{0,3}}{_W}(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|ufer)|(?:[A-ZÄÖÜ]{_W}[\- ]){{1,3}}(?:Weg|Straße|Strasse|Str\.|Gasse|Platz|Allee|Ring|Ufer)) \d{{1,4}}\s?[a-z]?,?\s\d{{5}}\s{_TOWN}(?!\w)"
+    ),
+    re.compile(
+        rf"(?i)(?<![\w\-])(?:calle|avenida|plaza|paseo|camino|c/)\s(?:(?:de|del|de\sla)\s)?{_W}(?:\s{_W}){{0,3}}?,?\s\d{{1,4}}(?:,?\s\d+[ºª°]\s?\w?)?,?\s\d{{5}}\s{_TOWN}(?!\w)"
+    ),
 ]
 
 # ---------------------------------------------------------------- names
@@ -346,7 +356,9 @@ def read_date(value: str) -> tuple[date, tuple] | None:
         day, month = "d", "m" if i == 0 else "month"
     if month == "month":
         told = g["month"]
-        language = next((n for n, names in MONTHS.items() if told in names), None) or next(n for n, names in MONTHS.items() if told.lower() in [x.lower() for x in names])
+        language = next((n for n, names in MONTHS.items() if told in names), None) or next(
+            n for n, names in MONTHS.items() if told.lower() in [x.lower() for x in names]
+        )
         number = [x.lower() for x in MONTHS[language]].index(told.lower()) + 1
     else:
         number = int(g[month])
@@ -463,10 +475,14 @@ def redaction(text: str | None, names: Names, key: bytes, made: dict | None = No
 # ---------------------------------------------------------------- tables
 def fitted_names(samples: DataFrame, annotations: DataFrame, spans: int = FIT_SPANS, texts: int = FIT_TEXTS) -> Names:
     """The model, from at most ``spans`` labelled names and ``texts`` labelled texts."""
-    marks = annotations.filter((fold_kind(F.col("kind")) == "person") & F.col("text").isNotNull() & F.col("sample_id").isNotNull()).select("sample_id", F.col("text").alias("name")).distinct()
+    marks = annotations.filter(
+        (fold_kind(F.col("kind")) == "person") & F.col("text").isNotNull() & F.col("sample_id").isNotNull()
+    ).select("sample_id", F.col("text").alias("name")).distinct()
     known = marks.orderBy(F.xxhash64("sample_id", "name"), "name").limit(spans).collect()
     few = samples.filter((F.col("split") == "labelled") & F.col("text").isNotNull()).select("id", "text").orderBy(F.xxhash64("id"), "id").limit(texts)
-    rows = few.join(marks, few["id"] == marks["sample_id"]).groupBy("id").agg(F.first("text").alias("text"), F.collect_set("name").alias("names")).collect()
+    rows = few.join(marks, few["id"] == marks["sample_id"]).groupBy("id").agg(
+        F.first("text").alias("text"), F.collect_set("name").alias("names"),
+    ).collect()
     return fit_names([r["name"] for r in known], [(r["text"], r["names"]) for r in rows])
 
 
@@ -485,8 +501,13 @@ def redactions(samples: DataFrame, names: Names, key: bytes) -> DataFrame:
                 made.clear()
             done = [redaction(t, names, key, made) for t in batch.column("text").to_pylist()]
             spans = [list(zip(*r.spans)) or [(), (), (), ()] for r in done]
-            lists = [pa.array([list(x[i]) for x in spans], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), pa.array([r.text for r in done], pa.string()), *lists], names=["id", "redacted", "starts", "ends", "kinds", "pseudonyms"])
+            lists = [
+                pa.array([list(x[i]) for x in spans], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").cast(pa.string()), pa.array([r.text for r in done], pa.string()), *lists],
+                names=["id", "redacted", "starts", "ends", "kinds", "pseudonyms"],
+            )
 
     return spread(samples.select(F.col("id").cast("string").alias("id"), "text")).mapInArrow(run, REDACTED)
 

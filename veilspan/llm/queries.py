@@ -11,10 +11,14 @@ def queries() -> dict:
         "p1_found": lambda s, d: percentiles.wrong_reports(T(s, d, "route_results"), T(s, d, "eval_rows")),
         "p1_percentiles": lambda s, d: percentiles.latency_percentiles(T(s, d, "route_results")),
         "p2_found": lambda s, d: sampling.shortfalls(T(s, d, "annotations"), T(s, d, "leak_results"), T(s, d, "sample_targets")),
-        "p2_report": lambda s, d: sampling.draw_report(sampling.quota_table(T(s, d, "annotations"), T(s, d, "leak_results"), T(s, d, "sample_targets"))).select("draw_id", "category", "wanted", "available", "taken"),
+        "p2_report": lambda s, d: sampling.draw_report(
+            sampling.quota_table(T(s, d, "annotations"), T(s, d, "leak_results"), T(s, d, "sample_targets"))
+        ).select("draw_id", "category", "wanted", "available", "taken"),
         "p2_sample": lambda s, d: sampling.draw_sample(T(s, d, "annotations"), T(s, d, "leak_results"), T(s, d, "sample_targets")),
         "p3_found": lambda s, d: pii.found(T(s, d, "samples"), T(s, d, "annotations"), pii.session_key(s)),
-        "p3_redacted": lambda s, d: pii.redacted_samples(T(s, d, "samples"), pii.fitted_names(T(s, d, "samples"), T(s, d, "annotations")), pii.session_key(s)),
+        "p3_redacted": lambda s, d: pii.redacted_samples(
+            T(s, d, "samples"), pii.fitted_names(T(s, d, "samples"), T(s, d, "annotations")), pii.session_key(s),
+        ),
         "p4_found": lambda s, d: neardup.similar_pairs(T(s, d, "samples"), width=3, similarity=0.6),
         "p4_groups": lambda s, d: neardup.similar_groups(T(s, d, "samples"), width=3, similarity=0.6),
         "p5_found": lambda s, d: secrets.found(T(s, d, "samples")),

@@ -39,9 +39,21 @@ BUCKET_BITS = 12
 def pool_rows(annotations: DataFrame, leaks: DataFrame) -> DataFrame:
     """(pool, batch_id, item, category, stratum), each item once."""
     stratum = F.regexp_extract(F.coalesce("sample_id", F.lit("")), r"^([^_]*)_", 1)
-    a = annotations.filter(F.col("ann_id").isNotNull()).select(F.col("ann_id").cast("string").alias("item"), F.col("annotated_at").alias("__at"), F.col("batch_id").alias("batch_id"), fold_kind(F.col("kind")).alias("category"), stratum.alias("stratum"))
+    a = annotations.filter(F.col("ann_id").isNotNull()).select(
+        F.col("ann_id").cast("string").alias("item"),
+        F.col("annotated_at").alias("__at"),
+        F.col("batch_id").alias("batch_id"),
+        fold_kind(F.col("kind")).alias("category"),
+        stratum.alias("stratum"),
+    )
     b = leaks.withColumn("__o", fold_name(F.col("option_name"))).filter(F.col("sample_id").isNotNull() & F.col("__o").isNotNull())
-    b = b.select(F.concat_ws("\u0001", "sample_id", "__o").alias("item"), F.col("measured_at").alias("__at"), "batch_id", F.col("__o").alias("category"), stratum.alias("stratum"))
+    b = b.select(
+        F.concat_ws("\u0001", "sample_id", "__o").alias("item"),
+        F.col("measured_at").alias("__at"),
+        "batch_id",
+        F.col("__o").alias("category"),
+        stratum.alias("stratum"),
+    )
     rows = a.withColumn("pool", F.lit(ANNOTATIONS)).unionByName(b.withColumn("pool", F.lit(LEAKS)))
     last = rows.groupBy("pool", "item").agg(F.max(F.struct("__at", "batch_id", "category", "stratum")).alias("x"))
     return last.select("pool", "x.batch_id", "item", "x.category", "x.stratum").filter(F.col("category").isNotNull())
@@ -169,25 +181,42 @@ def quotas_of(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def draw_report(quotas: DataFrame) -> DataFrame:
     """(draw_id, category, wanted, available, taken, short): one row per draw and category."""
-    return quotas.groupBy("draw_id", "category").agg(F.max("want").alias("wanted"), F.max("available").alias("available"), F.sum("quota").alias("taken")).withColumn("short", F.col("available") < F.col("wanted"))
+    return quotas.groupBy("draw_id", "category").agg(
+        F.max("want").alias("wanted"), F.max("available").alias("available"), F.sum("quota").alias("taken"),
+    ).withColumn("short", F.col("available") < F.col("wanted"))
 
 
 def draw_sample(annotations: DataFrame, leaks: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """(draw_id, pool, item, category, stratum): exactly the quota of each cell."""
     pool = cut(pool_rows(annotations, leaks))
-    quotas = quotas_of(pool, targets).filter("quota > 0").select("draw_id", "pool", "batch_id", "key", F.col("category").alias("__c"), "stratum", "quota")
+    quotas = quotas_of(pool, targets).filter("quota > 0").select(
+        "draw_id", "pool", "batch_id", "key", F.col("category").alias("__c"), "stratum", "quota",
+    )
     rows = pool.withColumnRenamed("category", "key")
     drawn = null_safe(rows, quotas, ["pool", "batch_id", "key", "stratum"])
     h = F.xxhash64(F.lit(seed), "draw_id", "pool", "item")
-    drawn = drawn.select("draw_id", "pool", "item", F.col("__c").alias("category"), "stratum", "quota", h.alias("__h"), F.shiftrightunsigned(h, 64 - BUCKET_BITS).alias("__b"))
+    drawn = drawn.select(
+        "draw_id",
+        "pool",
+        "item",
+        F.col("__c").alias("category"),
+        "stratum",
+        "quota",
+        h.alias("__h"),
+        F.shiftrightunsigned(h, 64 - BUCKET_BITS).alias("__b"),
+    )
     cell = ["draw_id", "pool", "category", "stratum"]
     bucket = drawn.groupBy(*cell, "quota", "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*cell).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    bucket = bucket.withColumn("__cum", F.sum("__n").over(w)).withColumn("__before", F.col("__cum") - F.col("__n")).filter(F.col("__before") < F.col("quota"))
+    bucket = bucket.withColumn("__cum", F.sum("__n").over(w)).withColumn(
+        "__before", F.col("__cum") - F.col("__n"),
+    ).filter(F.col("__before") < F.col("quota"))
     bucket = bucket.select(*cell, "__b", (F.col("quota") - F.col("__before")).alias("__left"), "__n")
     near = null_safe(drawn.drop("quota"), bucket, [*cell, "__b"])
     whole = near.filter(F.col("__n") <= F.col("__left"))
-    edge = near.filter(F.col("__n") > F.col("__left")).withColumn("__r", F.row_number().over(Window.partitionBy(*cell, "__b").orderBy("__h", "item"))).filter(F.col("__r") <= F.col("__left"))
+    edge = near.filter(F.col("__n") > F.col("__left")).withColumn(
+        "__r", F.row_number().over(Window.partitionBy(*cell, "__b").orderBy("__h", "item")),
+    ).filter(F.col("__r") <= F.col("__left"))
     return whole.select(*cell, "item").unionByName(edge.select(*cell, "item"))
 
 

@@ -35,8 +35,18 @@ from .common import spread
 # fixed values: published key formats
 SHAPES = [
     ("aws_access_key", re.compile(r"(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[A-Z0-9]{16}")),
-    ("token", re.compile(r"gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|gl(?:pat|ptt|dt|rt|at)-[A-Za-z0-9_\-]{16,}|npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_\-]{30,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]{8,}")),
-    ("api_key", re.compile(r"sk-(?:proj-|ant-)?[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{30,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|key-[A-Za-z0-9]{32}|SK[0-9a-f]{32}")),
+    (
+        "token",
+        re.compile(
+            r"gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|gl(?:pat|ptt|dt|rt|at)-[A-Za-z0-9_\-]{16,}|npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_\-]{30,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]{8,}"
+        ),
+    ),
+    (
+        "api_key",
+        re.compile(
+            r"sk-(?:proj-|ant-)?[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{30,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|key-[A-Za-z0-9]{32}|SK[0-9a-f]{32}"
+        ),
+    ),
 ]
 _ANY_SHAPE = re.compile("(?<![A-Za-z0-9_/+.\\-])(?:" + "|".join(f"(?P<{k}>{p.pattern})" for k, p in SHAPES) + ")(?![A-Za-z0-9_])")
 
@@ -46,8 +56,16 @@ _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----.*?--
 _NAMES = [
     ("aws_secret_key", re.compile(r"aws_?secret(?:_?access)?_?key$|secret_?access_?key$")),
     ("aws_access_key", re.compile(r"aws_?access_?key(?:_?id)?$|^access_?key_?id$")),
-    ("api_key", re.compile(r"(?:^|_)(?:x_?)?(?:api_?key|apikey|client_?secret|secret_?key|app_?secret|consumer_?secret|signing_?key|signing_?secret|encryption_?key|webhook_?secret|subscription_?key|account_?key|service_?key)$")),
-    ("token", re.compile(r"(?:^|_)(?:token|auth_?token|access_?token|refresh_?token|session_?token|bearer|bearer_?token|api_?token|pat|sid|session_?id)$")),
+    (
+        "api_key",
+        re.compile(
+            r"(?:^|_)(?:x_?)?(?:api_?key|apikey|client_?secret|secret_?key|app_?secret|consumer_?secret|signing_?key|signing_?secret|encryption_?key|webhook_?secret|subscription_?key|account_?key|service_?key)$"
+        ),
+    ),
+    (
+        "token",
+        re.compile(r"(?:^|_)(?:token|auth_?token|access_?token|refresh_?token|session_?token|bearer|bearer_?token|api_?token|pat|sid|session_?id)$"),
+    ),
     ("password", re.compile(r"(?:^|_)(?:[a-z]*password|passwd|passwort|[a-z]*pass|pwd|pw|passphrase|contraseña)$")),
     ("private_key", re.compile(r"(?:^|_)private_?key(?:_?(?:hex|pem|base64|b64|data))?$")),
     ("api_key", re.compile(r"(?:^|_)secret$")),
@@ -276,7 +294,9 @@ def redacted_samples(samples: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             spans = [find_secrets(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "redacted": [redact_secrets(t, s) for t, s in zip(pdf["text"], spans)], "secrets": [len(s) for s in spans]})
+            yield pd.DataFrame(
+                {"id": pdf["id"], "redacted": [redact_secrets(t, s) for t, s in zip(pdf["text"], spans)], "secrets": [len(s) for s in spans]}
+            )
 
     rows = samples.select(F.col("id").cast("string").alias("id"), "text")
     return spread(rows).mapInPandas(run, "id string, redacted string, secrets int")

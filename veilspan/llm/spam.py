@@ -98,7 +98,9 @@ MEASURES = StructType([StructField("ratio", DoubleType()), StructField("sparse",
 def _measures(s: pd.Series) -> pd.DataFrame:
     ratios = [block_ratio(t) for t in s]
     told = [confirmations(t, r) if r is not None else (False, 0.0) for t, r in zip(s, ratios)]
-    return pd.DataFrame({"ratio": pd.Series(ratios, dtype="float64"), "sparse": [a for a, _ in told], "prevalence": pd.Series([b for _, b in told], dtype="float64")})
+    return pd.DataFrame(
+        {"ratio": pd.Series(ratios, dtype="float64"), "sparse": [a for a, _ in told], "prevalence": pd.Series([b for _, b in told], dtype="float64")}
+    )
 
 
 def language_class(lang: Column) -> Column:
@@ -130,7 +132,9 @@ def usual_ratios(sizes: DataFrame) -> DataFrame:
 def redundant_pages(documents: DataFrame) -> DataFrame:
     """(doc_id, ratio, usual, share, sparse, prevalence) of the pages flagged by their block-wise compression."""
     sizes = measured(documents)
-    return sizes.join(F.broadcast(usual_ratios(sizes)), ["lang", "step"]).withColumn("share", F.col("ratio") / F.col("usual")).filter(F.col("share") < FLAG)
+    return sizes.join(F.broadcast(usual_ratios(sizes)), ["lang", "step"]).withColumn(
+        "share", F.col("ratio") / F.col("usual"),
+    ).filter(F.col("share") < FLAG)
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
