@@ -88,7 +88,11 @@ def read_mapping(path: str | Path | None) -> dict:
 
 def _defaults() -> dict[tuple[str, str], object]:
     """(section, name) -> default, for every setting there is."""
-    return {(section.name, x.name): getattr(section.default_factory(), x.name) for section in dataclasses.fields(Config) for x in dataclasses.fields(section.default_factory)}
+    return {
+        (section.name, x.name): getattr(
+            section.default_factory(), x.name,
+        ) for section in dataclasses.fields(Config) for x in dataclasses.fields(section.default_factory)
+    }
 
 
 def _from_text(told: str, default: object) -> object:

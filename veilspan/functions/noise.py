@@ -57,12 +57,16 @@ def core(word: Column) -> Column:
 def kept(c: Column) -> Column:
     """Whether a stripped word must stay: structure, short words, acronyms, identifiers, addresses."""
     upper = (F.upper(c) == c) & (F.lower(c) != c)
-    return F.lower(c).isin(*PRESERVED) | (F.length(c) <= 2) | upper | c.rlike(r"(?U)\d") | F.contains(c, F.lit("_")) | F.contains(c, F.lit("@")) | (F.contains(c, F.lit(".")) & (F.length(c) > 4))
+    return F.lower(c).isin(*PRESERVED) | (F.length(c) <= 2) | upper | c.rlike(r"(?U)\d") | F.contains(c, F.lit("_")) | F.contains(c, F.lit("@")) | (
+        F.contains(c, F.lit(".")) & (F.length(c) > 4)
+    )
 
 
 def part_of_speech(c: Column) -> Column:
     w = F.lower(c)
-    return F.when(w.rlike("ly$"), "adv").when(w.rlike("(?:ing|ed|es|ize|ify|ate)$"), "verb").when(w.rlike("(?:ful|ous|ive|al|ent|ant|ible|able)$"), "adj").otherwise("noun")
+    return F.when(w.rlike("ly$"), "adv").when(w.rlike("(?:ing|ed|es|ize|ify|ate)$"), "verb").when(
+        w.rlike("(?:ful|ous|ive|al|ent|ant|ible|able)$"), "adj",
+    ).otherwise("noun")
 
 
 def _bits(seed: int, key: Column, i: Column) -> Column:
@@ -85,7 +89,9 @@ def noised(text: Column, key: Column, epsilon: float = 4.0, seed: int = 0) -> Co
         pick, pos = _number(F.substring(bits, 9, 8)), part_of_speech(c)
         out = F.lit(None).cast("string")
         for name, pool in POOLS.items():
-            out = F.when(pos == name, F.element_at(F.split(F.lit(" ".join(pool)), " "), F.pmod(pick, F.lit(len(pool))).cast("int") + 1)).otherwise(out)
+            out = F.when(
+                pos == name, F.element_at(F.split(F.lit(" ".join(pool)), " "), F.pmod(pick, F.lit(len(pool))).cast("int") + 1),
+            ).otherwise(out)
         first = F.substring(c, 1, 1)
         return F.when((first == F.upper(first)) & (F.upper(first) != F.lower(first)), F.initcap(out)).otherwise(out)
 
@@ -98,4 +104,6 @@ def noised(text: Column, key: Column, epsilon: float = 4.0, seed: int = 0) -> Co
     words = words_of(text)
     new = F.transform(words, one)
     merged = F.zip_with(words, new, lambda w, n: F.coalesce(n, w))
-    return F.struct(F.array_join(merged, " ").alias("text"), F.size(words).alias("words"), F.size(F.filter(new, lambda n: n.isNotNull())).alias("substituted"))
+    return F.struct(
+        F.array_join(merged, " ").alias("text"), F.size(words).alias("words"), F.size(F.filter(new, lambda n: n.isNotNull())).alias("substituted"),
+    )

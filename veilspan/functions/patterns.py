@@ -56,11 +56,19 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("phone_intl", r"\+\d{1,3}[-.\s]?\d{1,4}[-.\s]?\d{2,4}[-.\s]?\d{2,4}(?:[-.\s]?\d{1,4})?", guard="+"),
     Pattern("ssn", r"\b\d{3}-\d{2}-\d{4}\b", guard="-"),
     Pattern("ip_v4", rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b", guard="."),
-    Pattern("ip_v6", rf"\b(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}\b|\b(?:{_HEX}{{1,4}}:){{1,7}}:\b|\b::(?:{_HEX}{{1,4}}:){{0,5}}{_HEX}{{1,4}}\b", guard=":"),
+    Pattern(
+        "ip_v6", rf"\b(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}\b|\b(?:{_HEX}{{1,4}}:){{1,7}}:\b|\b::(?:{_HEX}{{1,4}}:){{0,5}}{_HEX}{{1,4}}\b", guard=":",
+    ),
     Pattern("credit_card", r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{1,4}\b"),
     Pattern("employee_id", r"\bEMP-\d{4,6}\b", guard="EMP-"),
     Pattern("password", _assigned("password|passwd|pwd|pass", r"\S{4,}"), True, True, hints=("pass", "pwd",)),
-    Pattern("secret_assignment", _assigned("secret|token|credential|auth", r"[A-Za-z0-9\-_.+/=]{8,}"), True, True, hints=("secret", "token", "credential", "auth",)),
+    Pattern(
+        "secret_assignment",
+        _assigned("secret|token|credential|auth", r"[A-Za-z0-9\-_.+/=]{8,}"),
+        True,
+        True,
+        hints=("secret", "token", "credential", "auth",),
+    ),
     Pattern("connection_string", r"""(?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql|redis|amqp|mssql)://[^\s'"]{10,}""", True, guard="://"),
     Pattern("aws_access_key", r"\b(?:A3T[A-Z0-9]|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)[A-Z0-9]{16}\b"),
     Pattern("aws_secret_key", _assigned(r"(?:aws)?[_\-]?(?:secret)?[_\-]?(?:access)?[_\-]?key", "[A-Za-z0-9/+=]{40}"), True, True, hints=("key",)),
@@ -82,7 +90,13 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("npm_token", r"\bnpm_[A-Za-z0-9]{36}\b", guard="npm_"),
     Pattern("pypi_token", r"\bpypi-[A-Za-z0-9\-_]{50,}\b", guard="pypi-"),
     Pattern("heroku_api_key", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", guard="-"),
-    Pattern("generic_api_key", _assigned(r"api[_\-]?key|apikey|secret[_\-]?key|access[_\-]?token|auth[_\-]?token", r"[A-Za-z0-9\-_.+/=]{16,}"), True, True, hints=("key", "token",)),
+    Pattern(
+        "generic_api_key",
+        _assigned(r"api[_\-]?key|apikey|secret[_\-]?key|access[_\-]?token|auth[_\-]?token", r"[A-Za-z0-9\-_.+/=]{16,}"),
+        True,
+        True,
+        hints=("key", "token",),
+    ),
     Pattern("bearer_token", r"bearer\s+[A-Za-z0-9\-_.~+/]{20,}=*", True, hints=("bearer",)),
     Pattern("basic_auth", r"basic\s+[A-Za-z0-9+/]{20,}={0,2}", True, hints=("basic",)),
     Pattern("jwt", r"\beyJ[A-Za-z0-9\-_]+\.eyJ[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_.+/=]+\b", guard="eyJ"),

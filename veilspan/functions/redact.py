@@ -63,7 +63,9 @@ def restore_once(text: Column, reverse_map: Column) -> Column:
     """As restore, in a single pass: an original that looks like a placeholder is not expanded again."""
     rx = f"(?={LEFT})|(?<={RIGHT})"
     table = F.map_from_entries(F.transform(reverse_map, lambda e: F.struct(e["placeholder"], e["original"])))
-    return F.when(F.size(reverse_map) == 0, text).otherwise(F.array_join(F.transform(F.split(text, rx, -1), lambda p: F.coalesce(F.try_element_at(table, p), p)), ""))
+    return F.when(F.size(reverse_map) == 0, text).otherwise(
+        F.array_join(F.transform(F.split(text, rx, -1), lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    )
 
 
 def audit(outgoing: Column, spans: Column) -> Column:

@@ -26,7 +26,15 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from .patterns import PATTERNS, Pattern
 from .taxonomy import allowed
 
-_FIELDS = [("start", IntegerType()), ("end", IntegerType()), ("kind", StringType()), ("confidence", DoubleType()), ("text", StringType()), ("source", StringType()), ("ord", IntegerType())]
+_FIELDS = [
+    ("start", IntegerType()),
+    ("end", IntegerType()),
+    ("kind", StringType()),
+    ("confidence", DoubleType()),
+    ("text", StringType()),
+    ("source", StringType()),
+    ("ord", IntegerType()),
+]
 SPAN = StructType([StructField(n, t) for n, t in _FIELDS])
 SPANS = ArrayType(SPAN)
 SPANS_DDL = "array<struct<start:int,end:int,kind:string,confidence:double,text:string,source:string,ord:int>>"
@@ -53,7 +61,15 @@ def _matches(text: Column, p: Pattern, ord: int) -> Column:
         at = acc["at"] + F.length(x["g"])
         start = at + F.length(x["b"]) if p.group else at
         value = x["v"] if p.group else x["m"]
-        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.lit(p.kind).alias("kind"), F.lit(1.0).alias("confidence"), value.alias("text"), F.lit("regex").alias("source"), F.lit(ord).alias("ord"))
+        span = F.struct(
+            start.alias("start"),
+            (start + F.length(value)).alias("end"),
+            F.lit(p.kind).alias("kind"),
+            F.lit(1.0).alias("confidence"),
+            value.alias("text"),
+            F.lit("regex").alias("source"),
+            F.lit(ord).alias("ord"),
+        )
         return F.when(x["m"].isNull(), acc).otherwise(F.struct((at + F.length(x["m"])).alias("at"), F.array_append(acc["out"], span).alias("out")))
 
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), add, lambda acc: acc["out"])
@@ -122,7 +138,9 @@ def as_arrow(texts: pa.Array, found: list[list[tuple[int, int, int]]], kinds: li
     ords = pa.array([x[2] for x in flat], pa.int32())
     n = len(flat)
     columns = [
-        pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pc.take(pa.array(kinds, pa.string()), ords), pa.array([1.0] * n, pa.float64()),
+        pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pc.take(
+            pa.array(kinds, pa.string()), ords,
+        ), pa.array([1.0] * n, pa.float64()),
         pa.array([x[3] for x in flat], pa.string()), pa.array(["regex"] * n, pa.string()), ords,
     ]
     fields = [pa.field(name, kind) for (name, _), kind in zip(_FIELDS, _ARROW)]
@@ -172,7 +190,12 @@ def unsure(spans: Column, below: float = 0.5) -> Column:
 def refusal_reasons(spans: Column, below: float = 0.5) -> Column:
     """Kind and the first eight characters of each span that causes a refusal."""
     low = F.filter(spans, lambda s: s["confidence"] < below)
-    return F.transform(low, lambda s: F.struct(s["kind"].alias("kind"), s["confidence"].alias("confidence"), F.concat(F.substring(s["text"], 1, 8), F.lit("...")).alias("preview")))
+    return F.transform(
+        low,
+        lambda s: F.struct(
+            s["kind"].alias("kind"), s["confidence"].alias("confidence"), F.concat(F.substring(s["text"], 1, 8), F.lit("...")).alias("preview"),
+        ),
+    )
 
 
 def kinds_of(spans: Column) -> Column:

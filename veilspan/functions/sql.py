@@ -58,7 +58,13 @@ def register(spark: SparkSession, patterns: tuple[Pattern, ...] = PATTERNS) -> N
         for t, found in zip(texts.to_pylist(), scan(texts, compiled)):
             spans = merged([(a, b, compiled[o][0].kind, 1.0, t[a:b], "regex", o) for a, b, o in found])
             redacted, entries = redact_one(t, compiled, spans)
-            out.append({"redacted": redacted, "spans": [dict(zip(_NAMES, s)) for s in spans], "reverse_map": [{"placeholder": p, "original": o} for p, o in entries]})
+            out.append(
+                {
+                    "redacted": redacted,
+                    "spans": [dict(zip(_NAMES, s)) for s in spans],
+                    "reverse_map": [{"placeholder": p, "original": o} for p, o in entries],
+                }
+            )
         return out
 
     span = pa.struct([(f.name, {"int": pa.int32(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.string())) for f in SPAN.fields])

@@ -42,7 +42,15 @@ def marked_leaks(runs: DataFrame, column: str = "marks") -> DataFrame:
     rows = runs.select("sample_id", "workload", "option_name", "outgoing", F.explode(each(column)).alias("__m"))
     exact = F.contains(F.col("outgoing"), F.col("__m.text"))
     part = F.when(exact, 0).otherwise(survives_partly(F.col("__m.text"), F.col("outgoing")).cast("int"))
-    told = rows.select("sample_id", "workload", "option_name", F.col("__m.kind").alias("kind"), exact.cast("int").alias("exact"), part.alias("partial"), F.col("__m.n").alias("__n"))
+    told = rows.select(
+        "sample_id",
+        "workload",
+        "option_name",
+        F.col("__m.kind").alias("kind"),
+        exact.cast("int").alias("exact"),
+        part.alias("partial"),
+        F.col("__m.n").alias("__n"),
+    )
     return told.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int")))).drop("__n")
 
 
@@ -52,14 +60,23 @@ def annotation_leaks(runs: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def _leak_sums(leaks: DataFrame, *by: str) -> DataFrame:
-    s = leaks.groupBy(*by).agg(F.count(F.lit(1)).alias("total_annotations"), F.sum("exact").alias("exact_leaks"), F.sum("partial").alias("partial_leaks"))
+    s = leaks.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_annotations"), F.sum("exact").alias("exact_leaks"), F.sum("partial").alias("partial_leaks"),
+    )
     n = F.col("total_annotations")
-    return s.select("*", rate(F.col("exact_leaks"), n).alias("exact_leak_rate"), rate(F.col("partial_leaks"), n).alias("partial_leak_rate"), rate(F.col("exact_leaks") + F.col("partial_leaks"), n).alias("combined_leak_rate"))
+    return s.select(
+        "*",
+        rate(F.col("exact_leaks"), n).alias("exact_leak_rate"),
+        rate(F.col("partial_leaks"), n).alias("partial_leak_rate"),
+        rate(F.col("exact_leaks") + F.col("partial_leaks"), n).alias("combined_leak_rate"),
+    )
 
 
 def leaks_by_sample(leaks: DataFrame) -> DataFrame:
     kinds = leaks.filter("exact = 1").groupBy("sample_id", "option_name", "kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    kinds = kinds.groupBy("sample_id", "option_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("leaked_kinds"))
+    kinds = kinds.groupBy("sample_id", "option_name").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("leaked_kinds")
+    )
     return _leak_sums(leaks, "sample_id", "option_name").join(kinds, ["sample_id", "option_name"], "left")
 
 
@@ -69,14 +86,20 @@ def leak_summary(leaks: DataFrame) -> DataFrame:
 
 
 def leak_by_kind(leaks: DataFrame) -> DataFrame:
-    return leaks.groupBy("option_name", "kind").agg(F.count(F.lit(1)).alias("total"), F.sum("exact").alias("leaked"), F.avg(F.col("exact").cast("double")).alias("rate"))
+    return leaks.groupBy("option_name", "kind").agg(
+        F.count(F.lit(1)).alias("total"), F.sum("exact").alias("leaked"), F.avg(F.col("exact").cast("double")).alias("rate"),
+    )
 
 
 def false_positive_rate(runs: DataFrame, annotations: DataFrame) -> DataFrame:
     """Detections whose text no annotation of the sample has, over all detections."""
-    d = runs.select("sample_id", "workload", "option_name", F.explode(each("detections")).alias("d")).select("sample_id", "workload", "option_name", F.col("d.text").alias("value"))
+    d = runs.select("sample_id", "workload", "option_name", F.explode(each("detections")).alias("d")).select(
+        "sample_id", "workload", "option_name", F.col("d.text").alias("value"),
+    )
     known = annotations.filter("text IS NOT NULL").select("sample_id", F.col("text").alias("value"), F.lit(1).alias("hit")).distinct()
-    s = d.join(known, ["sample_id", "value"], "left").groupBy("workload", "option_name").agg(F.count(F.lit(1)).alias("detections"), F.count_if(F.col("hit").isNull()).alias("unmatched"))
+    s = d.join(known, ["sample_id", "value"], "left").groupBy("workload", "option_name").agg(
+        F.count(F.lit(1)).alias("detections"), F.count_if(F.col("hit").isNull()).alias("unmatched"),
+    )
     return s.withColumn("false_positive_rate", rate(F.col("unmatched"), F.col("detections")))
 
 
@@ -85,7 +108,13 @@ def token_cost(runs: DataFrame) -> DataFrame:
     samples' relative savings."""
     t = runs.select("workload", "option_name", whitespace_tokens(F.col("text")).alias("a"), whitespace_tokens(F.col("outgoing")).alias("b"))
     pct = F.when(F.col("a") > 0, 100.0 * (F.col("b") - F.col("a")) / F.col("a")).otherwise(0.0)
-    return t.groupBy("workload", "option_name").agg(F.count(F.lit(1)).alias("samples"), F.sum("a").alias("original_tokens"), F.sum("b").alias("outgoing_tokens"), F.sum(F.col("b") - F.col("a")).alias("delta"), F.avg(pct).alias("mean_delta_pct"))
+    return t.groupBy("workload", "option_name").agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.sum("a").alias("original_tokens"),
+        F.sum("b").alias("outgoing_tokens"),
+        F.sum(F.col("b") - F.col("a")).alias("delta"),
+        F.avg(pct).alias("mean_delta_pct"),
+    )
 
 
 CELL_BITS = 40  # of a value's order key: a cell is a 4096th of an octave
@@ -96,17 +125,25 @@ def index_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[
     order key, and only the values of the cell with the rank are told apart.  A group has as many
     cells as its values span octaves, times 4096 at most, however many rows it has."""
     x = F.col(value).cast("double")
-    v = df.filter(F.col(value).isNotNull() & ~F.isnan(x)).select(*by, F.col(value).alias("__v"), F.shiftright(order_key(x), CELL_BITS).alias("__cell"))
+    v = df.filter(F.col(value).isNotNull() & ~F.isnan(x)).select(
+        *by, F.col(value).alias("__v"), F.shiftright(order_key(x), CELL_BITS).alias("__cell"),
+    )
     total = F.sum("__n").over(Window.partitionBy(*by))
     before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = v.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
     cells = cells.select("*", total.alias("n"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
     ranked = cells.withColumn("__q", F.explode(asked))
-    ranked = ranked.withColumn("__rank", F.least(F.floor(F.col("n") * F.col("__q.q")), F.col("n") - 1) - F.col("__before")).filter("__rank >= 0 AND __rank < __n")
-    ranked = ranked.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__cell").alias("__at"), "n", "__rank", F.col("__q.name").alias("__name"))
+    ranked = ranked.withColumn(
+        "__rank", F.least(F.floor(F.col("n") * F.col("__q.q")), F.col("n") - 1) - F.col("__before"),
+    ).filter("__rank >= 0 AND __rank < __n")
+    ranked = ranked.select(
+        *[F.col(c).alias(f"__by_{c}") for c in by], F.col("__cell").alias("__at"), "n", "__rank", F.col("__q.name").alias("__name"),
+    )
     same = [v[c].eqNullSafe(ranked[f"__by_{c}"]) for c in by]
-    near = v.join(ranked.hint("merge"), [v["__cell"] == ranked["__at"], *same]).groupBy(*by, "__name", "n", "__rank", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    near = v.join(
+        ranked.hint("merge"), [v["__cell"] == ranked["__at"], *same],
+    ).groupBy(*by, "__name", "n", "__rank", "__v").agg(F.count(F.lit(1)).alias("__n"))
     run = near.withColumn("__c", F.sum("__n").over(Window.partitionBy(*by, "__name").orderBy("__v"))).filter("__c > __rank")
     return run.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in quantiles])
 
@@ -121,7 +158,9 @@ def self_consistent(left: Column, right: Column, key_terms: Column | None = None
     overlap = rate(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))) > 0.5
     if key_terms is not None:
         has = F.size(key_terms) > 0
-        overlap = F.when(has, F.forall(key_terms, lambda t: F.contains(F.lower(left), F.lower(t)) == F.contains(F.lower(right), F.lower(t)))).otherwise(overlap)
+        overlap = F.when(
+            has, F.forall(key_terms, lambda t: F.contains(F.lower(left), F.lower(t)) == F.contains(F.lower(right), F.lower(t))),
+        ).otherwise(overlap)
     empty = (F.trim(F.coalesce(left, F.lit(""))) == "") | (F.trim(F.coalesce(right, F.lit(""))) == "")
     return F.when(empty, True).otherwise(overlap)
 
@@ -130,18 +169,30 @@ def preference(raw: Column) -> Column:
     """A judge's JSON verdict: STRUCT<preference, score, rationale>; anything unreadable is a tie."""
     v = F.from_json(raw, "preference string, score double, rationale string", {"mode": "PERMISSIVE"})
     known = F.lower(v["preference"]).isin("baseline", "redacted", "tie")
-    return F.struct(F.when(known, F.lower(v["preference"])).otherwise("tie").alias("preference"), F.when(known, F.coalesce(v["score"], F.lit(0.0))).otherwise(0.0).alias("score"), F.when(known, v["rationale"]).alias("rationale"))
+    return F.struct(
+        F.when(known, F.lower(v["preference"])).otherwise("tie").alias("preference"),
+        F.when(known, F.coalesce(v["score"], F.lit(0.0))).otherwise(0.0).alias("score"),
+        F.when(known, v["rationale"]).alias("rationale"),
+    )
 
 
 def utility_summary(df: DataFrame, by: list[str]) -> DataFrame:
     """df: (by..., preference, score, consistent)."""
     n = F.count(F.lit(1))
-    return df.groupBy(*by).agg(n.alias("samples"), *[F.count_if(F.col("preference") == p).alias(p) for p in ("baseline", "redacted", "tie")], F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"), F.coalesce(F.avg(F.col("consistent").cast("double")), F.lit(0.0)).alias("consistency"), (100.0 * F.count_if(F.col("preference") == "baseline") / n).alias("baseline_preferred_pct"))
+    return df.groupBy(*by).agg(
+        n.alias("samples"),
+        *[F.count_if(F.col("preference") == p).alias(p) for p in ("baseline", "redacted", "tie")],
+        F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"),
+        F.coalesce(F.avg(F.col("consistent").cast("double")), F.lit(0.0)).alias("consistency"),
+        (100.0 * F.count_if(F.col("preference") == "baseline") / n).alias("baseline_preferred_pct"),
+    )
 
 
 def semantic_leaks(judged: DataFrame, by: list[str]) -> DataFrame:
     """judged: (by..., still_identifies)."""
-    return judged.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg(F.col("still_identifies").cast("double")), 4).alias("semantic_leak_rate"))
+    return judged.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("samples"), F.round(F.avg(F.col("still_identifies").cast("double")), 4).alias("semantic_leak_rate"),
+    )
 
 
 def eval_report(leaks: DataFrame, fp: DataFrame, latency: DataFrame | None = None, utility: DataFrame | None = None) -> DataFrame:
@@ -186,5 +237,8 @@ def tool_input_text(payload: Column) -> Column:
     strings = lambda m: F.transform(F.filter(F.map_values(m), is_text), text)
     items = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
     objects = lambda x: F.array_compact(F.transform(items(x), lambda y: F.try_variant_get(y, "$", "map<string,variant>")))
-    inner = F.transform(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: F.when(is_text(x), F.array(text(x))).otherwise(F.flatten(F.transform(objects(x), strings))))
+    inner = F.transform(
+        F.map_values(F.try_variant_get(v, "$", "map<string,variant>")),
+        lambda x: F.when(is_text(x), F.array(text(x))).otherwise(F.flatten(F.transform(objects(x), strings))),
+    )
     return F.when(is_text(v), text(v)).otherwise(F.coalesce(F.array_join(F.flatten(inner), "\n"), F.lit("")))

@@ -101,7 +101,9 @@ def http_model(url: str, name: str, style: str = "openai", timeout: float = 120.
     return call
 
 
-def http_events(url: str, name: str, style: str = "openai", timeout: float = 120.0, headers: dict | None = None, key_env: str = "") -> Callable[[str], Iterator[str]]:
+def http_events(
+    url: str, name: str, style: str = "openai", timeout: float = 120.0, headers: dict | None = None, key_env: str = "",
+) -> Callable[[str], Iterator[str]]:
     """As http_model, but the lines of the server-sent events of a streamed answer."""
 
     def call(prompt: str) -> Iterator[str]:
@@ -130,7 +132,10 @@ def event_lines(df: DataFrame, request: str, prompt: Column, source: Callable[[s
                 ids += [i] * len(lines)
                 seqs += range(len(lines))
                 values += lines
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(seqs, pa.int64()), pa.array(values, pa.string())], names=[request, "seq", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(seqs, pa.int64()), pa.array(values, pa.string())],
+                names=[request, "seq", "value"],
+            )
 
     schema = StructType([StructField(request, kind), StructField("seq", LongType()), StructField("value", StringType())])
     return df.select(request, prompt.cast("string").alias("__prompt")).mapInArrow(run, schema)

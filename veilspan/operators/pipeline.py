@@ -23,7 +23,17 @@ STRICT_BELOW = 0.5
 SPLIT_CHARS, SPLIT_DIM, MPC_CHARS, MPC_VOCABULARY, FHE_MODULUS = 512, 4096, 128, 32000, 97
 
 
-def with_spans(df: DataFrame, text: str = "text", patterns=PATTERNS, policy=None, use_ner: bool = False, recogniser=ner.gazetteer, floor: float = ner.FLOOR, reviewer=None, engine: str = "auto") -> DataFrame:
+def with_spans(
+    df: DataFrame,
+    text: str = "text",
+    patterns=PATTERNS,
+    policy=None,
+    use_ner: bool = False,
+    recogniser=ner.gazetteer,
+    floor: float = ner.FLOOR,
+    reviewer=None,
+    engine: str = "auto",
+) -> DataFrame:
     """Adds ``spans``: detected, merged, and filtered by policy (None keeps every span)."""
     every = spans.detect(F.col(text), patterns, engine)
     if use_ner:
@@ -54,7 +64,16 @@ def _answered(df: DataFrame, sent: Column, model: models.Model | None, threads:
     return out.withColumn("restored", redact.restore(F.col("response"), F.col("reverse_map")))
 
 
-def redact_pipeline(df: DataFrame, text: str = "text", policy=DEFAULT_POLICY, strict: Column | bool = True, model: models.Model | None = None, threads: int = 1, retries: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
+def redact_pipeline(
+    df: DataFrame,
+    text: str = "text",
+    policy=DEFAULT_POLICY,
+    strict: Column | bool = True,
+    model: models.Model | None = None,
+    threads: int = 1,
+    retries: int = 0,
+    **kw,
+) -> tuple[DataFrame, DataFrame]:
     """(answered, refused): detect, filter, redact, optionally call a model, restore, audit.
     ``strict`` may be a column: a request's own setting.  A call that fails leaves no response but
     its reason."""
@@ -70,7 +89,9 @@ def counted(df: DataFrame, name: str = "veilspan") -> tuple[DataFrame, Observati
     """The same rows with counters that are filled in when they are computed: rows, spans found and
     rows that a strict pipeline would refuse.  No text is kept."""
     o = Observation(name)
-    return df.observe(o, F.count(F.lit(1)).alias("texts"), F.sum(F.size("spans")).alias("spans"), F.count_if(spans.unsure(F.col("spans"))).alias("uncertain")), o
+    return df.observe(
+        o, F.count(F.lit(1)).alias("texts"), F.sum(F.size("spans")).alias("spans"), F.count_if(spans.unsure(F.col("spans"))).alias("uncertain"),
+    ), o
 
 
 def routed(df: DataFrame, text: str, router: models.Model, local: models.Model) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +119,17 @@ def tool_gate(df: DataFrame, tools: str = "tools", policy: str = "bypass") -> tu
 PER_BUCKET = 50_000  # distinct values of a request that are numbered together
 
 
-def redact_messages(df: DataFrame, request: str, turn: str, role: str | None, text: str, scope: str = "message", policy=DEFAULT_POLICY, roles: tuple[str, ...] | None = None, **kw) -> DataFrame:
+def redact_messages(
+    df: DataFrame,
+    request: str,
+    turn: str,
+    role: str | None,
+    text: str,
+    scope: str = "message",
+    policy=DEFAULT_POLICY,
+    roles: tuple[str, ...] | None = None,
+    **kw,
+) -> DataFrame:
     """One row per message; (request, turn) names it.  Only messages of ``roles`` are redacted (None:
     all).  scope="message" restarts the numbers in each message; scope="request" numbers the distinct
     values of a request together, so that placeholders never collide.
@@ -126,11 +157,15 @@ def redact_messages(df: DataFrame, request: str, turn: str, role: str | None, te
         before = Window.partitionBy("__r", "kind").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("__r", "kind", "__b", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__before"))
         last = last.join(sums.hint("merge"), ["__r", "kind", "__b"]).withColumn("n", F.col("n") + F.col("__before"))
-    entry = last.select("__r", "original", F.struct(redact._placeholder(F.col("kind"), F.col("n"), None).alias("placeholder"), "original", "kind").alias("e"))
+    entry = last.select(
+        "__r", "original", F.struct(redact._placeholder(F.col("kind"), F.col("n"), None).alias("placeholder"), "original", "kind").alias("e"),
+    )
     values = tagged.select("__r", "__t", F.col("__s.text").alias("original")).distinct()
     own = values.join(entry.hint("merge"), ["__r", "original"]).groupBy("__r", "__t").agg(F.sort_array(F.collect_list("e")).alias("reverse_map"))
     own = own.hint("merge")
-    df = df.join(own, (df[request] == own["__r"]) & (df[turn] == own["__t"]), "left").drop("__r", "__t").withColumn("reverse_map", F.coalesce("reverse_map", F.array().cast(redact.ENTRIES)))
+    df = df.join(own, (df[request] == own["__r"]) & (df[turn] == own["__t"]), "left").drop("__r", "__t").withColumn(
+        "reverse_map", F.coalesce("reverse_map", F.array().cast(redact.ENTRIES)),
+    )
     df = df.withColumn("placeholders", redact.placeholders(F.col("spans"), F.col("reverse_map")))
     return df.withColumn("redacted", redact.splice(F.col(text), F.col("spans"), F.col("placeholders")))
 
@@ -192,7 +227,18 @@ def _known(options) -> None:
         raise ValueError(f"unknown options: {unknown}")
 
 
-def _with_parts(df: DataFrame, options, text: str, key: str, epsilon: float, seed: int, router: models.Model, rephraser: models.Model, rephrased: Column | None = None, require: bool = True) -> DataFrame:
+def _with_parts(
+    df: DataFrame,
+    options,
+    text: str,
+    key: str,
+    epsilon: float,
+    seed: int,
+    router: models.Model,
+    rephraser: models.Model,
+    rephrased: Column | None = None,
+    require: bool = True,
+) -> DataFrame:
     """Adds what the options are made of: the route, the rephrased text and whether it passes, the
     noised text.  ``rephrased`` says which rows are rephrased (null: all)."""
     if any(o.startswith("A") for o in options):
@@ -230,7 +276,17 @@ def _option(o: str, text: str, epsilon: float) -> tuple[Column, Column, bool]:
     return F.when(local, "A+B+C(local)").otherwise(sent), F.when(local, nothing).otherwise(said), True
 
 
-def runs(samples: DataFrame, options=OPTIONS, epsilon: float = 4.0, router: models.Model = models.short_is_trivial, rephraser: models.Model = models.soft_rephrase, first: int | None = None, seed: int = 0, carry: tuple[str, ...] = (), **kw) -> DataFrame:
+def runs(
+    samples: DataFrame,
+    options=OPTIONS,
+    epsilon: float = 4.0,
+    router: models.Model = models.short_is_trivial,
+    rephraser: models.Model = models.soft_rephrase,
+    first: int | None = None,
+    seed: int = 0,
+    carry: tuple[str, ...] = (),
+    **kw,
+) -> DataFrame:
     """One row per sample and option: (sample_id, workload, text, option_name, label, outgoing,
     detections, carried columns).  Every option reads the same detection; the policy is not applied
     here."""
@@ -243,11 +299,39 @@ def runs(samples: DataFrame, options=OPTIONS, epsilon: float = 4.0, router: mode
     rows = []
     for o in options:
         label, outgoing, counts = _option(o, "text", epsilon)
-        rows.append(F.struct(F.lit(o).alias("option_name"), label.alias("label"), outgoing.alias("outgoing"), (F.col("spans") if counts else spans.no_spans()).alias("detections")))
-    return df.select("sample_id", "workload", "text", *carry, F.explode(F.array(*rows)).alias("r")).select("sample_id", "workload", "text", *carry, "r.*")
-
-
-def online(df: DataFrame, option: str, model: models.Model, text: str = "text", key: str = "id", role: str | None = None, local: models.Model | None = None, router: models.Model = models.short_is_trivial, rephraser: models.Model = models.soft_rephrase, policy=DEFAULT_POLICY, strict: bool = True, require: bool = True, epsilon: float = 4.0, seed: int = 0, enclave: tuple[Column, Column] | None = None, threads: int = 1, retries: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
+        rows.append(
+            F.struct(
+                F.lit(o).alias("option_name"),
+                label.alias("label"),
+                outgoing.alias("outgoing"),
+                (F.col("spans") if counts else spans.no_spans()).alias("detections"),
+            )
+        )
+    return df.select(
+        "sample_id", "workload", "text", *carry, F.explode(F.array(*rows)).alias("r"),
+    ).select("sample_id", "workload", "text", *carry, "r.*")
+
+
+def online(
+    df: DataFrame,
+    option: str,
+    model: models.Model,
+    text: str = "text",
+    key: str = "id",
+    role: str | None = None,
+    local: models.Model | None = None,
+    router: models.Model = models.short_is_trivial,
+    rephraser: models.Model = models.soft_rephrase,
+    policy=DEFAULT_POLICY,
+    strict: bool = True,
+    require: bool = True,
+    epsilon: float = 4.0,
+    seed: int = 0,
+    enclave: tuple[Column, Column] | None = None,
+    threads: int = 1,
+    retries: int = 0,
+    **kw,
+) -> tuple[DataFrame, DataFrame]:
     """(answered, refused) of an option that sends text: what leaves is sent to the model, its answer
     restored and audited.  Trivial requests of A go to the ``local`` model.  Where there is a ``role``
     only messages of the user are rephrased.  D needs the enclave's id and measurements; what is not
@@ -269,13 +353,17 @@ def online(df: DataFrame, option: str, model: models.Model, text: str = "text",
     sent = models.with_answer(sent, F.when(~here, F.col("outgoing")), "response", model, threads, retries)
     if local is not None:
         sent = models.with_answer(sent, F.when(here, F.col(text)), "__local", local, threads, retries)
-        sent = sent.withColumn("response", F.coalesce("response", "__local")).withColumn("response_error", F.coalesce("response_error", "__local_error")).drop("__local", "__local_error")
+        sent = sent.withColumn("response", F.coalesce("response", "__local")).withColumn(
+            "response_error", F.coalesce("response_error", "__local_error"),
+        ).drop("__local", "__local_error")
     back = redact.restore(F.col("response"), F.col("reverse_map")) if counts else F.col("response")
     own = [c for c in df.columns if c.startswith("__") and c in ("__route", "__said", "__ok", "__noise")]
     return sent.withColumn("restored", back).drop("refusal", *own), df.filter("refusal IS NOT NULL").drop(*own)
 
 
-def configured(df: DataFrame, config: Config, model: models.Model, text: str = "text", key: str = "id", reviewer: models.Model | None = None, **kw) -> tuple[DataFrame, DataFrame]:
+def configured(
+    df: DataFrame, config: Config, model: models.Model, text: str = "text", key: str = "id", reviewer: models.Model | None = None, **kw,
+) -> tuple[DataFrame, DataFrame]:
     """``online`` with the option, policy, patterns, recogniser and limits of a configuration."""
     p, r = config.pipeline, config.recogniser
     own = registry(custom_patterns(config.policy.patterns_file or None))
@@ -288,4 +376,6 @@ def configured(df: DataFrame, config: Config, model: models.Model, text: str = "
 def route_share(routes: DataFrame) -> DataFrame:
     """Percent of requests answered locally, by option."""
     local = F.count_if(F.upper(F.col("classification")) == "TRIVIAL")
-    return routes.groupBy("option_name").agg(local.alias("local"), (F.count(F.lit(1)) - local).alias("cloud"), (100.0 * local / F.count(F.lit(1))).alias("local_pct"))
+    return routes.groupBy("option_name").agg(
+        local.alias("local"), (F.count(F.lit(1)) - local).alias("cloud"), (100.0 * local / F.count(F.lit(1))).alias("local_pct"),
+    )

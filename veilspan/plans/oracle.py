@@ -176,7 +176,9 @@ def _noise(source: str, key: str, column: str, epsilon: float, name: str = "nois
     """name(key, noised, words, substituted)."""
     e = r"""[.,;:!?"''()\[\]{}—\-]"""
     c = f"regexp_replace(w, '^{e}+|{e}+$', '', 'g')"
-    pools = " ".join(f"WHEN pos = '{n}' THEN {[w for w in p.split()]}[(('0x' || substr(h, 9, 8))::BIGINT % {len(p.split())}) + 1]" for n, p in POOLS.items())
+    pools = " ".join(
+        f"WHEN pos = '{n}' THEN {[w for w in p.split()]}[(('0x' || substr(h, 9, 8))::BIGINT % {len(p.split())}) + 1]" for n, p in POOLS.items()
+    )
     kept = f"lower(c) IN ({', '.join(_s(w) for w in PRESERVED.split())}) OR length(c) <= 2 OR (upper(c) = c AND lower(c) <> c) OR regexp_matches(c, '\\d') OR contains(c, '_') OR contains(c, '@') OR (contains(c, '.') AND length(c) > 4)"
     pos = "CASE WHEN lower(c) LIKE '%ly' THEN 'adv' WHEN regexp_matches(lower(c), '(?:ing|ed|es|ize|ify|ate)$') THEN 'verb' WHEN regexp_matches(lower(c), '(?:ful|ous|ive|al|ent|ant|ible|able)$') THEN 'adj' ELSE 'noun' END"
     limit = f"{int(2**32 / (1 + math.exp(epsilon))):08x}"
@@ -210,15 +212,24 @@ def _parts(epsilon: float = 4.0) -> str:
 
 
 _OUT = {
-    "baseline": ("'baseline'", "text"), "D": ("'D'", "text"), "E": ("'E'", "''"), "F": ("'F'", "''"), "G": ("'G'", "''"), "B": ("'B'", "redacted"), "B+D": ("'B+D'", "redacted"), "B+H": ("'B+H(e=4)'", "noised"),
-    "A": ("CASE WHEN local THEN 'A(local)' ELSE 'A(cloud)' END", "CASE WHEN local THEN '' ELSE text END"), "A+B": ("CASE WHEN local THEN 'A+B(local)' ELSE 'A+B(cloud)' END", "CASE WHEN local THEN '' ELSE redacted END"),
+    "baseline": ("'baseline'", "text"), "D": ("'D'", "text"), "E": ("'E'", "''"), "F": ("'F'", "''"), "G": ("'G'", "''"), "B": ("'B'", "redacted"), "B+D": ("'B+D'", "redacted"), "B+H": (
+        "'B+H(e=4)'", "noised",
+    ),
+    "A": ("CASE WHEN local THEN 'A(local)' ELSE 'A(cloud)' END", "CASE WHEN local THEN '' ELSE text END"), "A+B": (
+        "CASE WHEN local THEN 'A+B(local)' ELSE 'A+B(cloud)' END", "CASE WHEN local THEN '' ELSE redacted END",
+    ),
     "B+C": ("CASE WHEN ok THEN 'B+C' ELSE 'B(C-rejected)' END", "CASE WHEN ok THEN said ELSE redacted END"),
-    "A+B+C": ("CASE WHEN local THEN 'A+B+C(local)' WHEN ok THEN 'A+B+C(cloud)' ELSE 'A+B+C(cloud,C-rejected)' END", "CASE WHEN local THEN '' WHEN ok THEN said ELSE redacted END"),
+    "A+B+C": (
+        "CASE WHEN local THEN 'A+B+C(local)' WHEN ok THEN 'A+B+C(cloud)' ELSE 'A+B+C(cloud,C-rejected)' END",
+        "CASE WHEN local THEN '' WHEN ok THEN said ELSE redacted END",
+    ),
 }
 
 
 def _runs(options=OPTIONS) -> str:
-    rows = " UNION ALL ".join(f"SELECT id AS sample_id, workload, '{o}' AS option_name, {_OUT[o][0]} AS label, text, {_OUT[o][1]} AS outgoing FROM parts" for o in options)
+    rows = " UNION ALL ".join(
+        f"SELECT id AS sample_id, workload, '{o}' AS option_name, {_OUT[o][0]} AS label, text, {_OUT[o][1]} AS outgoing FROM parts" for o in options
+    )
     return f"runs AS ({rows})"
 
 
@@ -248,13 +259,19 @@ RULES = [
     ("iban", 0.9, r"(\b)([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"),
     ("url", 0.7, rf"""(\b)(https?://[^{_BLANK}<>"']+)"""),
     ("ip_address", 0.8, r"(\b)((?:\d{1,3}\.){3}\d{1,3})\b"),
-    ("date_time", 0.55, r"(\b)(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|today|yesterday|tomorrow)\b"),
+    (
+        "date_time",
+        0.55,
+        r"(\b)(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|today|yesterday|tomorrow)\b",
+    ),
 ]
 
 
 def _entities() -> str:
     """told(id, kind, s, e, t, c, ord): the first rule of equal offsets, less what is no entity."""
-    parts = [f"SELECT id, kind, ord, s, s + length(t) AS e, t, {c}::DOUBLE AS c FROM ({_of_shape('samples', 'id', kind, rx, True, 1000 + i)})" for i, (kind, c, rx) in enumerate(RULES)]
+    parts = [
+        f"SELECT id, kind, ord, s, s + length(t) AS e, t, {c}::DOUBLE AS c FROM ({_of_shape('samples', 'id', kind, rx, True, 1000 + i)})" for i, (kind, c, rx) in enumerate(RULES)
+    ]
     plain = "lower(trim(t))"
     wrong = f"{plain} IN ({', '.join(_s(w) for w in NOT_ENTITIES.split())}) OR (length({plain}) <= 2 AND kind NOT IN ('ssn', 'ip_address')) OR {plain} IN ({', '.join(_s(w) for w in DRUGS.split())}) OR regexp_matches({plain}, '^(?:dob|ssn|ein|tin|mrn)\\s')"
     return f"seen AS ({' UNION ALL '.join(parts)}), told AS (SELECT * FROM seen WHERE NOT ({wrong}) QUALIFY row_number() OVER (PARTITION BY id, s, e ORDER BY ord) = 1)"
@@ -274,7 +291,9 @@ ROLE = "CASE WHEN workload = 'wl3_implicit' THEN 'assistant' ELSE 'user' END"
 
 
 def _findings(c: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({c}, {_s(rx)}) THEN {_s(label)} END" for label, rx in CHECKS) + "], lambda x: x IS NOT NULL)"
+    return "list_filter([" + ", ".join(
+        f"CASE WHEN regexp_matches({c}, {_s(rx)}) THEN {_s(label)} END" for label, rx in CHECKS
+    ) + "], lambda x: x IS NOT NULL)"
 
 
 def _counts() -> str:
@@ -303,7 +322,14 @@ _EVALS = "(SELECT DISTINCT ON (eval_id) * FROM eval_rows ORDER BY eval_id, repor
 
 def _lines(style: str) -> str:
     n = lambda c, fmt, gone: f"CASE WHEN {c} IS NULL OR isnan({c}) THEN '{gone}' ELSE printf('{fmt}', {c}) END"
-    cells = ["option_name", "workload", "num_samples::VARCHAR", *[n(c, "%.3f", "") for c in ("exact_leak_rate", "partial_leak_rate", "combined_leak_rate", "false_positive_rate")], n("quality_delta", "%+.3f", "---"), n("latency_ms_median", "%.1f", "---")]
+    cells = [
+        "option_name",
+        "workload",
+        "num_samples::VARCHAR",
+        *[n(c, "%.3f", "") for c in ("exact_leak_rate", "partial_leak_rate", "combined_leak_rate", "false_positive_rate")],
+        n("quality_delta", "%+.3f", "---"),
+        n("latency_ms_median", "%.1f", "---"),
+    ]
     line = f"'  ' || concat_ws(' & ', {', '.join(cells)}) || ' \\\\'" if style == "latex" else f"'| ' || concat_ws(' | ', {', '.join(cells)}) || ' |'"
     return f"SELECT option_name, workload, {line} AS line FROM {_EVALS}"
 
@@ -344,13 +370,23 @@ def oracle_sql() -> dict[str, str]:
         "leak_audit": f"{red}, s AS (SELECT m.id, count_if(contains(r.redacted, m.t)) AS sent, count(*) AS d FROM merged m JOIN redacted r ON m.id = r.id GROUP BY m.id) SELECT r.id, strlen(redacted)::BIGINT AS outgoing_bytes, coalesce(d, 0)::BIGINT AS detected, coalesce(sent, 0)::BIGINT AS sent FROM redacted r LEFT JOIN s ON r.id = s.id WHERE r.text IS NOT NULL",
         "strict_refusals": f"{base} SELECT id, count(*)::BIGINT AS reasons, string_agg(substr(t, 1, 8) || '...', '|' ORDER BY s) AS previews FROM merged WHERE kind = 'hostname_internal' GROUP BY id",
         "leak_summary": _leak_query(_sums("workload, option_name")),
-        "leak_by_sample": _leak_query(f"SELECT sample_id, option_name, total_annotations, exact_leaks, partial_leaks, combined_leak_rate FROM ({_sums('sample_id, option_name')})"),
-        "leak_by_kind": _leak_query("SELECT option_name, kind, count(*)::BIGINT AS total, sum(exact)::BIGINT AS leaked, avg(exact)::DOUBLE AS rate FROM leaks GROUP BY 1, 2"),
-        "leak_breakdown": _leak_query("SELECT kind, rate, '| ' || kind || ' | ' || printf('%.3f', rate) || ' |' AS line FROM (SELECT kind, avg(exact)::DOUBLE AS rate FROM leaks WHERE option_name = 'B' AND kind IS NOT NULL GROUP BY 1)"),
+        "leak_by_sample": _leak_query(
+            f"SELECT sample_id, option_name, total_annotations, exact_leaks, partial_leaks, combined_leak_rate FROM ({_sums('sample_id, option_name')})"
+        ),
+        "leak_by_kind": _leak_query(
+            "SELECT option_name, kind, count(*)::BIGINT AS total, sum(exact)::BIGINT AS leaked, avg(exact)::DOUBLE AS rate FROM leaks GROUP BY 1, 2"
+        ),
+        "leak_breakdown": _leak_query(
+            "SELECT kind, rate, '| ' || kind || ' | ' || printf('%.3f', rate) || ' |' AS line FROM (SELECT kind, avg(exact)::DOUBLE AS rate FROM leaks WHERE option_name = 'B' AND kind IS NOT NULL GROUP BY 1)"
+        ),
         "false_positive_rate": f"{base}, {_ANN}, {_FALSE} SELECT workload, option_name, detections, unmatched, false_positive_rate FROM fp",
         "token_cost": f"{parts}, {_runs()}, t AS (SELECT workload, option_name, len({_words('text')})::BIGINT AS a, len({_words('outgoing')})::BIGINT AS b FROM runs) SELECT workload, option_name, count(*)::BIGINT AS samples, sum(a)::BIGINT AS original_tokens, sum(b)::BIGINT AS outgoing_tokens, sum(b - a)::BIGINT AS delta, avg(CASE WHEN a > 0 THEN 100.0::DOUBLE * (b - a) / a ELSE 0 END) AS mean_delta_pct FROM t GROUP BY 1, 2",
-        "option_matrix": _leak_query(f"SELECT option_name, {cells} FROM (SELECT option_name, workload, sum(exact + partial)::DOUBLE / count(*) AS rate FROM leaks GROUP BY 1, 2) GROUP BY option_name"),
-        "evaluation": _leak_query(f"SELECT l.*, coalesce(f.false_positive_rate, 0.0) AS false_positive_rate FROM ({_sums('workload, option_name')}) l LEFT JOIN fp f ON l.workload = f.workload AND l.option_name = f.option_name"),
+        "option_matrix": _leak_query(
+            f"SELECT option_name, {cells} FROM (SELECT option_name, workload, sum(exact + partial)::DOUBLE / count(*) AS rate FROM leaks GROUP BY 1, 2) GROUP BY option_name"
+        ),
+        "evaluation": _leak_query(
+            f"SELECT l.*, coalesce(f.false_positive_rate, 0.0) AS false_positive_rate FROM ({_sums('workload, option_name')}) l LEFT JOIN fp f ON l.workload = f.workload AND l.option_name = f.option_name"
+        ),
         "option_labels": f"{parts}, {_runs()} SELECT option_name, label, count(*)::BIGINT AS n FROM runs GROUP BY 1, 2",
         "semantic_leaks": f"{parts}, {_runs(('baseline', 'B', 'E'))} SELECT workload, option_name, count(*)::BIGINT AS samples, round(avg((contains(outgoing, ' who ') OR contains(outgoing, ' turned '))::INT), 4)::DOUBLE AS semantic_leak_rate FROM runs WHERE workload = 'wl3_implicit' GROUP BY 1, 2",
         "utility": f"{red}, w AS (SELECT s.workload, {distinct('r.text')} AS a, {distinct('r.redacted')} AS b, r.text, r.redacted, (length(r.redacted) - length(replace(r.redacted, '⟨', ''))) AS holes FROM redacted r JOIN samples s ON r.id = s.id WHERE r.text IS NOT NULL), j AS (SELECT workload, CASE WHEN holes > 9 THEN 'tie' WHEN holes > 3 THEN 'baseline' ELSE 'redacted' END AS preference, CASE WHEN holes > 9 THEN 0.0 ELSE holes / 10.0::DOUBLE END AS score, (trim(text) = '' OR trim(redacted) = '' OR len(list_intersect(a, b))::DOUBLE / greatest(len(list_distinct(a || b)), 1) > 0.5) AS consistent FROM w) SELECT workload, count(*)::BIGINT AS samples, count_if(preference = 'baseline')::BIGINT AS baseline, count_if(preference = 'redacted')::BIGINT AS redacted, count_if(preference = 'tie')::BIGINT AS tie, avg(score)::DOUBLE AS mean_score, avg(consistent::INT)::DOUBLE AS consistency, 100.0::DOUBLE * count_if(preference = 'baseline') / count(*) AS baseline_preferred_pct FROM j GROUP BY workload",

@@ -53,7 +53,9 @@ def _runs(s, d, options=pipeline.OPTIONS) -> DataFrame:
 def _annotations(s, d) -> DataFrame:
     """Each annotation once, its latest delivery."""
     a = table(s, d, "annotations").filter("ann_id IS NOT NULL")
-    return a.groupBy("ann_id").agg(F.max(F.struct("annotated_at", "sample_id", "kind", "text", "span_start", "span_end")).alias("x")).select("ann_id", "x.*")
+    return a.groupBy("ann_id").agg(
+        F.max(F.struct("annotated_at", "sample_id", "kind", "text", "span_start", "span_end")).alias("x")
+    ).select("ann_id", "x.*")
 
 
 def _leaks(s, d, options=pipeline.OPTIONS) -> DataFrame:
@@ -80,7 +82,9 @@ def _role() -> Column:
 
 def _unsure_of_hosts(df: DataFrame) -> DataFrame:
     """Host names held to be uncertain."""
-    return df.withColumn("spans", F.transform("spans", lambda x: x.withField("confidence", F.when(x["kind"] == "hostname_internal", 0.3).otherwise(x["confidence"]))))
+    return df.withColumn(
+        "spans", F.transform("spans", lambda x: x.withField("confidence", F.when(x["kind"] == "hostname_internal", 0.3).otherwise(x["confidence"]))),
+    )
 
 
 def _echo(prompt: str) -> str:
@@ -116,7 +120,9 @@ def policy_filter(s, d):
 def kind_categories(s, d):
     """Detections joined with the kind table, which is fixed and small."""
     k = spans.count_by_kind(_spans(s, d), "spans")
-    return k.join(F.broadcast(taxonomy.kind_table(s)), "kind", "left").select("kind", F.coalesce("category", F.lit(taxonomy.UNKNOWN)).alias("category"), "n")
+    return k.join(F.broadcast(taxonomy.kind_table(s)), "kind", "left").select(
+        "kind", F.coalesce("category", F.lit(taxonomy.UNKNOWN)).alias("category"), "n",
+    )
 
 
 def distinct_kinds(s, d):
@@ -132,7 +138,9 @@ def custom_patterns(s, d):
         f.flush()
         own = config.custom_patterns(f.name)
     pats = patterns.registry(own, patterns.PATTERNS[:2])
-    return spans.exploded(_texts(s, d).withColumn("spans", spans.detect(F.col("text"), pats)), "spans", "id").select("id", "kind", "start", "end", "text")
+    return spans.exploded(
+        _texts(s, d).withColumn("spans", spans.detect(F.col("text"), pats)), "spans", "id",
+    ).select("id", "kind", "start", "end", "text")
 
 
 def entity_spans(s, d):
@@ -142,7 +150,9 @@ def entity_spans(s, d):
 
 def reviewed_spans(s, d):
     """Patterns and entities merged, and reviewed by a stand-in that drops dates."""
-    df = pipeline.with_spans(_texts(s, d), use_ner=True, reviewer=lambda prompt: "\n".join("DROP" if "kind=date_time" in x else "KEEP" for x in prompt.splitlines()[1:]))
+    df = pipeline.with_spans(
+        _texts(s, d), use_ner=True, reviewer=lambda prompt: "\n".join("DROP" if "kind=date_time" in x else "KEEP" for x in prompt.splitlines()[1:]),
+    )
     return spans.count_by_kind(df, "spans")
 
 
@@ -165,7 +175,12 @@ def restore_roundtrip(s, d):
     """Texts that hold placeholders of their own included."""
     r = _redacted(s, d, tagged=True).filter("text IS NOT NULL")
     back = lambda f: f(F.col("redacted"), F.col("reverse_map")) == F.col("text")
-    return r.agg(F.count(F.lit(1)).alias("texts"), F.count_if(back(redact.restore)).alias("restored"), F.count_if(~back(redact.restore)).alias("not_restored"), F.count_if(back(redact.restore_once)).alias("restored_once"))
+    return r.agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.count_if(back(redact.restore)).alias("restored"),
+        F.count_if(~back(redact.restore)).alias("not_restored"),
+        F.count_if(back(redact.restore_once)).alias("restored_once"),
+    )
 
 
 def leak_audit(s, d):
@@ -175,7 +190,9 @@ def leak_audit(s, d):
 
 def strict_refusals(s, d):
     bad = pipeline.refused(_unsure_of_hosts(_spans(s, d)))
-    return bad.select("id", _long(F.size("reasons")).alias("reasons"), F.array_join(F.transform("reasons", lambda r: r["preview"]), "|").alias("previews"))
+    return bad.select(
+        "id", _long(F.size("reasons")).alias("reasons"), F.array_join(F.transform("reasons", lambda r: r["preview"]), "|").alias("previews"),
+    )
 
 
 def request_scope(s, d):
@@ -225,7 +242,12 @@ def restored_choices(s, d):
     """Two choices of an answer, restored."""
     r = models.with_answer(_redacted(s, d, tagged=True).filter("text IS NOT NULL"), F.col("redacted"), "response", _echo)
     choice = lambda i, c: F.struct(F.lit(i).alias("index"), c.alias("content"))
-    c = r.select("id", pipeline.restore_choices(F.array(choice(0, F.col("response")), choice(1, F.concat(F.lit("re: "), "response"))), F.col("reverse_map")).alias("c"))
+    c = r.select(
+        "id",
+        pipeline.restore_choices(
+            F.array(choice(0, F.col("response")), choice(1, F.concat(F.lit("re: "), "response"))), F.col("reverse_map"),
+        ).alias("c"),
+    )
     return c.select("id", _md5(F.col("c")[0]["content"]).alias("first_md5"), _md5(F.col("c")[1]["content"]).alias("second_md5"))
 
 
@@ -241,7 +263,9 @@ def sql_functions(s, d):
     sql.register(s)
     _texts(s, d).filter("text IS NOT NULL").createOrReplaceTempView("veilspan_texts")
     r = s.sql("SELECT id, redact_all(text) AS r FROM veilspan_texts")
-    return r.select("id", _md5("r.redacted").alias("redacted_md5"), _long(F.size("r.spans")).alias("spans"), _long(F.size("r.reverse_map")).alias("entries"))
+    return r.select(
+        "id", _md5("r.redacted").alias("redacted_md5"), _long(F.size("r.spans")).alias("spans"), _long(F.size("r.reverse_map")).alias("entries"),
+    )
 
 
 def counters(s, d):
@@ -257,7 +281,9 @@ def leak_summary(s, d):
 
 
 def leak_by_sample(s, d):
-    return metrics.leaks_by_sample(_leaks(s, d)).select("sample_id", "option_name", "total_annotations", "exact_leaks", "partial_leaks", "combined_leak_rate")
+    return metrics.leaks_by_sample(_leaks(s, d)).select(
+        "sample_id", "option_name", "total_annotations", "exact_leaks", "partial_leaks", "combined_leak_rate",
+    )
 
 
 def leak_by_kind(s, d):
@@ -272,7 +298,9 @@ def leak_breakdown(s, d):
 
 def false_positive_rate(s, d):
     hiding = tuple(o for o in pipeline.OPTIONS if "B" in o)
-    return metrics.false_positive_rate(_runs(s, d, hiding), _annotations(s, d)).select("workload", "option_name", "detections", "unmatched", "false_positive_rate")
+    return metrics.false_positive_rate(_runs(s, d, hiding), _annotations(s, d)).select(
+        "workload", "option_name", "detections", "unmatched", "false_positive_rate",
+    )
 
 
 def token_cost(s, d):
@@ -296,7 +324,9 @@ def option_labels(s, d):
 
 def semantic_leaks(s, d):
     r = _runs(s, d, ("baseline", "B", "E")).filter("workload = 'wl3_implicit'")
-    judged = r.withColumn("still_identifies", models.judge_yes(models.answer(F.col("outgoing"), lambda t: "YES" if " who " in t or " turned " in t else "NO")))
+    judged = r.withColumn(
+        "still_identifies", models.judge_yes(models.answer(F.col("outgoing"), lambda t: "YES" if " who " in t or " turned " in t else "NO")),
+    )
     return metrics.semantic_leaks(judged, ["workload", "option_name"])
 
 
@@ -338,7 +368,10 @@ def online_h(s, d):
 
 def online_d(s, d):
     """Texts of clients that show measurements go to an attested enclave as they are."""
-    enclave = (F.col("batch_id"), F.when(F.col("client_id").isNotNull(), F.create_map(F.lit("pcr0"), F.col("client_id"))).otherwise(F.create_map().cast("map<string,string>")))
+    enclave = (
+        F.col("batch_id"),
+        F.when(F.col("client_id").isNotNull(), F.create_map(F.lit("pcr0"), F.col("client_id"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
     sent, refused = pipeline.online(_texts(s, d, "client_id", "batch_id").filter("text IS NOT NULL"), "D", _echo, enclave=enclave)
     sent = sent.select("id", F.lit(None).cast("string").alias("refusal"), _md5("response").alias("response_md5"))
     return sent.unionByName(refused.select("id", "refusal", F.lit(None).cast("string").alias("response_md5")))
@@ -379,13 +412,22 @@ def route_decisions(s, d):
 
 def self_consistency(s, d):
     r = _redacted(s, d).filter("text IS NOT NULL")
-    return r.groupBy("workload").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(metrics.self_consistent(F.col("text"), F.col("redacted"))).alias("consistent"))
+    return r.groupBy("workload").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if(metrics.self_consistent(F.col("text"), F.col("redacted"))).alias("consistent"),
+    )
 
 
 def term_survival(s, d):
     t = _redacted(s, d).withColumn("terms", terms.technical_terms(F.col("text")))
     v = t.withColumn("v", terms.survival(F.col("terms"), F.col("redacted")))
-    return v.select("id", _long(F.size("terms")).alias("terms"), F.array_join("terms", "|").alias("term_list"), _long(F.size("v.surviving")).alias("surviving"), "v.survival_rate", "v.valid")
+    return v.select(
+        "id",
+        _long(F.size("terms")).alias("terms"),
+        F.array_join("terms", "|").alias("term_list"),
+        _long(F.size("v.surviving")).alias("surviving"),
+        "v.survival_rate",
+        "v.valid",
+    )
 
 
 def sample_prefix(s, d):
@@ -413,12 +455,18 @@ def mpc_shares(s, d):
 
 def split_activation(s, d):
     a = _documents(s, d).filter("text IS NOT NULL").withColumn("a", pipeline.split_activation(F.col("text")))
-    return a.select("doc_id", F.aggregate("a.token_ids", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("id_sum"), _long(F.col("a.activation_shape")[0]).alias("tokens"))
+    return a.select(
+        "doc_id",
+        F.aggregate("a.token_ids", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("id_sum"),
+        _long(F.col("a.activation_shape")[0]).alias("tokens"),
+    )
 
 
 def dp_noise(s, d):
     n = _texts(s, d).filter("text IS NOT NULL").withColumn("n", noise.noised(F.col("text"), F.col("id"), epsilon=1.0))
-    return n.select("id", _md5("n.text").alias("noised_md5"), _long(F.col("n.words")).alias("words"), _long(F.col("n.substituted")).alias("substituted"))
+    return n.select(
+        "id", _md5("n.text").alias("noised_md5"), _long(F.col("n.words")).alias("words"), _long(F.col("n.substituted")).alias("substituted"),
+    )
 
 
 def transports(s, d):
@@ -435,7 +483,9 @@ def hook_scan(s, d):
 
 def hook_payload(s, d):
     """Tool calls with the text among their strings, a number that is not read, and a list of objects."""
-    value = F.struct(F.col("text").alias("a"), F.lit(5).alias("b"), F.array(F.struct(F.col("workload").alias("new"), F.lit(7).alias("line"))).alias("c"))
+    value = F.struct(
+        F.col("text").alias("a"), F.lit(5).alias("b"), F.array(F.struct(F.col("workload").alias("new"), F.lit(7).alias("line"))).alias("c"),
+    )
     p = _texts(s, d).filter("text IS NOT NULL").select("id", metrics.tool_input_text(F.to_json(F.struct(value.alias("tool_input")))).alias("t"))
     return p.select("id", F.array_join(metrics.hook_findings(F.col("t")), "|").alias("findings"), _md5("t").alias("text_md5"))
 
@@ -448,14 +498,18 @@ def annotate_occurrences(s, d):
     t = t.select("sample_id", "whole", F.explode(spans.each("marks")).alias("m")).select("sample_id", "whole", F.col("m.text").alias("value"))
     gaps = F.expr("split(whole, concat('\\\\Q', value, '\\\\E'), -1)")
     n = F.size("gaps") - 1
-    at = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice("gaps", F.lit(1), i), (i - 1) * F.length("value"), lambda acc, g: acc + F.length(g)))
+    at = F.transform(
+        F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice("gaps", F.lit(1), i), (i - 1) * F.length("value"), lambda acc, g: acc + F.length(g)),
+    )
     return t.withColumn("gaps", gaps).filter(F.size("gaps") > 1).select("sample_id", "value", F.explode(at).alias("start"))
 
 
 def _placed(s, d) -> DataFrame:
     """Annotations that have a text beside what the sample holds at their place."""
     a = _annotations(s, d).filter("text IS NOT NULL")
-    each = a.groupBy("sample_id", F.floor(F.col("span_start") / 100_000).alias("__row")).agg(F.collect_list(F.struct("ann_id", "kind", "text", "span_start", "span_end")).alias("a"))
+    each = a.groupBy("sample_id", F.floor(F.col("span_start") / 100_000).alias("__row")).agg(
+        F.collect_list(F.struct("ann_id", "kind", "text", "span_start", "span_end")).alias("a")
+    )
     t = table(s, d, "samples").select(F.col("id").alias("sample_id"), F.col("text").alias("whole"))
     rows = each.join(t, "sample_id").select("sample_id", "whole", F.explode(spans.each("a")).alias("a"))
     there = F.substring("whole", F.col("a.span_start") + 1, F.col("a.span_end") - F.col("a.span_start"))
@@ -468,7 +522,11 @@ def validate_annotations(s, d):
 
 def _annotated_samples(s, d) -> DataFrame:
     """Samples with their well-placed annotations."""
-    ok = _placed(s, d).filter("right").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end"), "kind", "text"))).alias("annotations"))
+    ok = _placed(s, d).filter("right").groupBy("sample_id").agg(
+        F.sort_array(
+            F.collect_list(F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end"), "kind", "text"))
+        ).alias("annotations")
+    )
     t = table(s, d, "samples").filter("text IS NOT NULL").select("id", "text")
     none = F.array().cast("array<struct<start:int,end:int,kind:string,text:string>>")
     return t.join(ok, t["id"] == ok["sample_id"], "left").select("id", "text", F.coalesce("annotations", none).alias("annotations"))
@@ -484,15 +542,26 @@ def samples_roundtrip(s, d):
 def runs_roundtrip(s, d):
     path = io.scratch(s, "runs")
     r = _redacted(s, d).filter("text IS NOT NULL")
-    found = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["confidence"].alias("confidence"), x["text"].alias("text"), x["source"].alias("source")))
+    found = F.transform(
+        "spans",
+        lambda x: F.struct(x["kind"].alias("kind"), x["confidence"].alias("confidence"), x["text"].alias("text"), x["source"].alias("source")),
+    )
     none = F.lit(None).cast("string")
     rows = r.select(
         F.col("id").alias("sample_id"), F.lit("B").alias("option"), F.col("text").alias("original_text"), F.col("redacted").alias("outgoing_text"), none.alias("response_text"), none.alias("restored_text"),
-        found.alias("detections"), redact.as_map(F.col("reverse_map")).alias("reverse_map"), F.lit(1.0).alias("latency_ms"), F.lit("offline").alias("mode"),
+        found.alias("detections"), redact.as_map(
+            F.col("reverse_map")
+        ).alias("reverse_map"), F.lit(1.0).alias("latency_ms"), F.lit("offline").alias("mode"),
     )
     io.write_runs(rows, path)
     back = io.read_runs(s, path)
-    return back.select("sample_id", "option", _md5("outgoing_text").alias("outgoing_md5"), _long(F.size("detections")).alias("detections"), _long(F.size("reverse_map")).alias("entries"))
+    return back.select(
+        "sample_id",
+        "option",
+        _md5("outgoing_text").alias("outgoing_md5"),
+        _long(F.size("detections")).alias("detections"),
+        _long(F.size("reverse_map")).alias("entries"),
+    )
 
 
 def published(s, d):
@@ -508,7 +577,9 @@ def request_bodies(s, d):
     t = _texts(s, d).filter("text IS NOT NULL")
     block = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
     message = F.struct(F.lit("user").alias("role"), F.array(block).alias("content"))
-    tools = F.when(F.col("workload") == "wl4_code", F.array(F.struct(F.lit("function").alias("type"), F.struct(F.lit("run").alias("name")).alias("function"))))
+    tools = F.when(
+        F.col("workload") == "wl4_code", F.array(F.struct(F.lit("function").alias("type"), F.struct(F.lit("run").alias("name")).alias("function"))),
+    )
     raw = t.select("id", F.to_json(F.struct(F.lit("m").alias("model"), F.array(message).alias("messages"), tools.alias("tools"))).alias("value"))
     raw = raw.unionByName(t.select(F.concat("id", F.lit("/broken")).alias("id"), F.lit("{no request").alias("value")))
     b = io.request_bodies(raw, keep=("id",))
@@ -517,14 +588,25 @@ def request_bodies(s, d):
 
 
 def forwarded_headers(s, d):
-    h = F.create_map(F.lit("Host"), F.lit("h"), F.lit("X-Batch"), F.col("batch_id"), F.lit("X-Client"), F.coalesce("client_id", F.lit("-")), F.lit("Connection"), F.lit("close"))
+    h = F.create_map(
+        F.lit("Host"),
+        F.lit("h"),
+        F.lit("X-Batch"),
+        F.col("batch_id"),
+        F.lit("X-Client"),
+        F.coalesce("client_id", F.lit("-")),
+        F.lit("Connection"),
+        F.lit("close"),
+    )
     kept = models.forwarded_headers(h)
     pairs = F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return table(s, d, "samples").select("id", F.array_join(pairs, "|").alias("headers"))
 
 
 def generated_workloads(s, d):
-    parts = [workloads.generate(s, w).select("id", "text", F.size("annotations").alias("annotations"), F.lit(w).alias("workload")) for w in workloads.SIZES]
+    parts = [
+        workloads.generate(s, w).select("id", "text", F.size("annotations").alias("annotations"), F.lit(w).alias("workload")) for w in workloads.SIZES
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -541,7 +623,9 @@ def session_cap(s, d):
 def session_restore(s, d):
     """Texts restored by the sessions that are still there."""
     r = _redacted(s, d, "batch_id", "created_at", tagged=True).filter("text IS NOT NULL").withColumnRenamed("id", "session_id")
-    alive = streams.live_sessions(r.filter("created_at IS NOT NULL").select("session_id", "batch_id", "created_at"), 50, ["batch_id"]).select("session_id")
+    alive = streams.live_sessions(
+        r.filter("created_at IS NOT NULL").select("session_id", "batch_id", "created_at"), 50, ["batch_id"],
+    ).select("session_id")
     sessions = r.select("session_id", "reverse_map").join(alive, "session_id")
     done, _ = streams.restore_session(r.select("session_id", F.col("redacted").alias("text")), sessions)
     return done.select("session_id", _md5("text").alias("text_md5"), "error")
@@ -570,11 +654,15 @@ def stream_restore(s, d):
     entries = F.transform("reverse_map", lambda e: F.struct(e["placeholder"].alias("placeholder"), e["original"].alias("original")))
     maps = r.select(F.col("id").alias("request_id"), entries.alias("reverse_map"))
     first = _pieces(r, "redacted", 97).join(maps, "request_id").withColumn("choice", F.lit(0))
-    second = _pieces(r, "text", 97).withColumn("reverse_map", F.array().cast("array<struct<placeholder:string,original:string>>")).withColumn("choice", F.lit(1))
+    second = _pieces(r, "text", 97).withColumn(
+        "reverse_map", F.array().cast("array<struct<placeholder:string,original:string>>"),
+    ).withColumn("choice", F.lit(1))
     path = io.scratch(s, "deltas")
     first.unionByName(second).write.parquet(f"{path}/in")
     stream = s.readStream.schema(s.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
-    q = streams.restore_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q = streams.restore_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation", f"{path}/state",
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     whole = s.read.parquet(f"{path}/out").groupBy("request_id", "choice").agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("d"))
     return whole.select("request_id", "choice", _md5(F.array_join(F.transform("d", lambda x: x["delta"]), "")).alias("restored_md5"))

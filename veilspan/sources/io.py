@@ -63,7 +63,9 @@ def request_bodies(raw: DataFrame, column: str = "value", keep: tuple[str, ...]
 def message_text(message: Column) -> Column:
     """The text of a message: its string, or its text blocks joined by newlines."""
     content = message["content"]
-    blocks = F.coalesce(F.try_variant_get(content, "$", "array<struct<type:string,text:string>>"), F.array().cast("array<struct<type:string,text:string>>"))
+    blocks = F.coalesce(
+        F.try_variant_get(content, "$", "array<struct<type:string,text:string>>"), F.array().cast("array<struct<type:string,text:string>>"),
+    )
     texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
     text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.array_join(texts, "\n"))
     return F.when(content.isNotNull(), text)
@@ -117,7 +119,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame | None:
 
 def table_lines(report: DataFrame, style: str = "markdown") -> DataFrame:
     """(option_name, workload, line): a formatted line per report row."""
-    cells = [F.col("option_name"), F.col("workload"), F.col("num_samples").cast("string"), *[_fixed(F.col(c), 3) for c in _RATES], _fixed(F.col("quality_delta").cast("double"), 3, "---", "+"), _fixed(F.col("latency_ms_median").cast("double"), 1, "---")]
+    cells = [
+        F.col("option_name"),
+        F.col("workload"),
+        F.col("num_samples").cast("string"),
+        *[_fixed(F.col(c), 3) for c in _RATES],
+        _fixed(F.col("quality_delta").cast("double"), 3, "---", "+"),
+        _fixed(F.col("latency_ms_median").cast("double"), 1, "---"),
+    ]
     if style == "latex":
         line = F.concat(F.lit("  "), F.concat_ws(" & ", *cells), F.lit(" \\\\"))
     else:
@@ -127,7 +136,9 @@ def table_lines(report: DataFrame, style: str = "markdown") -> DataFrame:
 
 def kind_breakdown_lines(by_kind: DataFrame) -> DataFrame:
     """Leak rates per kind, highest first, ties by kind."""
-    return by_kind.orderBy(F.desc("rate"), "kind").select("kind", "rate", F.concat(F.lit("| "), F.col("kind"), F.lit(" | "), _fixed(F.col("rate"), 3), F.lit(" |")).alias("line"))
+    return by_kind.orderBy(F.desc("rate"), "kind").select(
+        "kind", "rate", F.concat(F.lit("| "), F.col("kind"), F.lit(" | "), _fixed(F.col("rate"), 3), F.lit(" |")).alias("line"),
+    )
 
 
 def parse_breakdown(spark: SparkSession, path: str) -> DataFrame:

@@ -33,7 +33,28 @@ POOLS = {
     "noun": "ledger profile invoice session audit roster".split(),
     "verb": "sync load merge validate rotate export".split(),
 }
-KIND_OF_SLOT = {"person": "person", "other": "person", "email": "email", "phone": "phone", "address": "address", "ssn": "ssn", "employee": "employee_id", "company": "org_name", "ip": "ip_address", "host": "hostname", "awsid": "aws_access_key", "awskey": "aws_secret_key", "apikey": "api_key", "password": "password", "token": "token", "project": "project_name", "function": "internal_function", "database": "database_name", "tablename": "table_name", "implicit": "implicit"}
+KIND_OF_SLOT = {
+    "person": "person",
+    "other": "person",
+    "email": "email",
+    "phone": "phone",
+    "address": "address",
+    "ssn": "ssn",
+    "employee": "employee_id",
+    "company": "org_name",
+    "ip": "ip_address",
+    "host": "hostname",
+    "awsid": "aws_access_key",
+    "awskey": "aws_secret_key",
+    "apikey": "api_key",
+    "password": "password",
+    "token": "token",
+    "project": "project_name",
+    "function": "internal_function",
+    "database": "database_name",
+    "tablename": "table_name",
+    "implicit": "implicit",
+}
 
 TEMPLATES = {
     "wl1_pii": [
@@ -58,7 +79,11 @@ TEMPLATES = {
         "def {function}(x):\n    \"\"\"Used by {company}.\"\"\"\n    return x", "INSERT INTO {tablename} VALUES ('{email}', '{ip}')", "host = '{host}'\nkey = '{apikey}'", "class {project_class}:\n    table = '{tablename}'",
     ],
 }
-IMPLICIT = [f"{who} {what}" for who in ("the director", "the nurse", "the auditor", "the founder", "the engineer", "the translator", "the goalkeeper") for what in ("who left {company} after the merger", "on the {team} team with the blue boat", "from {city} whose twin runs the clinic")]
+IMPLICIT = [
+    f"{who} {what}" for who in ("the director", "the nurse", "the auditor", "the founder", "the engineer", "the translator", "the goalkeeper") for what in (
+        "who left {company} after the merger", "on the {team} team with the blue boat", "from {city} whose twin runs the clinic",
+    )
+]
 _CHARS = string.ascii_letters + string.digits
 
 
@@ -92,8 +117,12 @@ def _slot(name: str, d: _Draw) -> str:
         return d.pick(IMPLICIT).format(company=d.pick(p["company"]), team=d.pick(p["team"]), city=d.pick(p["city"]))
     simple = {
         "ssn": lambda: f"{900 + num(100)}-{10 + num(90)}-{1000 + num(9000)}", "employee": lambda: f"EMP-{10000 + num(90000)}", "ip": lambda: f"203.0.113.{1 + num(254)}",
-        "host": lambda: f"{d.pick(p['noun'])}-{num(100):02d}.internal", "awsid": lambda: "AKIA" + d.chars(16, string.ascii_uppercase + string.digits), "awskey": lambda: d.chars(40, _CHARS + "/+"),
-        "apikey": lambda: d.chars(24 + num(25)), "password": lambda: d.chars(12 + num(13), _CHARS + "!#%_"), "token": lambda: d.chars(40 + num(41)), "database": lambda: f"{d.pick(p['noun'])}_{d.pick(p['env'])}",
+        "host": lambda: f"{d.pick(p['noun'])}-{num(100):02d}.internal", "awsid": lambda: "AKIA" + d.chars(
+            16, string.ascii_uppercase + string.digits,
+        ), "awskey": lambda: d.chars(40, _CHARS + "/+"),
+        "apikey": lambda: d.chars(24 + num(25)), "password": lambda: d.chars(
+            12 + num(13), _CHARS + "!#%_",
+        ), "token": lambda: d.chars(40 + num(41)), "database": lambda: f"{d.pick(p['noun'])}_{d.pick(p['env'])}",
         "function": lambda: f"_{d.pick(p['verb'])}_{d.pick(p['noun'])}", "tablename": lambda: f"{d.pick(p['noun'])}_t{1 + num(99)}", "project_class": lambda: d.pick(p["project"]).title().replace(" ", ""),
     }
     return simple[name]() if name in simple else d.pick(p[name])
@@ -112,7 +141,9 @@ def sample(workload: str, row: int, seed: int) -> tuple[str, list[dict]]:
     template = TEMPLATES[workload][row % len(TEMPLATES[workload])]
     values = {s: _slot(s, d) for s in dict.fromkeys(re.findall(r"{(\w+)}", template))}
     text = template.format(**values)
-    marks = [{"start": a, "end": b, "kind": KIND_OF_SLOT[s], "text": v} for s, v in values.items() if s in KIND_OF_SLOT for a, b in occurrences(text, v)]
+    marks = [
+        {"start": a, "end": b, "kind": KIND_OF_SLOT[s], "text": v} for s, v in values.items() if s in KIND_OF_SLOT for a, b in occurrences(text, v)
+    ]
     return text, marks
 
 

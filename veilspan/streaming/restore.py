@@ -55,10 +55,19 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     body = F.when(F.col(column).startswith("data: "), F.expr(f"substring({column}, 7)"))
     event = F.from_json(body, "type string, index int, delta struct<text:string>, choices array<struct<index:int,delta:struct<content:string>>>")
     rows = lines.select("*", body.alias("__b"), event.alias("__e"))
-    block = F.when(F.col("__e.type") == "content_block_delta", F.array(F.struct(F.col("__e.index").alias("index"), F.struct(F.col("__e.delta.text").alias("content")).alias("delta"))))
+    block = F.when(
+        F.col("__e.type") == "content_block_delta",
+        F.array(F.struct(F.col("__e.index").alias("index"), F.struct(F.col("__e.delta.text").alias("content")).alias("delta"))),
+    )
     rows = rows.select("*", F.explode_outer(F.coalesce("__e.choices", block)).alias("__c"))
     done = F.coalesce((F.trim("__b") == "[DONE]") | (F.col("__e.type") == "message_stop"), F.lit(False))
-    return rows.select(*lines.columns, done.alias("done"), (F.col("__c").isNull() & ~done).alias("passed_through"), F.coalesce("__c.index", F.lit(0)).alias("choice"), F.col("__c.delta.content").alias("delta"))
+    return rows.select(
+        *lines.columns,
+        done.alias("done"),
+        (F.col("__c").isNull() & ~done).alias("passed_through"),
+        F.coalesce("__c.index", F.lit(0)).alias("choice"),
+        F.col("__c.delta.content").alias("delta"),
+    )
 
 
 def restore_stream(deltas: DataFrame, mode: str = "holdback") -> DataFrame:
@@ -83,7 +92,9 @@ def restore_stream(deltas: DataFrame, mode: str = "holdback") -> DataFrame:
         state.remove() if ended else state.update((kept, shown))
         yield pd.DataFrame({"request_id": key[0], "choice": key[1], "seq": rows["seq"], "delta": out})
 
-    return deltas.groupBy("request_id", "choice").applyInPandasWithState(step, "request_id string, choice int, seq bigint, delta string", "kept string, shown string", "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("request_id", "choice").applyInPandasWithState(
+        step, "request_id string, choice int, seq bigint, delta string", "kept string, shown string", "append", GroupStateTimeout.NoTimeout,
+    )
 
 
 def restore_batch(deltas: DataFrame, maps: DataFrame) -> DataFrame:
@@ -92,7 +103,11 @@ def restore_batch(deltas: DataFrame, maps: DataFrame) -> DataFrame:
     whole = deltas.groupBy("request_id", "choice").agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("d"))
     text = F.array_join(F.transform("d", lambda x: F.coalesce(x["delta"], F.lit(""))), "")
     both = whole.select("request_id", "choice", text.alias("text")).join(maps.select("request_id", "reverse_map"), "request_id", "left")
-    return both.select("request_id", "choice", F.when(F.col("reverse_map").isNull(), F.col("text")).otherwise(restore(F.col("text"), F.col("reverse_map"))).alias("restored"))
+    return both.select(
+        "request_id",
+        "choice",
+        F.when(F.col("reverse_map").isNull(), F.col("text")).otherwise(restore(F.col("text"), F.col("reverse_map"))).alias("restored"),
+    )
 
 
 # ---------------------------------------------------------------- sessions
@@ -107,13 +122,17 @@ def live_sessions(sessions: DataFrame, cap: int = 2000, by: list[str] | None = N
     by = by or []
     name = dict(sessions.dtypes)["created_at"]
     time = F.unix_micros("created_at") if name.startswith("timestamp") and "ntz" not in name else F.col("created_at").cast("bigint")
-    rows = sessions.filter("created_at IS NOT NULL").withColumn("__t", time).withColumn("__m", F.conv(F.substring(F.md5(F.col("session_id").cast("string").cast("binary")), 1, 12), 16, 10).cast("bigint"))
+    rows = sessions.filter("created_at IS NOT NULL").withColumn("__t", time).withColumn(
+        "__m", F.conv(F.substring(F.md5(F.col("session_id").cast("string").cast("binary")), 1, 12), 16, 10).cast("bigint"),
+    )
     ends = rows.agg(F.min("__t").alias("low"), F.max("__t").alias("high")).first()
     if ends["low"] is None:
         return sessions.limit(0)
     bits = max(1, (ends["high"] - ends["low"]).bit_length())
     bits += -bits % DIGIT
-    digits = [(F.col("__t") - ends["low"], bits - DIGIT * (i + 1)) for i in range(bits // DIGIT)] + [(F.col("__m"), 48 - DIGIT * (i + 1)) for i in range(4)]
+    digits = [
+        (F.col("__t") - ends["low"], bits - DIGIT * (i + 1)) for i in range(bits // DIGIT)
+    ] + [(F.col("__m"), 48 - DIGIT * (i + 1)) for i in range(4)]
     open_, kept = rows.withColumn("__left", F.lit(cap).cast("bigint")), None
     for key, shift in digits:
         open_ = open_.withColumn("__d", F.shiftright(key, shift).bitwiseAND(F.lit((1 << DIGIT) - 1)))
@@ -155,4 +174,6 @@ def detections_per_window(events: DataFrame, time: str, spans: str, width: str =
     """Detections by kind in tumbling windows; batch or stream (an extension)."""
     rows = events.withWatermark(time, late) if events.isStreaming else events
     rows = rows.select(F.col(time).alias("__t"), F.explode(F.transform(spans, lambda s: s["kind"])).alias("kind"))
-    return rows.groupBy(F.window("__t", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
+    return rows.groupBy(F.window("__t", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("window_start"), "kind", "n",
+    )
