@@ -102,7 +102,7 @@ def test_draws_take_their_quotas(spark):
 
 
 # ---------------------------------------------------------------- 3 personal information
-NAMES = pii.Names(frozenset({"ada", "nils"}), frozenset({"holm", "o'dell", "gravel"}), (), frozenset({"ada", "nils", "holm", "o'dell"}))
+NAMES = pii.Names(frozenset({"ada", "nils"}), frozenset({"holm", "o'dell", "gravel", "van-der-holm"}), (), frozenset({"ada", "nils", "holm", "o'dell"}))
 PII = [
     ("Write ada.holm+x@mail.example or ada AT mail DOT example.", [("email", "ada.holm+x@mail.example"), ("email", "ada AT mail DOT example")]),
     ("user@localhost pinned redactor@2.18.0 postgres://app:pa@db.internal:1/x", []),
@@ -113,6 +113,7 @@ PII = [
     ("Herr Holm, Alderweg 49, 35023 Fenwick", [("person", "Holm"), ("address", "Alderweg 49, 35023 Fenwick")]),
     ("Holm, Ada met N. O'Dell and nils holm; ask Ada.", [("person", "Holm, Ada"), ("person", "N. O'Dell"), ("person", "nils holm"), ("person", "Ada")]),
     ("Ada Gravel left; Gravel said so. Lantern Gravel sells gravel.", [("person", "Ada Gravel"), ("person", "Gravel")]),
+    ("O. van-der-Holm wrote", [("person", "O. van-der-Holm")]),
     ("⟨PERSON_1⟩ wrote to ⟨EMAIL_2⟩", []),
 ]
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, spread
 
 WIDTH, SIMILARITY = 5, 0.8
-FREQUENT = 256  # sets per key beyond which it is extended: below it, comparing them costs less than extensions
+FREQUENT = 1_000  # sets per key beyond which it is extended: up to there, comparing them costs less than extensions
 DEEPEST = 4  # the most shingles in a key
 FULL_PAIRS = 1_000  # square of the copies of one text beyond which each is paired with a representative only
 BLOCK = 256  # members of a class that are paired at a time

@@ -207,7 +207,8 @@ def find_names(text: str, names: Names) -> list[tuple[int, int]]:
         z = words[i + 2] if i + 2 < len(words) else None
         cap = x[6][0].isupper()
         if x[5]:
-            if y and y[4] and y[6][0].isupper() and joined(x, y, _GAP):
+            # a family name begins with a capital, or with particles that are joined to it
+            if y and y[4] and (y[6][0].isupper() or any(p[:1].isupper() for p in y[6].split("-")[1:])) and joined(x, y, _GAP):
                 out.append((x[0], y[1]))
                 i += 2
             else:
