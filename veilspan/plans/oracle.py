@@ -334,6 +334,15 @@ def _lines(style: str) -> str:
     return f"SELECT option_name, workload, {line} AS line FROM {_EVALS}"
 
 
+def _bundle() -> str:
+    head = "| Option | Workload | N | Exact | Partial | Combined | FP | Quality | Median ms |"
+    fixed = [("report.md", head), ("report.md", "|---|---|---|---|---|---|---|---|---|"), ("leak_by_kind.md", "| Kind | Leak Rate |"), ("leak_by_kind.md", "|------|----------:|")]
+    rows = ", ".join(f"({_s(f)}, {_s(x)})" for f, x in fixed)
+    kinds = "SELECT kind, avg((text IS NULL)::INT)::DOUBLE AS rate FROM marks WHERE kind IS NOT NULL GROUP BY 1"
+    return f"""WITH {_ANN} SELECT * FROM (VALUES {rows}) v(file, line) UNION ALL SELECT 'report.md', line FROM ({_lines('markdown')}) UNION ALL SELECT 'report.tex', line FROM ({_lines('latex')})
+    UNION ALL SELECT 'leak_by_kind.md', '| ' || kind || ' | ' || printf('%.3f', rate) || ' |' FROM ({kinds})"""
+
+
 def _leak_query(tail: str) -> str:
     return f"WITH {_matches()}, {_merged()}, {_redacted()}, {_ANN}, {_parts()}, {_runs()}, {_LEAKS}, {_FALSE} {tail}"
 
@@ -355,7 +364,7 @@ def oracle_sql() -> dict[str, str]:
     distinct = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '{_WS}'), lambda w: w <> ''))"
     parts = f"{red}, {_parts()}"
     ner = f"{_matches()}, {_entities()}, every AS (SELECT id, kind, ord, s, e, t, c FROM raw UNION ALL SELECT id, kind, ord, s, e, t, c FROM told), {_merged(raw='every')}"
-    return {
+    every = {
         "detect_counts_by_kind": _counts(),
         "detect_spans": f"WITH {_matches()} SELECT id, kind, s AS start, e AS \"end\", t AS text FROM raw",
         "merge_spans": f'{base} SELECT id, kind, s AS start, e AS "end" FROM merged',
@@ -439,6 +448,8 @@ def oracle_sql() -> dict[str, str]:
         "report_markdown": _lines("markdown"),
         "report_latex": _lines("latex"),
         "report_roundtrip": f"SELECT option_name, workload, combined_leak_rate FROM ({_report()})",
+        "report_bundle": _bundle(),
         "pareto": f"WITH p AS (SELECT option_name, avg(combined_leak_rate) AS leak, avg(coalesce(latency_ms_median, 0.0)) AS latency FROM {_EVALS} GROUP BY 1) SELECT option_name, leak, latency, EXISTS (SELECT 1 FROM p q WHERE (q.latency < p.latency AND q.leak <= p.leak) OR (q.latency = p.latency AND q.leak < p.leak)) AS dominated FROM p",
         "detections_per_hour": f"{base} SELECT (floor(epoch(x.created_at) / 3600) * 3600)::BIGINT AS window_start, m.kind, count(*)::BIGINT AS n FROM merged m JOIN samples x ON x.id = m.id WHERE x.created_at IS NOT NULL GROUP BY 1, 2",
     }
+    return every | {"metrics_roundtrip": every["utility"]}

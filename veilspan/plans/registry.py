@@ -713,6 +713,23 @@ def report_roundtrip(s, d):
     return io.read_csv(s, f"{path}/run*").select("option_name", "workload", F.coalesce("combined_leak_rate", F.lit("")).alias("combined_leak_rate"))
 
 
+def report_bundle(s, d):
+    """The lines of the written Markdown, LaTeX and breakdown files; the breakdown is of annotations without text."""
+    path = io.scratch(s, "bundle")
+    a = _annotations(s, d).filter("kind IS NOT NULL")
+    io.write_report(_evals(s, d), a.groupBy("kind").agg(F.avg(F.col("text").isNull().cast("double")).alias("rate")), path)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    texts = s.read.text([f"{path}/{f}" for f in ("report.md", "report.tex", "leak_by_kind.md")])
+    return texts.select(name.alias("file"), F.col("value").alias("line"))
+
+
+def metrics_roundtrip(s, d):
+    """The utility summary as JSON lines, read back."""
+    summary, path = utility(s, d), io.scratch(s, "metrics")
+    io.write_metrics(summary, path)
+    return io.read_metrics(s, path, summary)
+
+
 def pareto(s, d):
     return io.figure_data(_evals(s, d).fillna({"latency_ms_median": 0.0}))
 
@@ -723,7 +740,7 @@ _ALL = (
     leak_summary, leak_by_sample, leak_by_kind, leak_breakdown, false_positive_rate, token_cost, option_matrix, evaluation, option_labels, semantic_leaks, utility, routed, online_c, online_ab, online_h, online_d, configured,
     model_failures, latency_percentiles, route_share, route_decisions, self_consistency, term_survival, sample_prefix, pairing_join, fhe_score, mpc_shares, split_activation, dp_noise, transports, hook_scan, hook_payload,
     annotate_occurrences, validate_annotations, samples_roundtrip, runs_roundtrip, published, request_bodies, forwarded_headers, generated_workloads, session_cap, session_restore, stream_restore_final, stream_restore,
-    event_lines, report_lines, report_markdown, report_latex, report_roundtrip, pareto,
+    event_lines, report_lines, report_markdown, report_latex, report_roundtrip, report_bundle, metrics_roundtrip, pareto,
 )
 
 

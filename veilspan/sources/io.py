@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -148,18 +147,39 @@ def parse_breakdown(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("c")[1].alias("kind"), F.expr("try_cast(c[2] as double)").alias("rate")).filter("rate IS NOT NULL")
 
 
+def _put(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """One small text file, wherever Spark can write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray("\n".join([*lines, ""]).encode("utf-8")))
+    out.close()
+
+
+HEAD = ("Option", "Workload", "N", "Exact", "Partial", "Combined", "FP", "Quality", "Median ms")
+
+
 def write_report(report: DataFrame, by_kind: DataFrame, folder: str) -> None:
     """CSV, Markdown, LaTeX and the breakdown; a report has a row per option and workload, so its
     lines are gathered on the driver."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    head = ["Option", "Workload", "N", "Exact", "Partial", "Combined", "FP", "Quality", "Median ms"]
-    lines = {s: [r["line"] for r in table_lines(report, s).orderBy("option_name", "workload").collect()] for s in ("markdown", "latex")}
-    (out / "report.md").write_text("\n".join([f"| {' | '.join(head)} |", "|" + "---|" * len(head), *lines["markdown"]]) + "\n", encoding="utf-8")
-    (out / "report.tex").write_text("\n".join(lines["latex"]) + "\n", encoding="utf-8")
+    spark = report.sparkSession
+    lines = {
+        style: [r["line"] for r in table_lines(report, style).orderBy("option_name", "workload").collect()]
+        for style in ("markdown", "latex")
+    }
+    _put(spark, f"{folder}/report.md", [f"| {' | '.join(HEAD)} |", "|" + "---|" * len(HEAD), *lines["markdown"]])
+    _put(spark, f"{folder}/report.tex", lines["latex"])
     kinds = [r["line"] for r in kind_breakdown_lines(by_kind).collect()]
-    (out / "leak_by_kind.md").write_text("\n".join(["| Kind | Leak Rate |", "|------|----------:|", *kinds]) + "\n", encoding="utf-8")
-    write_csv(report, str(out / "report_csv"), "overwrite")
+    _put(spark, f"{folder}/leak_by_kind.md", ["| Kind | Leak Rate |", "|------|----------:|", *kinds])
+    write_csv(report, f"{folder}/report_csv", "overwrite")
+
+
+def write_metrics(summary: DataFrame, path: str, mode: str = "error") -> None:
+    """A summary of semantic leaks or utility as JSON lines."""
+    summary.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def read_metrics(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).json(path)
 
 
 def figure_data(report: DataFrame) -> DataFrame:
