@@ -33,25 +33,25 @@ def with_marks(samples: DataFrame, annotations: DataFrame, sample: str = "id", c
     rows = a.groupBy("__s").agg(F.ceil(F.count(F.lit(1)) / PER_ROW).cast("int").alias("__rows")).filter("__rows > 1")
     dealt = a.join(rows.hint("merge"), "__s", "left").withColumn("__row", F.pmod(F.xxhash64("kind", "text"), F.coalesce("__rows", F.lit(1))))
     lists = dealt.groupBy("__s", "__row").agg(F.collect_list(F.struct("kind", "text", "n")).alias(column)).drop("__row")
+    lists = lists.hint("merge")  # arrays are larger than Spark thinks
     return samples.join(lists, samples[sample] == lists["__s"]).drop("__s")
 
 
 def marked_leaks(runs: DataFrame, column: str = "marks") -> DataFrame:
-    """One row per run and annotation: (sample_id, workload, option_name, kind, exact, partial), of
-    runs that carry the marks of their sample: each test is made where the row lies."""
+    """(sample_id, workload, option_name, kind, exact, partial, n) of runs that carry the marks of
+    their sample: each test is made where the row lies, once for n annotations of a kind and text."""
     rows = runs.select("sample_id", "workload", "option_name", "outgoing", F.explode(each(column)).alias("__m"))
     exact = F.contains(F.col("outgoing"), F.col("__m.text"))
     part = F.when(exact, 0).otherwise(survives_partly(F.col("__m.text"), F.col("outgoing")).cast("int"))
-    told = rows.select(
+    return rows.select(
         "sample_id",
         "workload",
         "option_name",
         F.col("__m.kind").alias("kind"),
         exact.cast("int").alias("exact"),
         part.alias("partial"),
-        F.col("__m.n").alias("__n"),
+        F.col("__m.n").alias("n"),
     )
-    return told.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int")))).drop("__n")
 
 
 def annotation_leaks(runs: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -61,7 +61,9 @@ def annotation_leaks(runs: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def _leak_sums(leaks: DataFrame, *by: str) -> DataFrame:
     s = leaks.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_annotations"), F.sum("exact").alias("exact_leaks"), F.sum("partial").alias("partial_leaks"),
+        F.sum("n").alias("total_annotations"),
+        F.sum(F.col("exact") * F.col("n")).alias("exact_leaks"),
+        F.sum(F.col("partial") * F.col("n")).alias("partial_leaks"),
     )
     n = F.col("total_annotations")
     return s.select(
@@ -73,7 +75,7 @@ def _leak_sums(leaks: DataFrame, *by: str) -> DataFrame:
 
 
 def leaks_by_sample(leaks: DataFrame) -> DataFrame:
-    kinds = leaks.filter("exact = 1").groupBy("sample_id", "option_name", "kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    kinds = leaks.filter("exact = 1").groupBy("sample_id", "option_name", "kind").agg(F.sum("n").cast("int").alias("n"))
     kinds = kinds.groupBy("sample_id", "option_name").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("leaked_kinds")
     )
@@ -86,9 +88,8 @@ def leak_summary(leaks: DataFrame) -> DataFrame:
 
 
 def leak_by_kind(leaks: DataFrame) -> DataFrame:
-    return leaks.groupBy("option_name", "kind").agg(
-        F.count(F.lit(1)).alias("total"), F.sum("exact").alias("leaked"), F.avg(F.col("exact").cast("double")).alias("rate"),
-    )
+    s = leaks.groupBy("option_name", "kind").agg(F.sum("n").alias("total"), F.sum(F.col("exact") * F.col("n")).alias("leaked"))
+    return s.select("*", rate(F.col("leaked"), F.col("total")).alias("rate"))
 
 
 def false_positive_rate(runs: DataFrame, annotations: DataFrame) -> DataFrame:

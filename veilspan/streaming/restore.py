@@ -102,7 +102,7 @@ def restore_batch(deltas: DataFrame, maps: DataFrame) -> DataFrame:
     (request_id, choice, seq, delta); maps: (request_id, reverse_map), joined to the whole answers."""
     whole = deltas.groupBy("request_id", "choice").agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("d"))
     text = F.array_join(F.transform("d", lambda x: F.coalesce(x["delta"], F.lit(""))), "")
-    both = whole.select("request_id", "choice", text.alias("text")).join(maps.select("request_id", "reverse_map"), "request_id", "left")
+    both = whole.select("request_id", "choice", text.alias("text")).join(maps.select("request_id", "reverse_map").hint("merge"), "request_id", "left")
     return both.select(
         "request_id",
         "choice",
