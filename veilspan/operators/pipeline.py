@@ -246,8 +246,10 @@ def _with_parts(
     if any("C" in o for o in options):
         asked = F.col("redacted") if rephrased is None else F.when(rephrased, F.col("redacted"))
         df = df.withColumn("__said", models.answer(asked, rephraser))
-        passes = terms.survival(terms.technical_terms(F.col("redacted")), F.col("__said"))["valid"] if require else F.lit(True)
-        df = df.withColumn("__ok", F.col("__said").isNotNull() & F.coalesce(passes, F.lit(False)))
+        # a column of their own: the terms are read several times
+        df = df.withColumn("__terms", terms.technical_terms(F.col("redacted")))
+        passes = terms.survival(F.col("__terms"), F.col("__said"))["valid"] if require else F.lit(True)
+        df = df.withColumn("__ok", F.col("__said").isNotNull() & F.coalesce(passes, F.lit(False))).drop("__terms")
     if "B+H" in options:
         df = df.withColumn("__noise", noised(F.col("redacted"), F.col(key), epsilon, seed)["text"])
     return df
