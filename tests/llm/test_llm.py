@@ -2,9 +2,11 @@ import base64
 import math
 import random
 import struct
+import time
 from collections import Counter, defaultdict
 from datetime import date
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -269,6 +271,24 @@ def test_nothing_of_the_similarity_join_is_broadcast(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keys_in_slices_lose_nothing_and_leave_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE_SETS", 10)
+    places = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p.name for d in places for p in Path(d).rglob("shuffle_*.data")}
+    texts = [(f"t{i:03d}", " ".join(f"a{(i * 7 + k) % 9}" if k % 4 else f"b{i % 12}" for k in range(30))) for i in range(80)]
+    _, reps = neardup.classes(spark.createDataFrame(texts, "id string, text string"), "id", "text", 3)
+    names = {r.c: r.cls for r in reps.collect()}
+    before = files()
+    links = neardup.similar_classes(reps, 0.6)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    want = sorted(p for p in brute(texts, 3, 0.6) if set(p) <= set(names.values()))
+    assert sorted(tuple(sorted((names[r.a], names[r.b]))) for r in links.collect()) == want and want
+
+
 def test_hot_copies_get_a_representative(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FULL_PAIRS", 9)
     df = spark.createDataFrame([(f"c{i}", "one two three four five six") for i in range(6)], "id string, text string")

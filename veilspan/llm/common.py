@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +56,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """Within it, a job's shuffle files are removed as soon as its rows are written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """As ``cut``; the shuffle files that the rows came through are removed at once."""
+    with _freeing(df.sparkSession):
+        return cut(df.select("*"))
+
+
+def stored(df: DataFrame, codec: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows of ``df`` as compressed files in the shared checkpoint folder, and what removes them.
+    Checkpoints are not compressed and stay until the driver collects its garbage."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    with _freeing(spark):
+        df.write.option("compression", codec).parquet(path)
+
+    def remove() -> None:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(df.schema).parquet(path), remove
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Rows dealt over at least ``least`` partitions (default: the session's parallelism), for
     inputs of few files whose per-row work is heavy.  A pass-through when there are enough."""
